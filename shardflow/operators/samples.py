@@ -65,11 +65,12 @@ def class_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def shard_summary(df: DataFrame, shard: str = "shard") -> DataFrame:
-    """Samples and bytes per shard, with its number from one and the number of shards."""
-    per = df.groupBy(shard).agg(F.count(F.lit(1)).alias("n_images"), F.sum("length").cast("bigint").alias("bytes"))
-    n = per.agg(F.count(F.lit(1))).scalar()
-    return per.select(shard, (F.col(shard) + 1).alias("number"), n.alias("of"), "n_images", "bytes")
+def shard_summary(df: DataFrame, of: Column, shard: str = "shard") -> DataFrame:
+    """Samples and bytes per shard, with its number from one and ``of`` how many shards."""
+    per = df.groupBy(shard).agg(
+        F.max(of).alias("of"), F.count(F.lit(1)).alias("n_images"), F.sum("length").cast("bigint").alias("bytes")
+    )
+    return per.withColumn("number", F.col(shard) + 1)
 
 
 def size_ratio(original: DataFrame, stored: DataFrame, length: str = "length") -> DataFrame:

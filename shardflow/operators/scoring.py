@@ -3,6 +3,10 @@
 Input has one row per loader: ``loader, total_time, images_per_sec,
 avg_data_load_time, avg_cpu, avg_ram``.  Ties go to the row that comes first
 by ``order`` (the loader name, or the position in a report).
+
+Windows over all rows here see one row per loader, never runs or batches.
+Best values come from such a window and not from a second aggregate, so that
+telemetry is read once and a value equals the best one exactly.
 """
 
 from __future__ import annotations
@@ -53,18 +57,13 @@ def mean_row(
     return rows.where(hit).groupBy(by).agg(F.min(line).alias(line), first.alias("_row")).select(by, line, "_row.*")
 
 
-def _bests(stats: DataFrame) -> Column:
-    """One value per metric over all loaders, as a scalar subquery."""
-    return stats.agg(F.struct(*[(F.max if up else F.min)(m).alias(m) for _, m, up in SCORES if m in stats.columns])).scalar()
-
-
 def score_columns(stats: DataFrame) -> dict[str, Column]:
     """0..100 for each score whose metric is there; a metric of zero scores zero."""
-    best = _bests(stats)
+    loaders = Window.partitionBy()
     out = {}
     for score, metric, up in SCORES:
         if metric in stats.columns:
-            value, top = F.col(metric), best[metric]
+            value, top = F.col(metric), (F.max if up else F.min)(metric).over(loaders)
             share = F.when(top > 0, value / top) if up else F.when(value > 0, top / value)
             out[score] = share.otherwise(0.0) * 100
     return out
@@ -134,22 +133,25 @@ def recommendations(scored: DataFrame, order: str = "loader") -> DataFrame:
 
 def speedup(stats: DataFrame, metric: str = "images_per_sec", order: str = "loader") -> DataFrame:
     """How many times faster the best loader is than the slowest of the others."""
-    best = stats.agg(F.min(F.struct((-F.col(metric)).alias("_v"), F.col(order).alias("_o"), "loader")).alias("_f"))
-    winner = best.select("_f.loader").scalar()
-    others = stats.where(F.col("loader") != winner).agg(F.min(metric)).scalar()
-    got = best.select(F.col("_f.loader").alias("loader"), (-F.col("_f._v")).alias("best"), others.alias("slowest"))
+    place = Window.orderBy(F.desc(metric), F.asc(order))
+    ranked = stats.select("loader", F.col(metric).alias("_v"), F.row_number().over(place).alias("_rank"))
+    first = F.col("_rank") == 1
+    got = ranked.agg(
+        F.max(F.when(first, F.col("loader"))).alias("loader"),
+        F.max(F.when(first, F.col("_v"))).alias("best"),
+        F.min(F.when(~first, F.col("_v"))).alias("slowest"),
+    )
     return got.withColumn("speedup", F.try_divide("best", "slowest"))
 
 
 def best_marks(stats: DataFrame) -> DataFrame:
     """``metric, loader, value, mark``: a mark on every value equal to the best one."""
-    best = _bests(stats)
     long = unpivot(stats, ["loader"], [m for m, _, _ in TABLE_ROWS])
-    mark = F.lit("")
-    for metric, _, marked in TABLE_ROWS:
-        if marked:
-            mark = F.when((F.col("metric") == metric) & (F.col("value") == best[metric]), MARK).otherwise(mark)
-    return long.withColumn("mark", mark)
+    metric = Window.partitionBy("metric")
+    rising = F.col("metric").isin([m for m, up, _ in TABLE_ROWS if up])
+    best = F.when(rising, F.max("value").over(metric)).otherwise(F.min("value").over(metric))
+    marked = F.col("metric").isin([m for m, _, marked in TABLE_ROWS if marked])
+    return long.withColumn("mark", F.when(marked & (F.col("value") == best), MARK).otherwise(""))
 
 
 def comparison_table(stats: DataFrame, loaders: Sequence[str]) -> DataFrame:

@@ -35,8 +35,8 @@ def worker_batches(
 
 
 def fixed_shards(manifest: DataFrame, ids: Sequence[str], size: int = 2000, seed: int = 0) -> DataFrame:
-    """Shuffled samples in shards of a fixed number."""
-    return splits.shards_fixed(ordering.dense_index(manifest, ids, seed=seed), size)
+    """Shuffled samples in shards of a fixed number; ``n_total`` is the number of samples."""
+    return splits.shards_fixed(ordering.dense_index(manifest, ids, seed=seed, total="n_total"), size)
 
 
 def byte_shards(

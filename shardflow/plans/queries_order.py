@@ -200,21 +200,26 @@ def shard_fixed(spark, sf_dir):
 LIMIT, BLOCK = 20_000, 256
 
 
-@query(
-    "shard_bytes",
-    with_sql(
-        "manifest",
-        more=f"""placed as materialized ({order_sql('manifest', 'doc_id', SEED, extra='doc_id, length')}),
+def packed_sql(placed: str, limit: int, block: int) -> str:
+    """Blocks filled side by side, one sample per step of a recursive query."""
+    return f"""placed as materialized ({placed}),
+lengths as materialized (select i // {block} as block, list(length order by i) as ls from placed group by 1),
 fill(block, k, shard, held) as (
-  select i // {BLOCK}, i % {BLOCK}, cast(0 as bigint), length from placed where i % {BLOCK} = 0
+  select block, cast(0 as bigint), cast(0 as bigint), ls[1] from lengths
   union all
-  select f.block, f.k + 1, case when f.held + p.length > {LIMIT} then f.shard + 1 else f.shard end,
-    case when f.held + p.length > {LIMIT} then p.length else f.held + p.length end
-  from fill f join placed p on p.i = f.block * {BLOCK} + f.k + 1 and f.k + 1 < {BLOCK}),
+  select block, k + 1, case when held + ls[k + 2] > {limit} then shard + 1 else shard end,
+    case when held + ls[k + 2] > {limit} then ls[k + 2] else held + ls[k + 2] end
+  from fill join lengths using (block) where k + 1 < len(ls)),
 starts as (select block, cast(sum(n) over (order by block rows unbounded preceding) - n as bigint) as start
   from (select block, max(shard) + 1 as n from fill group by block)),
-packed as (select doc_id, length, start + shard as shard, k, block from fill join starts using (block)
-  join placed on placed.i = block * {BLOCK} + k)""",
+packed as (select placed.*, start + shard as shard, k, block from fill join starts using (block)
+  join placed on placed.i = block * {block} + k)"""
+
+
+@query(
+    "shard_bytes",
+    with_sql(
+        "manifest", more=packed_sql(order_sql("manifest", "doc_id", SEED, extra="doc_id, length"), LIMIT, BLOCK)
     )
     + "select doc_id, length, shard, row_number() over (partition by shard order by block, k) - 1 as pos from packed",
 )
@@ -252,7 +257,8 @@ from (select i // {SHARD_ROWS} as shard, count(*) as n_images, cast(sum(length)
   group by i // {SHARD_ROWS})""",
 )
 def shard_summary(spark, sf_dir):
-    return samples.shard_summary(loading.fixed_shards(V.samples(spark, sf_dir), ["id"], SHARD_ROWS, SEED))
+    rows = loading.fixed_shards(V.samples(spark, sf_dir), ["id"], SHARD_ROWS, SEED)
+    return samples.shard_summary(rows, splits.shard_count("n_total", SHARD_ROWS))
 
 
 @query(
@@ -267,7 +273,8 @@ def check_shards(spark, sf_dir):
     n = rows.agg(splits.shard_count(F.count(F.lit(1)), 10).alias("n"))
     name = F.concat(F.lit("s"), F.col("shard").cast("string"))
     expected = n.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("shard")).select(name.alias("name"))
-    sizes = samples.shard_summary(loading.fixed_shards(rows, ["doc_id"], 10, SEED)).where("bytes > 15000")
+    placed = loading.fixed_shards(rows, ["doc_id"], 10, SEED)
+    sizes = samples.shard_summary(placed, splits.shard_count("n_total", 10)).where("bytes > 15000")
     return samples.missing_inputs(expected, sizes.select(name.alias("name")))
 
 

@@ -66,7 +66,7 @@ def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def _cells(text: str, delimiter: str) -> Column:
-    return F.transform(F.call_function("split", F.col(text), F.concat(F.lit("\\"), F.col(delimiter))), F.trim)
+    return F.transform(F.call_function("split", F.col(text), F.concat(F.lit("\\"), F.col(delimiter))), lambda cell: F.trim(cell))
 
 
 def _row_map(header: Column, cells: Column) -> Column:

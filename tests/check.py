@@ -52,8 +52,10 @@ def compare(spark, con, sf_dir, fn, sql):
         return f"columns {cols} instead of {want_cols}"
     if len(got) != len(want):
         return f"{len(got)} rows instead of {len(want)}"
-    bad = [(g, w) for g, w in zip(got, want) if g != w]
-    return f"{len(bad)} rows differ, e.g. {bad[0]}" if bad else None
+    if got == want:
+        return None
+    more, less = sorted(set(got) - set(want)), sorted(set(want) - set(got))
+    return f"{len(more)} rows differ, e.g. {more[:2]} instead of {less[:2]}"
 
 
 def main(sf_dir, *names):
