@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,11 @@ def map_samples(
     the others) and return one row per input row.  ``setup`` runs once per
     task; its result is the second argument of ``fn``.
 
-    ``FAILFAST`` lets an error end the job.  The other modes call ``fn`` again
-    for each single row of a failing chunk: ``PERMISSIVE`` keeps bad rows with
-    nulls and the message in ``error``, ``DROPMALFORMED`` leaves them out.
+    ``FAILFAST`` lets an error end the job.  The other modes halve a failing
+    chunk until the bad rows stand alone: ``PERMISSIVE`` keeps them with nulls
+    and the message in ``error``, ``DROPMALFORMED`` leaves them out.  A ``fn``
+    that can tell bad rows without raising returns an ``error`` column of its
+    own, which saves the halving where bad rows are many.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
@@ -37,19 +40,16 @@ def map_samples(
     names = schema.fieldNames()
     full = schema if mode == "FAILFAST" else T.StructType([*schema.fields, T.StructField("error", T.StringType())])
 
-    def one_by_one(rows: pd.DataFrame, call) -> pd.DataFrame:
-        done, errors = [], []
-        for k in range(len(rows)):
-            try:
-                row = call(rows.iloc[k : k + 1]).iloc[0][names].tolist()
-                error = None
-            except Exception as e:  # any failure of the user's function belongs to its row
-                row, error = [None] * len(names), f"{type(e).__name__}: {e}"
-            done.append(row)
-            errors.append(error)
-        out = pd.DataFrame(done, columns=names, dtype=object)
-        out["error"] = errors
-        return out
+    def isolate(rows: pd.DataFrame, call) -> list[pd.DataFrame]:
+        try:
+            out = call(rows)
+            return [out[[*names, "error"]] if "error" in out else out[names].assign(error=None)]
+        except Exception as e:  # any failure of the user's function belongs to a row
+            if len(rows) == 1:
+                return [pd.DataFrame([[None] * len(names) + [f"{type(e).__name__}: {e}"]], columns=[*names, "error"], dtype=object)]
+        half = len(rows) // 2
+        first, rest = rows.iloc[:half], rows.iloc[half:].reset_index(drop=True)
+        return isolate(first, call) + isolate(rest, call)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = setup() if setup else None
@@ -58,12 +58,14 @@ def map_samples(
             for at in range(0, len(frame), chunk):
                 rows = frame.iloc[at : at + chunk].reset_index(drop=True)
                 if mode == "FAILFAST":
-                    yield call(rows)[names]
+                    out = call(rows)
+                    if "error" in out and out["error"].notna().any():
+                        raise ValueError(out["error"].dropna().iloc[0])
+                    yield out[names]
                     continue
-                try:
-                    out = call(rows)[names].assign(error=None)
-                except Exception:
-                    out = one_by_one(rows, call)
+                parts = isolate(rows, call)
+                # Objects keep whole numbers whole next to nulls.
+                out = parts[0] if len(parts) == 1 else pd.concat([p.astype(object) for p in parts], ignore_index=True)
                 yield out if mode == "PERMISSIVE" else out[out["error"].isna()]
 
     mapped = df.mapInPandas(run, full)
@@ -78,9 +80,26 @@ def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def collate_with(
     df: DataFrame, by: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, pos: str = "batch_pos"
 ) -> DataFrame:
-    """A custom collate function, called once per batch with its samples in order."""
+    """A custom collate function, called once per batch with its samples in order.
 
-    def call(rows: pd.DataFrame) -> pd.DataFrame:
-        return fn(rows.sort_values(pos, ignore_index=True))
+    One shuffle brings batches together and many of them pass through a task as
+    a stream; only a batch cut by the end of a frame is held back.
+    """
 
-    return df.groupBy(by).applyInPandas(call, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if held is not None:
+                frame = pd.concat([held, frame], ignore_index=True)
+            keys = frame[by].to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1)]
+            done = [fn(frame.iloc[a:b].reset_index(drop=True)) for a, b in zip(edges, edges[1:])]
+            held = frame.iloc[edges[-1] :]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None:
+            yield fn(held.reset_index(drop=True))
+
+    # A fixed number of partitions: small rows would be merged into few tasks, but the function is the work.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, by).sortWithinPartitions(by, pos).mapInPandas(run, schema)

@@ -50,18 +50,23 @@ def scan_prefix(spark, sf_dir):
 
 
 def stem_number(rows: pd.DataFrame) -> pd.DataFrame:
-    """The number in names such as ``d12.png``; other names are an error."""
+    """The number in names such as ``d12.png``; other names are an error of their row."""
     digits = rows["name"].str.extract(r"^d(\d+)\.", expand=False)
-    if digits.isna().any():
-        raise ValueError(f"no number in {rows['name'][digits.isna()].iloc[0]}")
-    return rows[["path"]].assign(number=digits.astype("int64"))
+    bad = digits.isna()
+    return pd.DataFrame(
+        {
+            "path": rows["path"].mask(bad, None),
+            "number": digits.astype("Int64"),
+            "error": ("no number in " + rows["name"]).where(bad, None),
+        }
+    )
 
 
 @query(
     "tolerant_map",
     with_sql("manifest")
     + """select case when bad then null else path end as path, case when bad then null else doc_id end as number,
-  case when bad then 'ValueError: no number in ' || name end as error
+  case when bad then 'no number in ' || name end as error
 from (select *, name like '.%' as bad from manifest)""",
 )
 def tolerant_map(spark, sf_dir):

@@ -43,11 +43,17 @@ def rows_of(columns, rows):
     return sorted(tuple(_cell(r[k]) for k in at) for r in rows), sorted(columns)
 
 
+TIMES: dict[str, float] = {}
+
+
 def compare(spark, con, sf_dir, fn, sql):
+    start = time.time()
     df = fn(spark, sf_dir)
     got, cols = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time() - start
     ref = con.execute(sql)
     want, want_cols = rows_of([d[0] for d in ref.description], ref.fetchall())
+    TIMES["sql"] = time.time() - start - TIMES["spark"]
     if cols != want_cols:
         return f"columns {cols} instead of {want_cols}"
     if len(got) != len(want):
@@ -77,7 +83,8 @@ def main(sf_dir, *names):
         except Exception as e:
             problem = f"{type(e).__name__}: {str(e)[:1500]}"
         failed += problem is not None
-        print(f"{name:22s} {'sql' if name in oracles else 'rows':4s} {time.time() - start:6.2f}s {problem or 'ok'}", flush=True)
+        took = f"{time.time() - start:6.2f}s (sql {TIMES.get('sql', 0):.2f}s)"
+        print(f"{name:22s} {'sql' if name in oracles else 'rows':4s} {took} {problem or 'ok'}", flush=True)
     print("failed", failed, "of", len(names or queries), "with sql", len(oracles))
 
 
