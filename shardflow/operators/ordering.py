@@ -5,7 +5,9 @@ An order over all samples must never run through one task.  Two ways:
 * ``dense_index`` orders by a hash of the sample id.  The hash spreads ids
   evenly over buckets, bucket sizes come from a map-side aggregate, and only
   the (bounded) bucket table is summed in one place.  The plan is lazy and the
-  result depends on values alone, so a retried task gives the same index.
+  result depends on values alone, so a retried task gives the same index.  The
+  input is read twice, the first time for the ids only; write an expensive
+  input to a table first.
 * ``sorted_index`` orders by any columns with a range shuffle.  Partition
   numbers are written down before they are used.
 """
@@ -37,6 +39,15 @@ def _bucket_digits(df: DataFrame) -> int:
     return 2 if tasks <= 64 else 3 if tasks <= 1024 else 4
 
 
+def _piece(piece: Column, within: Sequence[str]) -> Column:
+    """One column that names a piece of a group.
+
+    As a struct it compares null group values as equal, and a join and a window
+    on it share one shuffle.
+    """
+    return F.struct(*[F.col(c).alias(f"g{k}") for k, c in enumerate(within)], piece.alias("piece"))
+
+
 def dense_index(
     df: DataFrame,
     ids: Sequence[str],
@@ -55,25 +66,22 @@ def dense_index(
     the first rows of the order and skips the buckets beyond them.  ``total``
     names a column for the number of rows (of the group).
     """
-    digits = _bucket_digits(df) if not within else 2
-    keyed = df.withColumn("_key", order_key(ids, seed, epoch)).withColumn("_bucket", F.substring("_key", 1, digits))
-    sizes = keyed.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*within)
-    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    digits = _bucket_digits(df)
+    if within:
+        digits = max(2, digits - 1)  # the bucket table grows with the number of groups
+    keyed = df.withColumn("_key", order_key(ids, seed, epoch))
+    keyed = keyed.withColumn("_bucket", _piece(F.substring("_key", 1, digits), within))
+    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*[f"_bucket.g{k}" for k in range(len(within))])
+    upto = whole.orderBy("_bucket.piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.select(
-        *[F.col(c).alias(f"_w{k}") for k, c in enumerate(within)],
-        F.col("_bucket").alias("_b"),
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(whole).alias("_total"),
+        "_bucket", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"), F.sum("_n").over(whole).alias("_total")
     )
-    on = keyed["_bucket"] == offsets["_b"]
-    for k, c in enumerate(within):
-        on = on & keyed[c].eqNullSafe(offsets[f"_w{k}"])
     # Without groups there are at most 16**digits offsets, whatever the data.
-    joined = keyed.join(offsets if within else F.broadcast(offsets), on)
+    joined = keyed.join(offsets if within else F.broadcast(offsets), "_bucket")
     if limit is not None:
         joined = joined.where(F.col("_start") < limit)
-    place = Window.partitionBy(*within, "_bucket").orderBy("_key", *ids)
+    place = Window.partitionBy("_bucket").orderBy("_key", *ids)
     out = joined.select(
         *df.columns,
         (F.col("_start") + F.row_number().over(place) - 1).cast("bigint").alias(index),
@@ -121,23 +129,13 @@ def running_start(
     Summed in two levels, so no task holds more than ``span`` order values or
     the list of spans.
     """
-    spans = df.withColumn("_span", idiv(order, span))
-    tops = spans.groupBy(*within, "_span").agg(F.sum(value).alias("_v"))
-    upto = (
-        Window.partitionBy(*within).orderBy("_span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    tops = tops.select(
-        *[F.col(c).alias(f"_w{k}") for k, c in enumerate(within)],
-        F.col("_span").alias("_s"),
-        (F.sum("_v").over(upto) - F.col("_v")).alias("_base"),
-    )
-    on = spans["_span"] == tops["_s"]
-    for k, c in enumerate(within):
-        on = on & spans[c].eqNullSafe(tops[f"_w{k}"])
-    inner = (
-        Window.partitionBy(*within, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return spans.join(tops, on).select(
+    spans = df.withColumn("_span", _piece(idiv(order, span), within))
+    tops = spans.groupBy("_span").agg(F.sum(value).alias("_v"))
+    group = Window.partitionBy(*[f"_span.g{k}" for k in range(len(within))])
+    upto = group.orderBy("_span.piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tops = tops.select("_span", (F.sum("_v").over(upto) - F.col("_v")).alias("_base"))
+    inner = Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return spans.join(tops, "_span").select(
         *df.columns, (F.col("_base") + F.sum(value).over(inner) - F.col(value)).cast("bigint").alias(start)
     )
 

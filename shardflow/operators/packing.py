@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from shardflow.functions.columns import idiv
 from shardflow.operators.ordering import running_start
-from shardflow.scratch import small_side
+from shardflow.scratch import materialise, small_side
 
 
 def greedy_shards(lengths: np.ndarray, limit: int) -> np.ndarray:
@@ -56,7 +56,8 @@ def shards_by_bytes(
         starts = np.searchsorted(shards, shards, side="left")
         return rows.assign(_local=shards, pos=np.arange(len(rows)) - starts)
 
-    filled = slim.groupBy("_block").applyInPandas(fill, local)
+    # Written once: it is read for the block sizes and for the result.
+    filled = materialise(slim.groupBy("_block").applyInPandas(fill, local), "filled")
     # The fill step decides how many shards a block has; a shard number is the
     # number of shards in earlier blocks plus the place in the block.
     blocks = filled.groupBy(F.col("_block").alias("_of")).agg((F.max("_local") + 1).alias("_shards"))

@@ -105,24 +105,22 @@ def _sequence_by_run(tel: DataFrame, run_start: Column | None) -> DataFrame:
 
 
 def _sequence_by_block(tel: DataFrame, run_start: Column | None, block_rows: int) -> DataFrame:
-    placed = sorted_index(tel, *RUN, "ts", "event_id", index="_i").withColumn("_block", idiv("_i", block_rows))
-    pieces = placed.groupBy(*RUN, "_block").agg(
+    placed = sorted_index(tel, *RUN, "ts", "event_id", index="_i")
+    placed = placed.withColumn("_piece", F.struct(*RUN, idiv("_i", block_rows).alias("block")))
+    pieces = placed.groupBy("_piece").agg(
         F.min("_i").alias("_first"), F.sum("n_images").alias("_images"), F.max(micros("ts")).alias("_last")
     )
-    run = Window.partitionBy(*RUN).orderBy("_block")
+    run = Window.partitionBy(*[f"_piece.{c}" for c in RUN]).orderBy("_piece.block")
     upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = pieces.select(
-        *[F.col(c).alias(f"_{c}") for c in RUN],
-        F.col("_block").alias("_of"),
+        "_piece",
         F.min("_first").over(upto).alias("_start"),
         (F.sum("_images").over(upto) - F.col("_images")).alias("_before"),
         F.lag("_last").over(run).alias("_last_before"),
     )
-    on = (placed["_block"] == carried["_of"]) & placed["loader"].eqNullSafe(carried["_loader"])
-    on = on & placed["run_id"].eqNullSafe(carried["_run_id"])
-    piece = Window.partitionBy(*RUN, "_block").orderBy("_i")
+    piece = Window.partitionBy("_piece").orderBy("_i")
     inside = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.join(carried, on).select(
+    return placed.join(carried, "_piece").select(
         *tel.columns,
         (F.col("_i") - F.col("_start")).cast("bigint").alias("batch"),
         _since(F.coalesce(F.lag(micros("ts")).over(piece), F.col("_last_before")), run_start).alias("latency"),

@@ -117,17 +117,27 @@ def tar_name_sql(shard: str, prefix: str = "shard_") -> str:
     return f"'{prefix}' || case when {shard} < 9 then '0' else '' end || ({shard} + 1) || '.tar'"
 
 
-TARS = f"""placed as ({order_sql('manifest', 'doc_id', SEED)}),
-tars as (select i // {TAR_ROWS} as shard, count(*) as n,
+# Files are ordered by class and name, the documents by their number.
+FILES_PLACED = f"""files as (select class || '|' || name as id, length from manifest where {LISTED}),
+placed as ({order_sql('files', 'id', SEED)})"""
+TAR_SIZES = f"""tars as (select i // {TAR_ROWS} as shard, count(*) as n,
     (cast(sum(512 + (length + 511) // 512 * 512) as bigint) + 1024 + 10239) // 10240 * 10240 as bytes
   from placed group by 1)"""
+TARS = f"""placed as ({order_sql('manifest', 'doc_id', SEED)}),
+{TAR_SIZES}"""
 
 
-@query("write_tar", with_sql("manifest", more=TARS) + f"select {tar_name_sql('shard')} as name, bytes from tars")
+@query(
+    "write_tar",
+    with_sql("manifest", more=f"{FILES_PLACED},\n{TAR_SIZES}") + f"select {tar_name_sql('shard')} as name, bytes from tars",
+)
 def write_tar(spark, sf_dir):
-    """Write tar shards and list them: whole tar records, to the byte."""
+    """Write real files into tar shards and list those: whole tar records, to the byte."""
     target = scratch_path(spark, "write-tar")
-    tar.write_tar(tar_members(spark, sf_dir), target)
+    found = files.scan(spark, V.file_tree(spark, sf_dir))
+    placed = loading.fixed_shards(found, ["class", "name"], TAR_ROWS, SEED)
+    key, ext = F.concat_ws("/", "class", "key").alias("key"), F.substr("ext", F.lit(2)).alias("ext")
+    tar.write_tar(placed.select("shard", "pos", key, ext, "path"), target)
     return files.scan(spark, target, [".tar"]).select("name", F.col("length").alias("bytes"))
 
 

@@ -136,10 +136,10 @@ def _made_once(spark: SparkSession, sf_dir: str, what: str, make) -> str:
 
 
 def run_writes(written: DataFrame) -> None:
-    """Run a lazy writing step and stop at the first file that could not be written."""
-    bad = written.where(~F.col("ok")).select("path", "error").head(1)
+    """Run a lazy writing step on all its partitions; a file that could not be written is an error."""
+    bad = written.where(~F.col("ok")).agg(F.min(F.struct("path", "error")).alias("first")).first().first
     if bad:
-        raise OSError(f"{bad[0].path}: {bad[0].error}")
+        raise OSError(f"{bad.path}: {bad.error}")
 
 
 def file_tree(spark: SparkSession, sf_dir: str) -> str:

@@ -55,7 +55,7 @@ def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     otherwise ``df`` comes back as it is and the join is a shuffle join, whose
     skewed partitions adaptive execution splits.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
+    head = df.take(max_rows + 1)  # reads no more partitions than it needs
+    if len(head) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shardflow.functions import columns as C
 from shardflow.operators.samples import with_path_parts
@@ -67,6 +68,29 @@ def put_file(path: str, data: bytes) -> None:
     system.move(part, at)
 
 
+def read_payloads(df: DataFrame, path: str = "path", payload: str = "payload") -> DataFrame:
+    """Add the bytes of each row's file, read on the executors.
+
+    Rows keep their place, so files can be read after all shuffles are done and
+    their bytes never travel between executors.  A file that cannot be read
+    ends the job; a listing made just before is what makes that rare.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(payload, T.BinaryType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 64):
+                rows = frame.iloc[at : at + 64]
+                data = []
+                for name in rows[path]:
+                    system, where = filesystem(name)
+                    with system.open_input_stream(where) as f:
+                        data.append(f.read())
+                yield rows.assign(**{payload: data})
+
+    return df.mapInPandas(run, schema)
+
+
 def write_files(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Write each row's bytes to its path on the executors; gives ``path, ok, error``.
 

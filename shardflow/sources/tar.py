@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from shardflow.functions.columns import shard_name
-from shardflow.sources.files import filesystem
+from shardflow.sources.files import filesystem, read_payloads
 
 FORMAT = "shardflow_tar"
 SCHEMA = "shard string, pos bigint, key string, ext string, payload binary, error string"
@@ -188,15 +188,20 @@ def read_tar(spark: SparkSession, path: str, mode: str = "PERMISSIVE", split_byt
 def write_tar(members: DataFrame, path: str, prefix: str = "shard_") -> None:
     """Write members ``shard, pos, key, ext, payload``; ``shard`` counts from zero.
 
+    Without ``payload`` the members are files: each task reads them from
+    ``path`` after the shuffle, which then moves names and no contents.
+
     One shuffle brings each shard together.  Shards have a fixed number of
     samples or bytes, so no task gets an unbounded group; sorting keeps one
     tar open at a time.
     """
     members.sparkSession.dataSource.register(TarSource)
+    # A fixed number of tasks: names are small, but what the tasks write is not.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = members.repartition(tasks, "shard").sortWithinPartitions("shard", "pos", "ext")
+    rows = placed if "payload" in members.columns else read_payloads(placed)
     (
-        members.repartition("shard")
-        .sortWithinPartitions("shard", "pos", "ext")
-        .select(shard_name("shard", prefix).alias("shard"), "key", "ext", "payload")
+        rows.select(shard_name("shard", prefix).alias("shard"), "key", "ext", "payload")
         .write.format(FORMAT)
         .mode("append")
         .save(path)
