@@ -24,25 +24,36 @@ def bilinear_weights(n_in: int, n_out: int) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
-def resize_stack(pixels: np.ndarray, height: int, width: int, rounding: str = "uint8") -> np.ndarray:
-    """Resize ``(n, h, w, c)``: first along rows, then along columns.
+def resize_planes(planes: np.ndarray, height: int, width: int, rounding: str = "uint8") -> np.ndarray:
+    """Resize ``(n, c, h, w)``: first along rows, then along columns.
 
     ``uint8`` rounds to whole pixel values after each axis, ``none`` keeps
     fractions.
     """
     if rounding not in ("uint8", "none"):
         raise ValueError(f"unknown rounding {rounding!r}")
-    _, h, w, _ = pixels.shape
-    out = pixels.astype(np.float64)
-    for axis, (n_in, n_out) in ((2, (w, width)), (1, (h, height))):
-        if n_in == n_out:
-            continue
-        out = np.moveaxis(np.tensordot(out, bilinear_weights(n_in, n_out), axes=([axis], [1])), -1, axis)
+
+    def settle(values: np.ndarray) -> np.ndarray:
         if rounding == "uint8":
-            out = np.clip(np.floor(out + 0.5), 0, 255)
+            values += 0.5
+            np.floor(values, out=values)
+            np.clip(values, 0, 255, out=values)
+        return values
+
+    _, _, h, w = planes.shape
+    out = np.ascontiguousarray(planes, dtype=np.float64)
+    if w != width:
+        out = settle(out @ bilinear_weights(w, width).T)
+    if h != height:
+        out = settle(bilinear_weights(h, height) @ out)
     return out
 
 
+def resize_stack(pixels: np.ndarray, height: int, width: int, rounding: str = "uint8") -> np.ndarray:
+    """``resize_planes`` for ``(n, h, w, c)``."""
+    return resize_planes(pixels.transpose(0, 3, 1, 2), height, width, rounding).transpose(0, 2, 3, 1)
+
+
 def to_rgb(pixels: np.ndarray, bgr: bool = False) -> np.ndarray:
     """``(h, w, c)`` with 1, 3 or 4 channels to three channels; alpha is dropped."""
     if pixels.shape[2] == 1:

@@ -2,25 +2,31 @@
 
 Pixels stay on the executors.  An image row is ``(height, width, channels,
 pixels)`` with ``pixels`` as bytes in row, column, channel order; a tensor row
-is ``(c, h, w, px)`` with ``px`` as a flat float array in channel order.
-Decode, resize and to-tensor run in one Python pass over the column, a few
-images at a time, so a task holds ``chunk`` images and not a whole partition.
+is ``(c, h, w, px)`` with ``px`` as a flat float array in channel order, or,
+``packed``, as the bytes of those floats, which pass Spark without a look at
+each value and are what a consumer on a tensor library reads.
+A task works on a few images at a time and never on a whole partition.
+``load_tensors`` does the whole way from file to tensor in one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from shardflow.functions.tensors import decode_image, resize_stack, to_rgb
-from shardflow.operators.mapping import map_samples
+from shardflow.functions.tensors import decode_image, resize_planes, resize_stack, to_rgb
+from shardflow.operators.mapping import MODES, map_samples
+from shardflow.sources.files import read_file
 
 IMAGE = "height int, width int, channels int, pixels binary"
 TENSOR = "c int, h int, w int, px array<float>"
+PACKED = "c int, h int, w int, px binary"
 
 
 def _kept(df: DataFrame, keep: Sequence[str]) -> list[T.StructField]:
@@ -40,22 +46,32 @@ def _image_rows(rows: pd.DataFrame, keep: Sequence[str], images: list[np.ndarray
     return out
 
 
-def _arrays(rows: pd.DataFrame) -> list[np.ndarray]:
+def _arrays(rows: Mapping | pd.DataFrame) -> list[np.ndarray]:
     return [
         np.frombuffer(p, np.uint8).reshape(h, w, c)
         for p, h, w, c in zip(rows["pixels"], rows["height"], rows["width"], rows["channels"])
     ]
 
 
-def _by_shape(images: list[np.ndarray], call) -> list[np.ndarray]:
-    """Apply ``call`` to stacks of equal shape and give results in the old order."""
+# Values of a stack that is worked on at once: it should stay in a core's cache.
+STACK_VALUES = 1 << 19
+
+
+def _by_shape(images: list[np.ndarray], call, cells: int = 0) -> list[np.ndarray]:
+    """Apply ``call`` to stacks of equal shape and give results in the old order.
+
+    ``cells`` is height times width of the result, where that is known to differ.
+    """
     places: dict[tuple, list[int]] = {}
     for k, a in enumerate(images):
         places.setdefault(a.shape, []).append(k)
     out: list = [None] * len(images)
-    for at in places.values():
-        for k, a in zip(at, call(np.stack([images[k] for k in at]))):
-            out[k] = a
+    for shape, at in places.items():
+        step = max(1, STACK_VALUES // max(1, shape[2] * max(shape[0] * shape[1], cells)))
+        for first in range(0, len(at), step):
+            some = at[first : first + step]
+            for k, a in zip(some, call(np.stack([images[k] for k in some]))):
+                out[k] = a
     return out
 
 
@@ -79,40 +95,117 @@ def decode_payloads(df: DataFrame, keep: Sequence[str], payload: str = "payload"
     return map_samples(df.select(*keep, payload), call, _schema(df, keep, IMAGE), mode=mode, chunk=32)
 
 
-def resize_to_tensor(df: DataFrame, keep: Sequence[str], height: int, width: int, chunk: int = 32) -> DataFrame:
-    """Resize whole pixel values, then scale to floats in 0..1, channels first."""
+def _resized(height: int, width: int):
+    """Resize whole pixel values, then scale."""
+    return lambda planes: resize_planes(planes, height, width, "uint8") / 255.0
 
-    def tensors(stack: np.ndarray) -> np.ndarray:
-        return resize_stack(stack, height, width, "uint8").transpose(0, 3, 1, 2) / 255.0
 
-    return _tensor_map(df, keep, tensors, chunk)
+def _scaled_first(height: int, width: int):
+    """Scale first and resize fractions, without rounding between."""
+    return lambda planes: resize_planes(planes / 255.0, height, width, "none")
 
 
-def tensor_then_resize(df: DataFrame, keep: Sequence[str], height: int, width: int, chunk: int = 32) -> DataFrame:
-    """Scale to floats first and resize those, without rounding between."""
+def resize_to_tensor(
+    df: DataFrame, keep: Sequence[str], height: int, width: int, packed: bool = False
+) -> DataFrame:
+    """Resize whole pixel values, then scale to floats in 0..1, channels first."""
+    return _image_tensors(df, keep, _resized(height, width), height * width, packed)
 
-    def tensors(stack: np.ndarray) -> np.ndarray:
-        return resize_stack(stack / 255.0, height, width, "none").transpose(0, 3, 1, 2)
 
-    return _tensor_map(df, keep, tensors, chunk)
+def tensor_then_resize(
+    df: DataFrame, keep: Sequence[str], height: int, width: int, packed: bool = False
+) -> DataFrame:
+    """Scale to floats first and resize those, without rounding between."""
+    return _image_tensors(df, keep, _scaled_first(height, width), height * width, packed)
 
 
-def to_tensor(df: DataFrame, keep: Sequence[str], chunk: int = 32) -> DataFrame:
+def to_tensor(df: DataFrame, keep: Sequence[str], packed: bool = False) -> DataFrame:
     """Whole pixel values, channels last, to floats in 0..1, channels first."""
-    return _tensor_map(df, keep, lambda stack: stack.transpose(0, 3, 1, 2) / 255.0, chunk)
-
-
-def _tensor_map(df: DataFrame, keep: Sequence[str], tensors, chunk: int) -> DataFrame:
-    def call(rows: pd.DataFrame) -> pd.DataFrame:
-        done = _by_shape(_arrays(rows), tensors)
-        out = rows[list(keep)].copy()
-        for k, name in enumerate(("c", "h", "w")):
-            out[name] = [a.shape[k] for a in done]
-        out["px"] = [a.astype(np.float32).ravel() for a in done]
-        return out
+    return _image_tensors(df, keep, lambda planes: planes / 255.0, 0, packed)
+
+
+def load_tensors(
+    df: DataFrame,
+    keep: Sequence[str],
+    height: int,
+    width: int,
+    *,
+    path: str | None = None,
+    payload: str | None = None,
+    scale_first: bool = False,
+    mode: str = "PERMISSIVE",
+    packed: bool = True,
+) -> DataFrame:
+    """Encoded images to tensors in one Python pass: read, decode, resize, scale.
+
+    Images come from the files named in ``path`` or from the bytes in
+    ``payload``.  Neither encoded nor decoded pixels pass between processes.
+    An image that cannot be read or decoded is treated as ``mode`` says (see
+    ``map_samples``).
+    """
+    if (path is None) == (payload is None):
+        raise ValueError("give either path or payload")
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    source = path or payload
+
+    def images_of(rows: pa.RecordBatch):
+        images, errors = [], []
+        for value in rows.column(source).to_pylist():
+            try:
+                images.append(decode_image(read_file(value) if path else value))
+                errors.append(None)
+            except Exception as e:  # whatever a decoder raises belongs to its image
+                if mode == "FAILFAST":
+                    raise
+                images.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        return images, errors
+
+    tensors = (_scaled_first if scale_first else _resized)(height, width)
+    columns = [*keep, *([source] if source not in keep else [])]
+    out = _tensor_map(df.select(*columns), keep, images_of, tensors, height * width, packed)
+    return out if mode == "PERMISSIVE" else out.where("error is null").drop("error")
+
+
+def _image_tensors(df: DataFrame, keep: Sequence[str], tensors, cells: int, packed: bool) -> DataFrame:
+    def images_of(rows: pa.RecordBatch):
+        images = _arrays({n: rows.column(n).to_pylist() for n in ("height", "width", "channels", "pixels")})
+        return images, [None] * len(images)
 
     images = df.select(*keep, "height", "width", "channels", "pixels")
-    return map_samples(images, call, _schema(df, keep, TENSOR), chunk=chunk)
+    return _tensor_map(images, keep, images_of, tensors, cells, packed).drop("error")
+
+
+def _tensor_map(df: DataFrame, keep: Sequence[str], images_of, tensors, cells: int, packed: bool) -> DataFrame:
+    """Map images to tensors, with Arrow on both sides so that no value becomes a Python object."""
+    chunk = max(4, min(1024, (1 << 22) // (3 * cells))) if cells else 32
+    schema = _schema(df, keep, f"{PACKED if packed else TENSOR}, error string")
+    arrow = to_arrow_schema(schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, chunk):
+                rows = part.slice(at, chunk)
+                images, errors = images_of(rows)
+                good = [a for a in images if a is not None]
+                done = _by_shape(good, lambda stack: tensors(stack.transpose(0, 3, 1, 2)).astype(np.float32), cells)
+                flat = np.concatenate([a.ravel() for a in done]) if done else np.zeros(0, np.float32)
+                ends = np.cumsum([0, *(a.size for a in done)]).astype(np.int32)
+                shapes = [pa.array([a.shape[k] for a in done], pa.int32()) for k in range(3)]
+                if packed:
+                    px = pa.Array.from_buffers(pa.binary(), len(done), [None, pa.py_buffer(ends * 4), pa.py_buffer(flat)])
+                else:
+                    px = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), type=arrow.field("px").type)
+                made = [*shapes, px]
+                if len(good) < len(images):
+                    place = np.cumsum([a is not None for a in images]) - 1
+                    back = pa.array([int(k) if a is not None else None for k, a in zip(place, images)], pa.int32())
+                    made = [m.take(back) for m in made]
+                kept = [rows.column(n) for n in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *made, pa.array(errors, pa.string())], schema=arrow)
+
+    return df.mapInArrow(run, schema)
 
 
 def resize_images(
@@ -121,7 +214,7 @@ def resize_images(
     """Resize and keep whole pixel values."""
 
     def call(rows: pd.DataFrame) -> pd.DataFrame:
-        done = _by_shape(_arrays(rows), lambda stack: resize_stack(stack, height, width, "uint8").astype(np.uint8))
+        done = _by_shape(_arrays(rows), lambda stack: resize_stack(stack, height, width, "uint8").astype(np.uint8), height * width)
         return _image_rows(rows, keep, done)
 
     images = df.select(*keep, "height", "width", "channels", "pixels")

@@ -57,6 +57,12 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(re.sub("^s3a://", "s3://", path))
 
 
+def read_file(path: str) -> bytes:
+    system, at = filesystem(path)
+    with system.open_input_stream(at) as f:
+        return f.read()
+
+
 def put_file(path: str, data: bytes) -> None:
     """Write a file under a temporary name and move it into place."""
     system, at = filesystem(path)
@@ -81,12 +87,7 @@ def read_payloads(df: DataFrame, path: str = "path", payload: str = "payload") -
         for frame in frames:
             for at in range(0, len(frame), 64):
                 rows = frame.iloc[at : at + 64]
-                data = []
-                for name in rows[path]:
-                    system, where = filesystem(name)
-                    with system.open_input_stream(where) as f:
-                        data.append(f.read())
-                yield rows.assign(**{payload: data})
+                yield rows.assign(**{payload: [read_file(name) for name in rows[path]]})
 
     return df.mapInPandas(run, schema)
 

@@ -79,6 +79,16 @@ def test_payloads_to_tensors_with_bad_ones(spark):
         assert got[k].px == pytest.approx(want.ravel(), abs=1e-6)
     other = {r.id: r.px for r in pixels.tensor_then_resize(good, ["id"], 2, 3).collect()}
     assert all(np.abs(np.array(other[k]) - got[k].px).max() < 1.1 / 255 for k in arrays)
+    for scale_first, want in ((False, {k: r.px for k, r in got.items()}), (True, other)):
+        source = spark.createDataFrame(rows, "id int, payload binary").repartition(3)
+        way = dict(payload="payload", scale_first=scale_first)
+        loaded = pixels.load_tensors(source, ["id"], 2, 3, packed=False, **way).collect()
+        assert [r.id for r in loaded if r.error] == [99] and len(loaded) == 41
+        assert {r.id: r.px for r in loaded if r.error is None} == want
+        packed = pixels.load_tensors(source, ["id"], 2, 3, mode="DROPMALFORMED", **way).collect()
+        assert {r.id: np.frombuffer(r.px, "<f4").tolist() for r in packed} == want
+        with pytest.raises(Exception, match="not a PNG"):
+            pixels.load_tensors(source, ["id"], 2, 3, mode="FAILFAST", **way).collect()
     sized = pixels.resize_images(good, ["id"], 2, 3).first()
     assert (sized.height, sized.width, len(sized.pixels)) == (2, 3, 18)
     flat = {r.id: r.px for r in pixels.to_tensor(good, ["id"]).collect()}
