@@ -145,12 +145,13 @@ def write_tar(spark, sf_dir):
     "read_tar_shards",
     with_sql("manifest", more=TARS)
     + f"""select {tar_name_sql(f'(i // {TAR_ROWS})')} as shard, i % {TAR_ROWS} as pos, class || '/' || key as key, ltrim(ext, '.') as ext,
-  length as n_bytes, md5(body) as digest, cast(null as varchar) as error from placed""",
+  length as n_bytes, md5(body) as digest, '' as error from placed""",
 )
 def read_tar_shards(spark, sf_dir):
     got = tar.read_tar(spark, tar_folder(spark, sf_dir))
     n_bytes = F.octet_length("payload").cast("bigint")
-    return got.select("shard", "pos", "key", "ext", n_bytes.alias("n_bytes"), F.md5("payload").alias("digest"), "error")
+    digest, error = F.md5("payload").alias("digest"), F.coalesce("error", F.lit("")).alias("error")
+    return got.select("shard", "pos", "key", "ext", n_bytes.alias("n_bytes"), digest, error)
 
 
 @query(
@@ -296,7 +297,11 @@ def section_files(runs: DataFrame, target: str) -> None:
 
 @query(
     "scan_metric_sections",
-    with_sql("runs", more="halves as (select *, run_id % 2 + 1 as block, case run_id % 2 when 0 then 'even' else 'odd' end || ' runs' as title from runs)")
+    with_sql(
+        "runs",
+        more="""halves as (select *, run_id % 2 + 1 as block,
+  case run_id % 2 when 0 then 'even' else 'odd' end || ' runs' as title from runs)""",
+    )
     + f"""select loader, block, title, 'run' as kind, cast(run_id as varchar) as name, {rounded_sql(*M)} from halves
 union all select loader, block, title, 'statistic', 'mean', {', '.join(f'round(avg({m}), 6)' for m in M)} from halves group by 1, 2, 3
 union all select loader, block, title, 'statistic', 'std', {', '.join(f'round(stddev_pop({m}), 6)' for m in M)} from halves group by 1, 2, 3""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardflow.functions import columns as C
-from shardflow.operators import mapping, ordering, packing, samples, splits
+from shardflow.operators import mapping, ordering, samples, splits
 from shardflow.plans import loading, stand_ins as V
 from shardflow.plans.registry import query
 from shardflow.plans.stand_ins import order_sql, with_sql

@@ -23,16 +23,35 @@ import tarfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    InputPartition,
+    WriterCommitMessage,
+)
 
 from shardflow.functions.columns import shard_name
 from shardflow.sources.files import filesystem, read_payloads
 
 FORMAT = "shardflow_tar"
 SCHEMA = "shard string, pos bigint, key string, ext string, payload binary, error string"
+ARROW = pa.schema(
+    [
+        ("shard", pa.string()),
+        ("pos", pa.int64()),
+        ("key", pa.string()),
+        ("ext", pa.string()),
+        ("payload", pa.binary()),
+        ("error", pa.string()),
+    ]
+)
 SPLIT_BYTES = 1 << 30
+# Members go to Spark in batches of at most so many bytes (and the one that passes it) or rows.
+BATCH_BYTES, BATCH_ROWS = 16 << 20, 1024
 
 
 class TarSource(DataSource):
@@ -87,6 +106,17 @@ class TarReader(DataSourceReader):
     def read(self, partition: TarRange):
         if not partition.path:
             return
+        rows, held = [], 0
+        for row in self._members(partition):
+            rows.append(row)
+            held += len(row[4] or b"")
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield _record_batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _record_batch(rows)
+
+    def _members(self, partition: TarRange):
         shard = posixpath.basename(partition.path)
         system, at = filesystem(partition.path)
         pos, at_header = 0, 0
@@ -121,12 +151,22 @@ class TarReader(DataSourceReader):
                 yield (shard, pos, None, None, None, f"{type(e).__name__}: {e}")
 
 
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types)], schema=ARROW)
+
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*(batch.column(n).to_pylist() for n in ("shard", "key", "ext", "payload")))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     moves: list[tuple[str, str]]
 
 
-class TarWriter(DataSourceWriter):
+class TarWriter(DataSourceArrowWriter):
     """Each task writes its shards below ``_staging``; the commit moves them out.
 
     A repeated or speculative attempt writes under a name of its own, and only
@@ -137,26 +177,26 @@ class TarWriter(DataSourceWriter):
         self.path = options["path"].rstrip("/")
         self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
 
-    def write(self, rows) -> Written:
+    def write(self, batches) -> Written:
         system, root = filesystem(self.path)
         _, staging = filesystem(f"{self.staging}/{uuid.uuid4().hex}")
         system.create_dir(staging, recursive=True)
         moves, current, out, tar = [], None, None, None
         try:
-            for row in rows:
-                if row.shard != current:
+            for shard, key, ext, payload in _rows(batches):
+                if shard != current:
                     if tar is not None:
                         tar.close()
                         out.close()
-                    current = row.shard
+                    current = shard
                     part = f"{staging}/{current}"
                     moves.append((part, f"{root}/{current}"))
                     out = system.open_output_stream(part)
                     # One member after the other, straight to the output.
                     tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.GNU_FORMAT)
-                info = tarfile.TarInfo(f"{row.key}.{row.ext}")
-                info.size = len(row.payload)
-                tar.addfile(info, io.BytesIO(row.payload))
+                info = tarfile.TarInfo(f"{key}.{ext}")
+                info.size = len(payload)
+                tar.addfile(info, io.BytesIO(payload))
         finally:
             if tar is not None:
                 tar.close()
