@@ -4,24 +4,31 @@ from __future__ import annotations
 
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 
 
-@lru_cache(maxsize=256)
+# Weights by (in, out) size, kept for the length of a task.
+_weights: dict[tuple[int, int], np.ndarray] = {}
+
+
 def bilinear_weights(n_in: int, n_out: int) -> np.ndarray:
     """``(n_out, n_in)`` weights of triangle-filter resampling along one axis.
 
     When shrinking, the triangle is widened by the scale, so that every source
     pixel counts.
     """
+    if (n_in, n_out) in _weights:
+        return _weights[n_in, n_out]
     scale = n_in / n_out
     width = max(scale, 1.0)
     centre = (np.arange(n_out) + 0.5) * scale
     source = np.arange(n_in) + 0.5
     w = np.clip(1.0 - np.abs(source[None, :] - centre[:, None]) / width, 0.0, None)
-    return w / w.sum(axis=1, keepdims=True)
+    if len(_weights) >= 256:
+        _weights.clear()
+    _weights[n_in, n_out] = w = w / w.sum(axis=1, keepdims=True)
+    return w
 
 
 def resize_planes(planes: np.ndarray, height: int, width: int, rounding: str = "uint8") -> np.ndarray:
