@@ -12,7 +12,7 @@ from shardflow.plans import loading, stand_ins as V
 from shardflow.plans.queries_metrics import M, RUN_NUMBERS, RUN_SQL, rounded, rounded_sql
 from shardflow.plans.queries_order import SEED, packed_sql
 from shardflow.plans.registry import query
-from shardflow.plans.stand_ins import order_sql, with_sql
+from shardflow.plans.stand_ins import key_sql, order_sql, with_sql
 from shardflow.scratch import scratch_path
 from shardflow.sources import columnar, files, reports, tar
 from shardflow.streaming import files as streams
@@ -212,9 +212,9 @@ def column_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 LABELLED = """labelled as (select *, dense_rank() over (order by class) - 1 as label from manifest where class not like '.%')"""
-KEY = "md5(concat_ws('|', '42', '0', cast(doc_id as varchar), cast(label as varchar)))"
+KEY = key_sql(SEED, 0, "doc_id", "label")
 PACKED = LABELLED + ",\n" + packed_sql(
-    f"select doc_id, label, length, body, row_number() over (order by {KEY}, doc_id) - 1 as i from labelled", SHARD_BYTES, BLOCK
+    f"select doc_id, label, length, body, row_number() over (order by {KEY}, doc_id, label) - 1 as i from labelled", SHARD_BYTES, BLOCK
 )
 
 
@@ -236,8 +236,7 @@ def write_columns(spark, sf_dir):
 
 def _reader_sql() -> str:
     """Shards in seeded order, then blocks of 32 samples shuffled."""
-    key = "md5(concat_ws('|', '9', '0', cast(shard as varchar), cast(pos as varchar)))"
-    shard = "md5(concat_ws('|', '9', '0', cast(shard as varchar)))"
+    key, shard = key_sql(9, 0, "shard", "pos"), key_sql(9, 0, "shard")
     return f"""select shard, pos, cast(label as bigint) as label, md5(body) as digest,
   i // 32 * 32 + row_number() over (partition by i // 32 order by {key}, shard, pos) - 1 as i
 from (select * exclude (i), row_number() over (order by {shard}, shard, pos) - 1 as i

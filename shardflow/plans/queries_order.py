@@ -8,7 +8,7 @@ from shardflow.functions import columns as C
 from shardflow.operators import mapping, ordering, samples, splits
 from shardflow.plans import loading, stand_ins as V
 from shardflow.plans.registry import query
-from shardflow.plans.stand_ins import order_sql, with_sql
+from shardflow.plans.stand_ins import key_sql, order_sql, with_sql
 
 SEED = 42
 # Sizes for the small given tables; real shards are larger.
@@ -30,13 +30,13 @@ ORDERED = order_sql("samples", "id", SEED)
 SHARDED = f"sharded as (select *, i // {SHARD_ROWS} as shard, i % {SHARD_ROWS} as pos from ({order_sql('samples', 'id', 1)}))"
 SHUFFLED_SHARDS = f"""{SHARDED},
 ranks as (select shard, n, sum(n) over (order by r rows unbounded preceding) - n as start, r - 1 as shard_rank
-  from (select shard, n, row_number() over (order by md5(concat_ws('|', '{SEED}', '0', cast(shard as varchar))), shard) as r
+  from (select shard, n, row_number() over (order by {key_sql(SEED, 0, 'shard')}, shard) as r
     from (select shard, count(*) as n from sharded group by shard))),
 placed as (select id, sharded.shard, shard_rank, cast(start + pos as bigint) as i from sharded join ranks using (shard))"""
 
 
 def _local_sql(source: str, buffer: int) -> str:
-    key = f"md5(concat_ws('|', '{SEED}', '0', cast(id as varchar)))"
+    key = key_sql(SEED, 0, "id")
     return f"i // {buffer} * {buffer} + row_number() over (partition by i // {buffer} order by {key}, id) - 1 as i from {source}"
 
 

@@ -243,8 +243,13 @@ def with_sql(*names: str, more: str = "") -> str:
     return "with recursive " + ",\n".join([*parts, more] if more else parts) + "\n"
 
 
+def key_sql(seed: int, epoch: int | str, *ids: str) -> str:
+    """The seeded sort key: the first 60 bits of an md5, here as 15 hex digits."""
+    parts = ", ".join(f"cast({x} as varchar)" for x in (epoch, *ids))
+    return f"substr(md5(concat_ws('|', '{seed}', {parts})), 1, 15)"
+
+
 def order_sql(table_: str, ids: str, seed: int, epoch: int | str = 0, within: str = "", extra: str = "*") -> str:
     """SQL of a seeded dense index ``i`` over a table."""
     part = f"partition by {within} " if within else ""
-    key = f"md5(concat_ws('|', '{seed}', cast({epoch} as varchar), cast({ids} as varchar)))"
-    return f"select {extra}, row_number() over ({part}order by {key}, {ids}) - 1 as i from {table_}"
+    return f"select {extra}, row_number() over ({part}order by {key_sql(seed, epoch, ids)}, {ids}) - 1 as i from {table_}"
