@@ -9,6 +9,7 @@ from shardflow.operators import mapping, ordering, samples, splits
 from shardflow.plans import loading, stand_ins as V
 from shardflow.plans.registry import query
 from shardflow.plans.stand_ins import key_sql, order_sql, with_sql
+from shardflow.scratch import materialise
 
 SEED = 42
 # Sizes for the small given tables; real shards are larger.
@@ -20,9 +21,9 @@ def _placed(spark, sf_dir, **kw):
 
 
 def _in_order(spark, sf_dir):
-    """Samples in shards by id, as shards lie on disk before a pass."""
+    """Samples in shards, written down as they lie on disk before a pass."""
     s = V.samples(spark, sf_dir)
-    return splits.shards_fixed(ordering.dense_index(s, ["id"], seed=1), SHARD_ROWS).drop("i")
+    return materialise(splits.shards_fixed(ordering.dense_index(s, ["id"], seed=1), SHARD_ROWS).drop("i"), "shards")
 
 
 ORDERED = order_sql("samples", "id", SEED)
