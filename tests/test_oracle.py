@@ -4,9 +4,10 @@ import pytest
 from check import compare, connect
 
 import __spark_entry__ as entry
+from shardflow.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries.QUERIES, all_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
