@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm import ngram_join
+from shardflow.llm import exact_dedup, mixing, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_groups(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+@query(
+    "op9_exact_dedup",
+    r"""
+    with t as (
+      select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256
+      from documents
+    ),
+    g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from t group by 1)
+    select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, t.text_sha256 from t join g using (text_sha256)
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op3_source_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
