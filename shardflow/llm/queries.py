@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm import exact_dedup, mixing, ngram_join
+from shardflow.llm import exact_dedup, mixing, ngram_join, preference, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,69 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_source_mixing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
+
+
+@query(
+    "op10_chat_formatting",
+    r"""
+    with t as (
+      select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as k
+      from conversations where conv_id is not null
+    ),
+    n as (
+      select c, r, x, row_number() over (partition by r, x order by substr(md5('0|0|' || c), 1, 15), c) - 1 as i
+      from t where k = 0
+    ),
+    p as (
+      select max(case when i % 2 = 0 then c end) as chosen, max(case when i % 2 = 1 then c end) as rejected
+      from n group by r, x, i // 2
+    ),
+    s as (
+      select p.chosen as pair_id, 1 as side, t.k, t.r, t.x from p join t on t.c = p.chosen
+      union all select p.chosen, 2, t.k, t.r, t.x from p join t on t.c = p.rejected
+    ),
+    both_sides as (
+      select pair_id, k, count(*) as n, count(distinct (r, x)) as texts from s group by 1, 2
+    ),
+    cut as (
+      select pair_id, coalesce(min(case when n < 2 or texts > 1 then k end), max(k) + 1) as prompt_turns
+      from both_sides group by 1
+    ),
+    w as (
+      select s.*, cut.prompt_turns, '<|im_start|>' || r || chr(10) as head,
+        '<|im_start|>' || r || chr(10) || x || '<|im_end|>' || chr(10) as written
+      from s join cut using (pair_id)
+    ),
+    m as (
+      select *, sum(length(written)) over (partition by pair_id, side, k >= prompt_turns order by k) - length(written) as spot from w
+    ),
+    g as (
+      select pair_id, any_value(prompt_turns) as prompt_turns,
+        coalesce(string_agg(written, '' order by k) filter (side = 1 and k < prompt_turns), '') as prompt,
+        coalesce(string_agg(written, '' order by k) filter (side = 1 and k >= prompt_turns), '') as chosen_completion,
+        coalesce(string_agg(written, '' order by k) filter (side = 2 and k >= prompt_turns), '') as rejected_completion,
+        coalesce(string_agg((spot + length(head)) || '-' || (spot + length(head) + length(x)), ',' order by k)
+          filter (side = 1 and k >= prompt_turns and r = 'assistant'), '') as chosen_mask,
+        coalesce(string_agg((spot + length(head)) || '-' || (spot + length(head) + length(x)), ',' order by k)
+          filter (side = 2 and k >= prompt_turns and r = 'assistant'), '') as rejected_mask
+      from m group by 1
+    )
+    select p.chosen as pair_id, p.chosen, p.rejected, cast(g.prompt_turns as integer) as prompt_turns, g.prompt,
+      g.chosen_completion, g.rejected_completion, g.chosen_mask, g.rejected_mask
+    from p join g on g.pair_id = p.chosen
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    out = preference.format_preferences(preference.opening_pairs(turns), turns)
+    for side in ("chosen", "rejected"):
+        ranges = F.transform(f"{side}_mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+        out = out.withColumn(f"{side}_mask", F.array_join(ranges, ","))
+    return out
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
