@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm import exact_dedup, mixing, ngram_join, preference, substring_dedup
+from shardflow.llm import exact_dedup, mixing, ngram_join, preference, substring_dedup, token_codes
+from shardflow.scratch import scratch_path
+
+def public_tokenizer(name: str) -> str:
+    """Where a file of the public tokenizers is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +124,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_token_codes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizer("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    path = scratch_path(spark, "tokens")
+    token_codes.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer, end=1, by_word=True)
+    return token_codes.read_documents(spark, path, digest=True)
