@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardflow.llm import exact_dedup, mixing, ngram_join, preference, substring_dedup, token_codes
+from shardflow.llm import (
+    exact_dedup,
+    language_id,
+    mixing,
+    ngram_join,
+    preference,
+    sentencepiece_codec,
+    substring_dedup,
+    token_codes,
+)
 from shardflow.scratch import scratch_path
 
 def public_tokenizer(name: str) -> str:
@@ -133,3 +142,31 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_codes.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer, end=1, by_word=True)
     return token_codes.read_documents(spark, path, digest=True)
+
+
+def public_model(name: str = "piece_bpe_32k.model") -> bytes:
+    with open(public_tokenizer(name), "rb") as f:
+        return f.read()
+
+
+@query("op5_sentencepiece")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_model()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(docs, model), model)
+    whole = F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+        F.col("verified").alias("same_as_sentencepiece"),
+        (F.col("decoded") == whole).alias("round_trip"),
+    )
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.fit(docs.where(~language_id.held_out()))
+    out = language_id.identify(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
