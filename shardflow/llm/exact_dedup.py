@@ -32,13 +32,14 @@ def normalised(text: Column | str) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """The text cut into chunks; joined together they are the text."""
-    parts = F.split(text, CUT)
-    spaced = F.transform(parts, lambda c, k: F.when(k < F.size(parts) - 1, F.concat(c, F.lit(" "))).otherwise(c))
-    cut = lambda c: F.when(
-        F.length(c) > LONGEST, F.regexp_extract_all(c, F.lit(f"(?s).{{1,{LONGEST}}}"), F.lit(0))
-    ).otherwise(F.array(c))
-    return F.flatten(F.transform(spaced, cut))
+    """The text cut into chunks that each end with a space; joined together they are the text and a space."""
+
+    def ended(part: Column) -> Column:
+        whole = F.concat(part, F.lit(" "))
+        pieces = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{LONGEST}}}"), F.lit(0))
+        return F.when(F.length(part) < LONGEST, F.array(whole)).otherwise(pieces)
+
+    return F.flatten(F.transform(F.split(text, CUT), ended))
 
 
 def _number(chunk: Column, bits: int) -> Column:
