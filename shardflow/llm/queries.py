@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shardflow.llm import (
     exact_dedup,
+    exact_topk,
     language_id,
     mixing,
     ngram_join,
@@ -170,3 +171,22 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = language_id.fit(docs.where(~language_id.held_out()))
     out = language_id.identify(docs.select("doc_id", "text"), profiles)
     return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op7_exact_topk",
+    """
+    with v as (
+      select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+      where embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+    ),
+    s as (
+      select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0
+    ),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+    select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_products(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256)
