@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.llm.words import Words, pieces, spans
+from shardflow.llm.words import U64, Words, mix, pieces, spans
 from shardflow.scratch import materialise
 
 MARKS = "anchor long, whole long, doc long, start int, n int, src long, src_start int, kind int"
@@ -84,7 +84,9 @@ def _earliest(columns: list[np.ndarray]) -> list[np.ndarray]:
     new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
     later = (doc != doc[first]) | (start != start[first])
-    return [anchor, whole, doc, start, n, doc[first], start[first], np.where(later, FOUND, ENTRY)]
+    # Found parts only pass through the index: they are spread over its blocks.
+    spread = mix(doc.view(U64), 51) ^ start.astype(U64)
+    return [np.where(later, spread.view(np.int64), anchor), whole, doc, start, n, doc[first], start[first], np.where(later, FOUND, ENTRY)]
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
