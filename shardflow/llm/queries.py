@@ -13,6 +13,7 @@ from shardflow.llm import (
     language_id,
     mixing,
     ngram_join,
+    pii,
     preference,
     sentencepiece_codec,
     substring_dedup,
@@ -190,3 +191,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_products(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256)
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["plain"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["plain"] & (s["kind"] == kind))).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(F.array_join(F.transform(base, written), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", written), ",").alias("spans"),
+    )
