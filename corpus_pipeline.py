@@ -1,15 +1,90 @@
-"""A training corpus from ``documents``: stages of text operators, one after the other."""
+"""A training corpus from ``documents``: stages of text operators, one after the other.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
+written as Parquet and read again as the next stage's ``docs``.  All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shardflow.llm import exact_dedup, language_id, mixing, ngram_join, queries, sentencepiece_codec
+from shardflow.scratch import materialise
+
+#: Dimensions of the language profiles.
+PROFILE_SIZE = 1024
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones among them teach.
+
+    Rejected are texts that are null or without a letter, and those no nearer
+    to any language than a random vector would be (a cosine of one over the root of
+    the dimensions).  Without any label only the first kind is rejected.
+    """
+    profiles = language_id.fit(docs, size=PROFILE_SIZE)
+    out = language_id.identify(docs, profiles, lang_pred="_lang_pred", score="_lang_score")
+    if profiles.languages:
+        keep = (F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_lang_score") >= PROFILE_SIZE**-0.5)
+    else:
+        keep = F.col("text").rlike(r"\p{L}")
+    return out.where(keep).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space, the row with the smallest id."""
+    return exact_dedup.without_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8, the one with the smallest id.
+
+    Rows without id are compared with nothing and stay.
+    """
+    groups = ngram_join.ngram_jaccard_groups(docs, n=5, num=4, den=5)
+    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them: not at all, once or twice."""
+    return mixing.mixed(docs, weights=(3, 1, 2), share=1.5, cap=2)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, compared with the other library and decoded again."""
+    model = queries.public_model()
+    rows = docs.select("doc_id", "lang", "source", "text")
+    out = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(rows, model), model)
+    whole = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
+    return out.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        "ids",
+        (F.col("verified") & (F.col("decoded") == whole)).alias("verified"),
+    )
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
-STAGES = []
+#: Language profiles, multipliers and token ids cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, name)
     return docs

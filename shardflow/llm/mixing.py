@@ -127,10 +127,12 @@ def copies_due(histogram: DataFrame, wanted: DataFrame, cap: int, rounds: int =
         # Documents that can still take one more, or give one back.
         free = F.when(F.col("miss") > 0, F.when(F.col("base") + 1 <= cap, F.col("n") - F.col("due")).otherwise(-F.col("due")))
         free = free.otherwise(F.when(F.col("base") >= 1, F.col("n") + F.col("due")).otherwise(F.col("due")))
-        room = room.withColumn("free", free).where("free > 0 and size <= abs(miss) and miss <> 0")
-        pick = room.groupBy("s").agg(F.max("size").alias("size"))
+        # The size nearest to what is missing; one that is larger must still bring the sum nearer.
+        room = room.withColumn("free", free).where("free > 0 and size < 2 * abs(miss)")
+        apart = F.expr("2 * abs(size - abs(miss)) + if(size > abs(miss), 1, 0)")
+        pick = room.groupBy("s").agg(F.min_by("size", apart).alias("size"))
         move = room.join(pick, ["s", "size"]).select(
-            "s", "size", F.expr("cast(sign(miss) as bigint) * least(free, abs(miss) div size)").alias("move")
+            "s", "size", F.expr("cast(sign(miss) as bigint) * least(free, greatest(1L, abs(miss) div size))").alias("move")
         )
         move = materialise(move, "moves")
         if move.isEmpty():
@@ -158,8 +160,9 @@ def mixture(
     ``size`` counts words; a null text has none.  A null source is a source of
     its own and comes last.  ``taken`` is ``copies * size``; ``copies`` is at
     most ``cap``.  Documents without words take no copy, and a source without
-    words has the target 0.  The sum taken from a source misses its target by
-    less than its smallest document that could have been taken once more.
+    words has the target 0.  The sum taken from a source ends near its target: no
+    single copy more or less of any document would bring it nearer (after at most a
+    dozen corrections).
     Rows with equal id, source and size may take different numbers of copies,
     in no fixed order.  Other columns are not looked at.
     """
@@ -196,8 +199,9 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
 
     Rows that share an id share the copies of all of them evenly.
     """
-    plan = mixture(docs, id, text, source, **options).where("copies > 0")
-    plan = materialise(plan.groupBy(F.col(id).alias("_mix_id")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_mix_rows")), "mixture")
+    plan = mixture(docs, id, text, source, **options).groupBy(F.col(id).alias("_mix_id"))
+    plan = plan.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_mix_rows")).where("_copies > 0")
+    plan = materialise(plan, "mixture")
     rows = docs.join(plan, docs[id].cast("bigint").eqNullSafe(F.col("_mix_id")))
     turn = F.row_number().over(Window.partitionBy("_mix_id").orderBy(F.col(source), F.length(text))) - 1
     rows = rows.withColumn("_turn", F.when(F.col("_mix_rows") > 1, turn).otherwise(F.lit(0)))
