@@ -10,14 +10,23 @@ import numpy as np
 Encode = Callable[[list[str]], list[list[int]]]
 
 
-def ids_of_units(encode: Encode, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(ids, counts)``: ids of the units ``data[start:end]`` one after the other, and how many each has."""
+def ids_of_units(
+    encode: Encode, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, chunk: int = 4096
+) -> tuple[np.ndarray, np.ndarray]:
+    """``(ids, counts)``: ids of the units ``data[start:end]`` one after the other, and how many each has.
+
+    ``chunk`` units are with the library at a time, whose results are far larger than ids.
+    """
     _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
     raw = data.tobytes()
-    lists = encode([raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())]) if len(first) else []
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-    counts = sizes[place]
-    begin = (np.cumsum(sizes) - sizes)[place]
+    sizes, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for at in range(0, len(first), chunk):
+        some = first[at : at + chunk]
+        lists = encode([raw[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist())])
+        sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        parts.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
+    size, flat = np.concatenate(sizes), np.concatenate(parts)
+    counts = size[place]
+    begin = (np.cumsum(size) - size)[place]
     at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     return flat[at], counts
