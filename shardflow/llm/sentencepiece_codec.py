@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from shardflow.llm import sentencepiece_model
 from shardflow.llm.sentencepiece_model import MARKER
-from shardflow.llm.unit_ids import ids_of_units
-from shardflow.llm.words import LETTER, pieces, spans
+from shardflow.llm.unit_ids import UnitIds, piece_cuts
+from shardflow.llm.words import Texts, pieces
 
 
 def _threads(count: int) -> None:
@@ -23,11 +23,17 @@ def _threads(count: int) -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if count > 1 else "false"
 
 
+#: The model's normaliser without its dummy prefix: a field at the end of a message replaces an earlier one.
+NO_PREFIX = b"\x1a\x02\x18\x00"
+
+
 class Encoder:
     """Encodes lists of texts and compares with the sentencepiece library on request.
 
-    Where the model allows it, a text is taken apart before its spaces and every
-    distinct unit of a batch is encoded, and compared, once.
+    Where the model allows it, a text is taken apart between letters that stand
+    together in no piece, and a task encodes, and compares, every distinct
+    unit once while it remembers it.  The dummy prefix is then written in
+    front of the text, and both libraries get units without one.
     """
 
     def __init__(self, data: bytes, verify: bool):
@@ -38,48 +44,24 @@ class Encoder:
         if verify:
             from sentencepiece import SentencePieceProcessor
 
-            self.reference = SentencePieceProcessor(model_proto=data)
+            self.reference = SentencePieceProcessor(model_proto=data + NO_PREFIX if self.plain else data)
+        joined = [p.replace(MARKER, " ").encode() for p, _, kind in model.pieces if kind == sentencepiece_model.NORMAL]
+        self.units = UnitIds(self._encode, piece_cuts(joined)) if self.plain else None
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.reference is None:
+            return lists, np.ones(len(texts), bool)
+        wanted = self.reference.encode(texts, num_threads=1)
+        return lists, np.array([a == b for a, b in zip(lists, wanted)], bool)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, how many each has, and whether the libraries agree on it."""
-        agree = np.ones(len(texts), bool)
-        if not self.plain:
-            lists = self._encode(texts)
-            if self.reference is not None:
-                agree = np.array([a == b for a, b in zip(lists, self.reference.encode(texts))], bool)
-            sizes = np.array([len(x) for x in lists], np.int64)
-            return np.array([i for x in lists for i in x], np.uint32), sizes, agree
-        # The dummy prefix is a space; a unit begins at a space that follows none.
-        parts = [b" " + t.encode() if t else b"" for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        space = data == 0x20
-        begin = space.copy()
-        begin[1:] &= ~space[:-1]
-        begin[offsets[:-1][np.diff(offsets) > 0]] = True
-        start = np.flatnonzero(begin)
-        end = np.append(start[1:], len(data)) if len(start) else start
-        row = np.searchsorted(offsets, start, side="right") - 1
-        differ: set[str] = set()
-
-        def encode(units: list[str]) -> list[list[int]]:
-            lists = self._encode(units)
-            if self.reference is not None:
-                wanted = self.reference.encode([u[1:] for u in units], num_threads=1)
-                # A lone space at the end of a text: alone the other library would drop it.
-                wanted = [[self.reference.piece_to_id(MARKER)] if u == " " else w for u, w in zip(units, wanted)]
-                differ.update(u for u, a, b in zip(units, lists, wanted) if a != b)
-            return lists
-
-        ids, counts = ids_of_units(encode, data, start, end, spans(LETTER[data], start, end))
-        if differ:
-            raw = data.tobytes()
-            for k in range(len(start)):
-                agree[row[k]] &= raw[start[k] : end[k]].decode() not in differ
-        return ids, np.bincount(row, weights=counts, minlength=len(texts)).astype(np.int64), agree
+        if self.units is None:
+            lists, agree = self._encode(texts)
+            return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64), agree
+        prefixed = Texts(pa.array([" " + t if t else "" for t in texts], pa.string()))
+        return self.units(prefixed.bytes, prefixed.offsets)
 
 
 def encode_texts(
@@ -104,7 +86,7 @@ def encode_texts(
         _threads(threads)
         encoder = Encoder(shared.value, verified is not None)
         for batch in batches:
-            for piece in pieces(batch, text, 8 << 20):
+            for piece in pieces(batch, text):
                 values, sizes, agree = encoder([t or "" for t in piece.column(text).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))

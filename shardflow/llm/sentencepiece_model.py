@@ -60,14 +60,15 @@ class Model:
     marks_spaces: bool = True
 
     def plain(self) -> bool:
-        """Whether a text may be encoded in units that begin with a space.
+        """Whether a text may be encoded in units.
 
-        So it is when the normaliser changes nothing else and no piece has a
-        space after another letter.
+        So it is when the normaliser only marks spaces and adds its prefix, every
+        letter has a code (byte fallback), and no piece has a space after
+        another letter.
         """
         inside = any(MARKER in p.lstrip(MARKER) for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED))
         listed = any(kind == USER_DEFINED for _, _, kind in self.pieces)
-        return not (inside or listed or self.charsmap or self.extra_spaces_go or not self.dummy_prefix or not self.marks_spaces)
+        return not (inside or listed or self.charsmap or self.extra_spaces_go or not self.dummy_prefix or not self.marks_spaces or not self.byte_fallback)
 
 
 def parse(data: bytes) -> Model:

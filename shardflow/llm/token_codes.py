@@ -14,9 +14,10 @@ store, and a lost executor leaves no half file.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardflow.llm.unit_ids import ids_of_units
-from shardflow.llm.words import Words, pieces
+from shardflow.llm.unit_ids import UnitIds, word_cuts
+from shardflow.llm.words import Texts, pieces
 
 MAGIC = b"DAC1"
 STEP = 512  # positions between two entries of a directory
@@ -107,15 +108,74 @@ class Codes:
         return out.astype(np.uint32)
 
 
-def library_encoder(model: str) -> Callable[[list[str]], list[list[int]]]:
-    """Encodes texts with the tokenizers library, on one thread; ``model`` is the content of its file."""
-    import os
+class LibraryEncoder:
+    """Ids of texts by the tokenizers library, on one thread; ``model`` is the content of its file.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    With ``by_word`` texts are encoded by units (see ``word_cuts``).  That is right for
+    tokenizers that drop white space and cut between letters and signs; every
+    task holds its first text against the library's answer for the whole and ends in
+    an error if they differ.  Texts with one of the special tokens are
+    always encoded whole.
+    """
+
+    def __init__(self, model: str, by_word: bool):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(model)
-    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_str(model)
+        self.units = None
+        if by_word:
+            settings = json.loads(model)
+            suffix = settings["model"].get("end_of_word_suffix")
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+            self.special = [t["content"].encode() for t in settings.get("added_tokens", [])]
+            self.units = UnitIds(self._units, word_cuts(), lower='"Lowercase"' in json.dumps(settings["normalizer"]), spaces=False)
+            self.checked = False
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, texts: list[str]) -> tuple[list, np.ndarray]:
+        """Words of plain letters are encoded in one text; each ends with a token that ends a word."""
+        out: list = [None] * len(texts)
+        words = [k for k, t in enumerate(texts) if t.isascii() and t.isalpha()]
+        if words:
+            (ids,) = self.whole([" ".join(texts[k] for k in words)])
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(words) and cuts[-1] == len(ids):
+                for k, lo, hi in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                    out[k] = ids[lo:hi]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self.whole([texts[k] for k in rest])):
+            out[k] = ids
+        return out, np.ones(len(texts), bool)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and how many each has."""
+        if self.units is None:
+            lists = self.whole(texts.to_pylist())
+            return np.concatenate([np.zeros(0, np.uint32), *[np.asarray(x, np.uint32) for x in lists]]), np.array([len(x) for x in lists], np.int64)
+        words = Texts(texts)
+        ids, sizes, _ = self.units(words.bytes, words.offsets)
+        raw = words.bytes.tobytes()
+        odd = range(0)
+        if any(token in raw for token in self.special):
+            content = texts.to_pylist()
+            odd = [k for k, t in enumerate(content) if any(token in t.encode() for token in self.special)]
+        if not self.checked and len(texts) and 0 not in odd:
+            self.checked = True
+            if self.whole([texts[0].as_py()])[0] != ids[: sizes[0]].tolist():
+                raise ValueError("this tokenizer cannot be used by words")
+        if odd:
+            lists = np.split(ids, np.cumsum(sizes)[:-1])
+            for k, found in zip(odd, self.whole([content[k] for k in odd])):
+                lists[k] = np.asarray(found, np.uint32)
+            ids, sizes = np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+        return ids, sizes
 
 
 def write_tokens(
@@ -135,8 +195,7 @@ def write_tokens(
     ``tokenizer`` is the content of a tokenizers file; executors get it with
     the job, since it is not data and does not grow.  ``end`` is appended to every document.
     A null text is empty; rows without id come first; rows that share an id
-    are ordered by text.  ``by_word`` encodes each distinct word of a batch once;
-    it is right for tokenizers that drop white space and join nothing across it.
+    are ordered by text.  For ``by_word`` see ``LibraryEncoder``.
     A segment holds whole documents, ``segment`` ids or a few more, or one longer
     document.  Other columns are not written.
     """
@@ -144,22 +203,15 @@ def write_tokens(
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
 
-    def encoded(piece: pa.RecordBatch, encode) -> tuple[np.ndarray, np.ndarray]:
-        if by_word:
-            words = Words(piece.column("text"))
-            ids, counts = ids_of_units(encode, words.bytes, words.start, words.end, words.hashes())
-            sizes = np.bincount(words.row, weights=counts, minlength=words.rows).astype(np.int64)
-        else:
-            lists = encode(piece.column("text").to_pylist())
-            sizes = np.array([len(x) for x in lists], np.int64)
-            ids = np.concatenate([np.asarray(x, np.uint32) for x in lists])
+    def encoded(texts: pa.Array, encode: LibraryEncoder) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = encode(texts)
         if end is not None:
             ids = np.insert(ids, np.cumsum(sizes), end)
             sizes = sizes + 1
         return ids, sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(shared.value)
+        encode = LibraryEncoder(shared.value, by_word)
         number = TaskContext.get().partitionId() << 32
         docs_held: list = []
         sizes_held: list[np.ndarray] = []
@@ -180,8 +232,8 @@ def write_tokens(
             )
 
         for batch in batches:
-            for piece in pieces(batch, "text", 8 << 20):
-                ids, sizes = encoded(piece, encode)
+            for piece in pieces(batch, "text"):
+                ids, sizes = encoded(piece.column("text"), encode)
                 names = piece.column("id").to_pylist()
                 ends = np.cumsum(sizes)
                 at = 0

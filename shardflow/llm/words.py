@@ -46,12 +46,29 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of ``values[start:end]`` for every pair, the same wherever it stands."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A hash of ``values[start:end]`` for every pair, the same wherever it stands.
+
+    ``block`` values are summed at a time, or as many as the longest pair spans.
+    """
+    if len(start) > 1 and (start[1:] < start[:-1]).any():
+        order = np.argsort(start, kind="stable")
+        out = np.empty(len(start), U64)
+        out[order] = spans(values, start[order], end[order], block)
+        return out
+    out = np.empty(len(start), U64)
+    at = 0
+    while at < len(start):
+        lo = int(start[at])
+        upto = int(np.searchsorted(start, lo + block))
+        a, b = start[at:upto] - lo, end[at:upto] - lo
+        held = values[lo : lo + int(b.max())]
+        up, down = powers(len(held) + 1)
+        total = np.zeros(len(held) + 1, U64)
+        np.cumsum(held * up[: len(held)], out=total[1:])
+        out[at:upto] = mix((total[b] - total[a]) * down[a] + (b - a).astype(U64))
+        at = upto
+    return out
 
 
 def pieces(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -68,8 +85,8 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[p
         at += upto
 
 
-class Words:
-    """The words of a column of texts: byte range and row of each, in order."""
+class Texts:
+    """The bytes of a column of texts, one after the other; null is empty."""
 
     def __init__(self, texts: pa.Array):
         if isinstance(texts, pa.ChunkedArray):
@@ -81,6 +98,13 @@ class Words:
         self.bytes = np.frombuffer(data, np.uint8)[lo:hi] if data is not None and hi > lo else np.zeros(0, np.uint8)
         self.offsets = offsets - lo if len(texts) else np.zeros(1, np.int64)
         self.rows = len(texts)
+
+
+class Words(Texts):
+    """The words of a column of texts: byte range and row of each, in order."""
+
+    def __init__(self, texts: pa.Array):
+        super().__init__(texts)
         solid = np.zeros(len(self.bytes) + 2, bool)
         solid[1:-1] = ~SPACE[self.bytes]
         edge = np.zeros(len(self.bytes) + 1, bool)  # before a byte: a text ends or begins
