@@ -64,10 +64,11 @@ def recipes(docs: DataFrame, id: str, text: str, bits: int = 64) -> DataFrame:
 
     known = cut.select(F.explode("chunks").alias("chunk")).select(_number(F.col("chunk"), bits).alias("number"), "chunk").distinct()
     shared = known.groupBy("number").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("number")
-    clashes = materialise(known.join(shared, "number"), "chunk-clashes")
+    shared = materialise(shared, "shared-numbers")
     nowhere = F.array().cast("array<struct<at:int,place:bigint>>")
-    if clashes.isEmpty():
+    if shared.isEmpty():
         return listed.withColumn("places", nowhere)
+    clashes = materialise(known.join(shared, "number"), "chunk-clashes")
     # Chunks with one number get places in the order of their texts, found by
     # counting smaller ones.
     placed = (
