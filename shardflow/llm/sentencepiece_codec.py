@@ -60,7 +60,8 @@ class Encoder:
         if self.units is None:
             lists, agree = self._encode(texts)
             return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64), agree
-        prefixed = Texts(pa.array([" " + t if t else "" for t in texts], pa.string()))
+        # The marker itself counts as a space.
+        prefixed = Texts(pa.array([" " + t.replace(MARKER, " ") if t else "" for t in texts], pa.string()))
         return self.units(prefixed.bytes, prefixed.offsets)
 
 
