@@ -118,9 +118,12 @@ def fit(
     reaches the driver is one vector of ``size`` numbers for a language.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chance = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < F.lit(float(per_language)) / F.col("n") * (1 << 30)
-    chosen = rows.join(counts, "lang").where(chance).select("lang", "text")
+    # One number for a language, as the profiles are one vector for a language; texts are not shuffled.
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return Profiles([], np.zeros((0, size)))
+    limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(per_language / n * (1 << 30)))])
+    chosen = rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < F.element_at(limit, F.col("lang"))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
