@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from shardflow.functions.columns import idiv
-from shardflow.scratch import materialise, small_side
+from shardflow.scratch import materialise
 
 
 KEY_BITS = 60
@@ -39,13 +39,8 @@ def order_key(ids: Sequence[str], seed: int = 0, epoch: int | Column = 0) -> Col
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("bigint")
 
 
-def _bucket_bits(df: DataFrame) -> int:
-    """Leading bits of the key that name a bucket: 1024, 8192 or 65536 buckets.
-
-    Any number gives the same index; more keep buckets small on more tasks.
-    """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 10 if tasks <= 64 else 13 if tasks <= 1024 else 16
+#: Leading bits of the key that name a bucket; any number gives the same index.
+BUCKET_BITS = 16
 
 
 def _piece(piece: Column, within: Sequence[str]) -> Column:
@@ -84,17 +79,14 @@ def dense_index(
     the first rows of the order and skips the buckets beyond them.  ``total``
     names a column for the number of rows (of the group).
     """
-    bits = _bucket_bits(df)
-    if within:
-        bits = max(8, bits - 4)  # the bucket table grows with the number of groups
     keyed = df.withColumn("_key", order_key(ids, seed, epoch))
-    keyed = keyed.withColumn("_bucket", _piece(F.shiftright("_key", KEY_BITS - bits).cast("int"), within))
+    keyed = keyed.withColumn("_bucket", _piece(F.shiftright("_key", KEY_BITS - BUCKET_BITS).cast("int"), within))
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole, upto = _groups("_bucket", within)
     offsets = sizes.select(
         "_bucket", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"), F.sum("_n").over(whole).alias("_total")
     )
-    # Without groups there are at most 2**bits offsets, whatever the data.
+    # Without groups there are at most 2**BUCKET_BITS offsets, whatever the data.
     joined = keyed.join(offsets if within else F.broadcast(offsets), "_bucket")
     if limit is not None:
         joined = joined.where(F.col("_start") < limit)
@@ -177,7 +169,7 @@ def shuffle_shards(
     """Shuffle whole shards and keep the order inside each of them."""
     shards = df.groupBy(F.col(shard).alias("_shard")).agg(F.count(F.lit(1)).alias("_rows"))
     ranked = dense_index(shards, ["_shard"], seed=seed, epoch=epoch, index="shard_rank")
-    starts = small_side(running_start(ranked, "shard_rank", "_rows").drop("_rows"))
+    starts = running_start(ranked, "shard_rank", "_rows").drop("_rows")
     return df.join(starts, df[shard] == F.col("_shard")).select(
         *df.columns, "shard_rank", (F.col("start") + F.col(pos)).alias(index)
     )

@@ -1,8 +1,8 @@
-"""Shards limited by bytes."""
+"""Shards limited by bytes, as one writer fills them."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,56 +12,106 @@ from pyspark.sql import types as T
 
 from shardflow.functions.columns import idiv
 from shardflow.operators.ordering import running_start
-from shardflow.scratch import materialise, small_side
+from shardflow.scratch import materialise
 
 
-def greedy_shards(lengths: np.ndarray, limit: int) -> np.ndarray:
-    """Shard of each sample: a sample that would pass the limit opens a new one.
+def next_openings(lengths: np.ndarray, limit: int) -> np.ndarray:
+    """For a shard opened at each sample, the sample that opens the next one.
 
-    A sample longer than the limit gets a shard of its own.
+    A sample that would pass the limit opens a new shard; one longer than the
+    limit has a shard of its own.
     """
     ends = np.cumsum(lengths.astype(np.int64))
-    shards = np.zeros(len(lengths), np.int64)
-    first, shard = 0, 0
-    while first < len(lengths):
-        before = ends[first - 1] if first else 0
-        last = max(int(np.searchsorted(ends, before + limit, side="right")), first + 1)
-        shards[first:last] = shard
-        first, shard = last, shard + 1
-    return shards
-
-
-def shards_by_bytes(
-    df: DataFrame,
-    limit: int,
-    ids: Sequence[str],
-    *,
-    length: str = "length",
-    block_rows: int = 262_144,
-) -> DataFrame:
+    return np.maximum(np.searchsorted(ends, ends - lengths + limit, side="right"), np.arange(1, len(lengths) + 1))
+
+
+def greedy_shards(lengths: np.ndarray, limit: int) -> np.ndarray:
+    """Shard of each sample when the first one opens a shard."""
+    to, shards = next_openings(lengths, limit), np.zeros(len(lengths), np.int64)
+    at = 0
+    while at < len(lengths):
+        shards[at] = 1
+        at = to[at]
+    return np.cumsum(shards) - 1
+
+
+ENTRIES = "_block long, entry long, leaves long, opened long, last long"
+
+
+def shards_by_bytes(df: DataFrame, limit: int, ids: Sequence[str], *, length: str = "length", span: int = 16) -> DataFrame:
     """Assign samples with a dense index ``i`` to shards of at most ``limit`` bytes.
 
-    Filling a shard is a sequential step, so consecutive blocks of
-    ``block_rows`` samples are filled side by side, each as by a writer of its
-    own that starts and ends its own shards.  Only the ids, the index and the
-    length travel to the fill step; no block holds more than ``block_rows``
-    rows whatever the data.  Gives ``ids, i, length, shard, pos``.
+    Gives ``ids, i, length, shard, pos``, the same as a single writer that goes
+    through the samples in order.  Blocks of ``span`` limits are worked on side
+    by side: for every sample in a block's first limit, which are those where the
+    first shard of the block may open, a block tells where the shard after its
+    last one opens and how many lie between.  Walking from block to block over
+    that table, about one row in ``span`` samples, gives the place where each block
+    really starts; then blocks are filled side by side.  The result does not
+    depend on ``span``.  Only ids, index and length take part.
     """
-    slim = df.select(*ids, "i", length).withColumn("_block", idiv("i", block_rows))
-    local = T.StructType([*slim.schema.fields, T.StructField("_local", T.LongType()), T.StructField("pos", T.LongType())])
+    slim = running_start(df.select(*ids, "i", length), "i", length, start="_start")
+    slim = materialise(slim.withColumn("_block", idiv("_start", span * limit)), "lengths")
+    places = slim.select("_block", "i", "_start", F.col(length).cast("bigint").alias("n"))
+    # The shard that is open at a block's end goes on into the next block's first limit.
+    head = F.col("_start") - F.col("_block") * F.lit(span * limit) < limit
+    tails = places.where(head & (F.col("_block") > 0)).withColumn("_block", F.col("_block") - 1)
+    both = places.withColumn("own", F.lit(True)).unionByName(tails.withColumn("own", F.lit(False)))
+
+    def entries(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i", ignore_index=True)
+        own = int(rows["own"].sum())
+        empty = pd.DataFrame({"_block": [], "entry": [], "leaves": [], "opened": [], "last": []}, dtype="int64")
+        if not own:
+            return empty
+        to = next_openings(rows["n"].to_numpy(), limit)
+        leaves, opened, last = np.zeros(own, np.int64), np.zeros(own, np.int64), np.zeros(own, np.int64)
+        for k in range(own - 1, -1, -1):  # from the end, so what follows a shard is known
+            after = to[k]
+            if after < own:
+                leaves[k], opened[k], last[k] = leaves[after], opened[after] + 1, last[after]
+            else:
+                leaves[k], opened[k], last[k] = after, 1, k
+        first = int(rows["i"].iloc[0])
+        start = rows["_start"].to_numpy()[:own]
+        may = np.flatnonzero(start - rows["_block"].iloc[0] * span * limit < limit)
+        may = np.union1d(may, [0])
+        return pd.DataFrame(
+            {"_block": rows["_block"].iloc[0], "entry": first + may, "leaves": first + leaves[may], "opened": opened[may], "last": first + last[may]}
+        )
+
+    table = materialise(both.groupBy("_block").applyInPandas(entries, ENTRIES), "entries")
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entry, shard, open_at, block, met = 0, 0, 0, None, True
+        for frame in frames:
+            out = []
+            for b, at, leaves, opened, last in frame.itertuples(index=False):
+                if b != block:
+                    if not met:  # all of the block belongs to the shard before
+                        out.append((block, entry, shard, open_at))
+                    block, met = b, False
+                if at == entry and not met:
+                    out.append((b, entry, shard, open_at))
+                    entry, shard, open_at, met = leaves, shard + opened, last, True
+            yield pd.DataFrame(out, columns=["_of", "_entry", "_shards", "_open"])
+        if not met:
+            yield pd.DataFrame([(block, entry, shard, open_at)], columns=["_of", "_entry", "_shards", "_open"])
+
+    steps = table.repartition(1).sortWithinPartitions("_block", "entry").mapInPandas(walk, "_of long, _entry long, _shards long, _open long")
+    placed = slim.join(materialise(steps, "block-starts"), F.col("_block") == F.col("_of"))
+    local = T.StructType([*placed.schema.fields, T.StructField("shard", T.LongType()), T.StructField("pos", T.LongType())])
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("i", ignore_index=True)
-        shards = greedy_shards(rows[length].to_numpy(), limit)
-        starts = np.searchsorted(shards, shards, side="left")
-        return rows.assign(_local=shards, pos=np.arange(len(rows)) - starts)
-
-    # Written once: it is read for the block sizes and for the result.
-    filled = materialise(slim.groupBy("_block").applyInPandas(fill, local), "filled")
-    # The fill step decides how many shards a block has; a shard number is the
-    # number of shards in earlier blocks plus the place in the block.
-    blocks = filled.groupBy(F.col("_block").alias("_of")).agg((F.max("_local") + 1).alias("_shards"))
-    starts = small_side(running_start(blocks, "_of", "_shards").select("_of", "start"))
-    return filled.join(starts, filled["_block"] == starts["_of"]).select(
-        *ids, "i", length, (F.col("start") + F.col("_local")).alias("shard"), "pos"
-    )
+        i, entry = rows["i"].to_numpy(), int(rows["_entry"].iloc[0])
+        before = int(np.searchsorted(i, entry))
+        shard = np.full(len(rows), rows["_shards"].iloc[0] - 1)
+        pos = i - int(rows["_open"].iloc[0])
+        if before < len(rows):
+            own = greedy_shards(rows[length].to_numpy()[before:], limit)
+            shard[before:] = own + int(rows["_shards"].iloc[0])
+            pos[before:] = np.arange(len(own)) - np.searchsorted(own, own, side="left")
+        return rows.assign(shard=shard, pos=pos)
+
+    return placed.groupBy("_block").applyInPandas(fill, local).select(*ids, "i", length, "shard", "pos")

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from fractions import Fraction
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardflow.functions import columns as C
 from shardflow.operators.ordering import dense_index
-from shardflow.scratch import small_side
 
 # --- manifests ---------------------------------------------------------------
 
@@ -50,11 +49,20 @@ def missing_inputs(expected: DataFrame, listing: DataFrame, name: str = "name")
     return expected.join(listing, name, "left_anti")
 
 
+class MissingInputs(FileNotFoundError):
+    """Inputs are not there; ``missing`` is the table of all of them."""
+
+    def __init__(self, message: str, missing: DataFrame) -> None:
+        super().__init__(message)
+        self.missing = missing
+
+
 def require_inputs(expected: DataFrame, listing: DataFrame, name: str = "name") -> DataFrame:
-    """``expected``, or an error that names some of the inputs not in the listing."""
-    gone = [r[0] for r in missing_inputs(expected, listing, name).select(name).limit(5).collect()]
-    if gone:
-        raise FileNotFoundError(f"inputs not found, for example: {', '.join(map(str, gone))}")
+    """``expected``, or a ``MissingInputs`` error that carries the table of inputs not in the listing."""
+    gone = missing_inputs(expected, listing, name)
+    first = gone.select(F.min(name)).first()[0]
+    if first is not None:
+        raise MissingInputs(f"inputs not found, the first of them: {first}", gone)
     return expected
 
 
@@ -82,9 +90,10 @@ def size_ratio(original: DataFrame, stored: DataFrame, length: str = "length") -
     return out.select("*", ratio.alias("ratio"))
 
 
-def ratio_fraction(original_bytes: int, stored_bytes: int) -> Fraction:
-    """The ratio of two totals as a reduced fraction."""
-    return Fraction(stored_bytes, original_bytes).limit_denominator() if original_bytes > 0 else Fraction(0)
+def reduced_fraction(part: int, whole: int) -> tuple[int, int]:
+    """``part / whole`` in lowest terms; nothing of nothing is 0 / 1."""
+    divisor = math.gcd(part, whole)
+    return (part // divisor, whole // divisor) if whole else (0, 1)
 
 
 def union_sources(*frames: DataFrame) -> DataFrame:
@@ -110,7 +119,7 @@ def class_labels(df: DataFrame) -> DataFrame:
 
 def attach_label(df: DataFrame, labels: DataFrame, on: str, how: str = "left") -> DataFrame:
     """Add label columns; samples without a label are kept by default."""
-    return df.join(small_side(labels), on, how)
+    return df.join(labels, on, how)
 
 
 def label_int(df: DataFrame) -> DataFrame:
@@ -154,14 +163,22 @@ def project_member(members: DataFrame, ext: str) -> DataFrame:
 def assemble_members(members: DataFrame, *, pos: str = "pos") -> DataFrame:
     """One row per ``(shard, key)`` with its members as a map from extension to payload.
 
-    The first member of each extension wins.  That choice is made map-side, so
-    a key with very many members shrinks to one payload per extension before
-    the map is built.
+    Payloads cross the network once.  Of repeated members of one extension the
+    first is taken, and ``error`` names the extension.  A row that reports a
+    damaged shard (``error``, without a key) comes through as a row without members.
     """
-    first = members.groupBy("shard", "key", "ext").agg(F.min_by("payload", pos).alias("payload"))
-    return first.groupBy("shard", "key").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "payload")))).alias("members")
+    damaged = F.col("error") if "error" in members.columns else F.lit(None).cast("string")
+    rows = members.withColumn("error", damaged)
+    whole = rows.where("key is not null and ext is not null").repartition("shard", "key")
+    first = whole.groupBy("shard", "key", "ext").agg(F.min_by("payload", pos).alias("payload"), F.count(F.lit(1)).alias("n"))
+    repeated = F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("ext"))))
+    done = first.groupBy("shard", "key").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "payload")))).alias("members"),
+        F.when(F.size(repeated) > 0, F.concat(F.lit("repeated members: "), F.array_join(repeated, ", "))).alias("error"),
     )
+    broken = rows.where("key is null or ext is null")
+    nothing = F.lit(None).cast("map<string,binary>")
+    return done.unionByName(broken.select("shard", "key", nothing.alias("members"), F.coalesce("error", F.lit("no name")).alias("error")))
 
 
 def labelled_members(df: DataFrame, label: str = "label", payload: str = "payload") -> DataFrame:

@@ -70,41 +70,16 @@ def first_batches(tel: DataFrame) -> DataFrame:
     return tel.groupBy(*RUN).agg(first).select(*RUN, "first.*")
 
 
-def run_sequence(tel: DataFrame, run_start: Column | None = None, max_run_rows: int = 4_000_000) -> DataFrame:
+def run_sequence(tel: DataFrame, run_start: Column | None = None, block_rows: int = 65_536) -> DataFrame:
     """Number the batches of each run and add latency and running total.
 
     Adds ``batch`` (from zero), ``latency`` (seconds since the batch before;
     for the first one since ``run_start``, or null without it) and
     ``images_so_far``.
 
-    The largest run is counted first.  Up to ``max_run_rows`` a window per run
-    does the work; with a longer run the rows are cut into equal blocks in
-    sorted order, and only one row per block and run is carried over.
+    The rows of all runs are cut into equal blocks in sorted order, and one
+    row per block and run is carried over: a run of any length is spread over tasks.
     """
-    size = tel.groupBy(*RUN).count().agg(F.max("count")).first()[0]
-    if size is None or size <= max_run_rows:
-        return _sequence_by_run(tel, run_start)
-    return _sequence_by_block(tel, run_start, max_run_rows)
-
-
-def _since(before: Column, run_start: Column | None) -> Column:
-    if run_start is not None:
-        before = F.coalesce(before, F.unix_micros(run_start.cast("timestamp")))
-    return (micros("ts") - before) / F.lit(1e6)
-
-
-def _sequence_by_run(tel: DataFrame, run_start: Column | None) -> DataFrame:
-    run = Window.partitionBy(*RUN).orderBy("ts", "event_id")
-    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return tel.select(
-        "*",
-        (F.row_number().over(run) - 1).cast("bigint").alias("batch"),
-        _since(F.lag(micros("ts")).over(run), run_start).alias("latency"),
-        F.sum("n_images").over(upto).cast("bigint").alias("images_so_far"),
-    )
-
-
-def _sequence_by_block(tel: DataFrame, run_start: Column | None, block_rows: int) -> DataFrame:
     placed = sorted_index(tel, *RUN, "ts", "event_id", index="_i")
     placed = placed.withColumn("_piece", F.struct(*RUN, idiv("_i", block_rows).alias("block")))
     pieces = placed.groupBy("_piece").agg(
@@ -126,3 +101,9 @@ def _sequence_by_block(tel: DataFrame, run_start: Column | None, block_rows: int
         _since(F.coalesce(F.lag(micros("ts")).over(piece), F.col("_last_before")), run_start).alias("latency"),
         (F.col("_before") + F.sum("n_images").over(inside)).cast("bigint").alias("images_so_far"),
     )
+
+
+def _since(before: Column, run_start: Column | None) -> Column:
+    if run_start is not None:
+        before = F.coalesce(before, F.unix_micros(run_start.cast("timestamp")))
+    return (micros("ts") - before) / F.lit(1e6)

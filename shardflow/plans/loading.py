@@ -39,11 +39,9 @@ def fixed_shards(manifest: DataFrame, ids: Sequence[str], size: int = 2000, seed
     return splits.shards_fixed(ordering.dense_index(manifest, ids, seed=seed, total="n_total"), size)
 
 
-def byte_shards(
-    manifest: DataFrame, ids: Sequence[str], limit: int = 200 << 20, seed: int = 0, block_rows: int = 262_144
-) -> DataFrame:
+def byte_shards(manifest: DataFrame, ids: Sequence[str], limit: int = 200 << 20, seed: int = 0) -> DataFrame:
     """Shuffled samples in shards of at most ``limit`` bytes."""
-    return packing.shards_by_bytes(ordering.dense_index(manifest, ids, seed=seed), limit, ids, block_rows=block_rows)
+    return packing.shards_by_bytes(ordering.dense_index(manifest, ids, seed=seed), limit, ids)
 
 
 def with_payload(placed: DataFrame, payloads: DataFrame, ids: Sequence[str]) -> DataFrame:

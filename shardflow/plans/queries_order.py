@@ -198,34 +198,31 @@ def shard_fixed(spark, sf_dir):
     return got.select("id", "shard", "pos", "shard_name")
 
 
-LIMIT, BLOCK = 20_000, 256
+LIMIT = 20_000
 
 
-def packed_sql(placed: str, limit: int, block: int) -> str:
-    """Blocks filled side by side, one sample per step of a recursive query."""
+def packed_sql(placed: str, limit: int) -> str:
+    """One writer that goes through all samples, one sample per step of a recursive query."""
     return f"""placed as materialized ({placed}),
-lengths as materialized (select i // {block} as block, list(length order by i) as ls from placed group by 1),
-fill(block, k, shard, held) as (
-  select block, cast(0 as bigint), cast(0 as bigint), ls[1] from lengths
+lengths as materialized (select list(length order by i) as ls from placed),
+fill(k, shard, held) as (
+  select cast(0 as bigint), cast(0 as bigint), ls[1] from lengths
   union all
-  select block, k + 1, case when held + ls[k + 2] > {limit} then shard + 1 else shard end,
+  select k + 1, case when held + ls[k + 2] > {limit} then shard + 1 else shard end,
     case when held + ls[k + 2] > {limit} then ls[k + 2] else held + ls[k + 2] end
-  from fill join lengths using (block) where k + 1 < len(ls)),
-starts as (select block, cast(sum(n) over (order by block rows unbounded preceding) - n as bigint) as start
-  from (select block, max(shard) + 1 as n from fill group by block)),
-packed as (select placed.*, start + shard as shard, k, block from fill join starts using (block)
-  join placed on placed.i = block * {block} + k)"""
+  from fill, lengths where k + 1 < len(ls)),
+packed as (select placed.*, shard, k from fill join placed on placed.i = k)"""
 
 
 @query(
     "shard_bytes",
     with_sql(
-        "manifest", more=packed_sql(order_sql("manifest", "doc_id", SEED, extra="doc_id, length"), LIMIT, BLOCK)
+        "manifest", more=packed_sql(order_sql("manifest", "doc_id", SEED, extra="doc_id, length"), LIMIT)
     )
-    + "select doc_id, length, shard, row_number() over (partition by shard order by block, k) - 1 as pos from packed",
+    + "select doc_id, length, shard, row_number() over (partition by shard order by k) - 1 as pos from packed",
 )
 def shard_bytes(spark, sf_dir):
-    got = loading.byte_shards(V.manifest(spark, sf_dir), ["doc_id"], LIMIT, SEED, block_rows=BLOCK)
+    got = loading.byte_shards(V.manifest(spark, sf_dir), ["doc_id"], LIMIT, SEED)
     return got.select("doc_id", "length", "shard", "pos")
 
 

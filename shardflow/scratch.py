@@ -1,20 +1,21 @@
-"""Written intermediate tables and size-checked small sides."""
+"""Written intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a temporary folder of its
-    own; a cluster session without it is an error, because a machine-local
-    folder cannot be seen by the other executors.
+    own, which goes when the process ends; a cluster session without it is an
+    error, because a machine-local folder cannot be seen by the other executors.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -25,6 +26,7 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="shardflow-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -47,15 +49,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """A join side to broadcast, if it is proven to be small.
-
-    At most ``max_rows + 1`` rows are fetched.  If the table is within the
-    bound those rows are broadcast (and not computed a second time);
-    otherwise ``df`` comes back as it is and the join is a shuffle join, whose
-    skewed partitions adaptive execution splits.
-    """
-    head = df.take(max_rows + 1)  # reads no more partitions than it needs
-    if len(head) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has written below the scratch folder; call it when its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/shardflow/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

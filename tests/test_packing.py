@@ -27,17 +27,16 @@ def test_sample_longer_than_the_limit_is_alone():
     assert packing.greedy_shards(np.array([5, 500, 5, 0, 95]), 100).tolist() == [0, 1, 2, 2, 2]
 
 
-@pytest.mark.parametrize("block", [10, 128, 100_000])
-def test_blocks_are_filled_side_by_side(spark, block):
-    lengths = np.random.default_rng(1).integers(0, 100, 700).tolist()
+@pytest.mark.parametrize("span", [2, 5, 16, 1000])
+@pytest.mark.parametrize("longest", [100, 2500, 40])
+def test_blocks_do_not_change_the_shards(spark, span, longest):
+    rng = np.random.default_rng(longest)
+    lengths = rng.integers(0, 100, 700)
+    lengths[rng.integers(0, 700, 5)] = longest  # some longer than a shard, or than a block
+    lengths = lengths.tolist()
     df = spark.range(700).withColumn("i", F.col("id")).withColumn("length", F.array(*map(F.lit, lengths))[F.col("id").cast("int")])
-    rows = sorted(packing.shards_by_bytes(df.repartition(5), 300, ["id"], block_rows=block).collect(), key=lambda r: r.i)
-    want, first = [], 0
-    for at in range(0, 700, block):
-        local = by_loop(lengths[at : at + block], 300)
-        want += [first + s for s in local]
-        first += local[-1] + 1
-    assert [r.shard for r in rows] == want
+    rows = sorted(packing.shards_by_bytes(df.repartition(5), 300, ["id"], span=span).collect(), key=lambda r: r.i)
+    assert [r.shard for r in rows] == by_loop(lengths, 300)
     seen = {}
     for r in rows:
         assert r.pos == seen.get(r.shard, 0)

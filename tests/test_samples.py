@@ -59,24 +59,6 @@ def test_class_numbers_skip_hidden_folders(spark):
     assert len(kept) == 4
 
 
-def test_small_sides_are_proven_small(spark):
-    df = spark.range(100)
-    joined = lambda side: df.join(side, "id")._jdf.queryExecution().executedPlan().toString()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in joined(scratch.small_side(spark.range(50), 50))
-        assert "BroadcastHashJoin" not in joined(scratch.small_side(spark.range(51), 50))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_both_join_ways_give_the_same(spark, monkeypatch):
-    df = spark.range(900).withColumn("class", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 40)))
-    broadcast = {(r.id, r.label) for r in samples.label_int(df).collect()}
-    monkeypatch.setattr(samples, "small_side", lambda side: scratch.small_side(side, 3))
-    assert {(r.id, r.label) for r in samples.label_int(df).collect()} == broadcast
-
-
 def test_members_with_a_key_of_most_rows(spark):
     # One key has a third of all members, most of them repeats of one extension.
     df = spark.range(3000).selectExpr(
@@ -85,6 +67,8 @@ def test_members_with_a_key_of_most_rows(spark):
     )
     got = {r.key: {k: bytes(v) for k, v in r.members.items()} for r in samples.assemble_members(df).collect()}
     assert got["hot"] == {"e0": b"0", "e1": b"3"} and len(got) == 501
+    errors = {r.key: r.error for r in samples.assemble_members(df).collect()}
+    assert errors["hot"] == "repeated members: e0, e1" and errors["k2"] is None
     assert got["k2"] == {"e1": b"13", "e2": b"14", "e4": b"16", "e5": b"17"}
 
 

@@ -29,8 +29,8 @@ def test_long_runs_in_blocks_give_the_same(tel):
     start = F.lit("1970-01-01").cast("timestamp")
     for run_start in (None, start):
         whole = rows(T.run_sequence(tel, run_start))
-        assert rows(T.run_sequence(tel, run_start, max_run_rows=100)) == whole
-        assert rows(T.run_sequence(tel, run_start, max_run_rows=7)) == whole
+        assert rows(T.run_sequence(tel, run_start, block_rows=100)) == whole
+        assert rows(T.run_sequence(tel, run_start, block_rows=7)) == whole
 
 
 def test_sequence_against_a_loop(tel):
