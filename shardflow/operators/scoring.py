@@ -154,6 +154,13 @@ def best_marks(stats: DataFrame) -> DataFrame:
     return long.withColumn("mark", F.when(marked & (F.col("value") == best), MARK).otherwise(""))
 
 
+def comparison_cells(stats: DataFrame) -> DataFrame:
+    """``metric, loader, value, better`` for every loader there is."""
+    rising = F.col("metric").isin([m for m, up, _ in TABLE_ROWS if up])
+    long = unpivot(stats, ["loader"], [m for m, _, _ in TABLE_ROWS])
+    return long.withColumn("better", F.when(rising, "higher").otherwise("lower"))
+
+
 def comparison_table(stats: DataFrame, loaders: Sequence[str]) -> DataFrame:
     """One row per metric, one column per loader, and which direction is better."""
     long = unpivot(stats, ["loader"], [m for m, _, _ in TABLE_ROWS])

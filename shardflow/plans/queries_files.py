@@ -18,7 +18,7 @@ from shardflow.sources import columnar, files, reports, tar
 from shardflow.streaming import files as streams
 
 # Samples per tar and bytes per column shard for the small given tables.
-TAR_ROWS, SHARD_BYTES, BLOCK = 200, 50_000, 256
+TAR_ROWS, SHARD_BYTES = 200, 50_000
 LISTED = "class not like '.%' and name not like '.%' and length > 0"
 
 
@@ -204,7 +204,7 @@ def column_folder(spark: SparkSession, sf_dir: str) -> str:
 
     def make(root: str) -> None:
         labelled = samples.label_int(V.manifest(spark, sf_dir))
-        placed = loading.byte_shards(labelled, ["doc_id", "label"], SHARD_BYTES, SEED, block_rows=BLOCK)
+        placed = loading.byte_shards(labelled, ["doc_id", "label"], SHARD_BYTES, SEED)
         rows = loading.with_payload(placed.drop("length"), V.payloads(spark, sf_dir), ["doc_id"])
         columnar.write_column_shards(rows.withColumnRenamed("payload", "image"), root)
 
@@ -214,7 +214,7 @@ def column_folder(spark: SparkSession, sf_dir: str) -> str:
 LABELLED = """labelled as (select *, dense_rank() over (order by class) - 1 as label from manifest where class not like '.%')"""
 KEY = key_sql(SEED, 0, "doc_id", "label")
 PACKED = LABELLED + ",\n" + packed_sql(
-    f"select doc_id, label, length, body, row_number() over (order by {KEY}, doc_id, label) - 1 as i from labelled", SHARD_BYTES, BLOCK
+    f"select doc_id, label, length, body, row_number() over (order by {KEY}, doc_id, label) - 1 as i from labelled", SHARD_BYTES
 )
 
 
@@ -240,7 +240,7 @@ def _reader_sql() -> str:
     return f"""select shard, pos, cast(label as bigint) as label, md5(body) as digest,
   i // 32 * 32 + row_number() over (partition by i // 32 order by {key}, shard, pos) - 1 as i
 from (select * exclude (i), row_number() over (order by {shard}, shard, pos) - 1 as i
-  from (select *, row_number() over (partition by shard order by block, k) - 1 as pos from packed))"""
+  from (select *, row_number() over (partition by shard order by k) - 1 as pos from packed))"""
 
 
 @query("read_column_shards", with_sql("manifest", more=PACKED) + _reader_sql())

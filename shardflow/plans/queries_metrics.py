@@ -12,7 +12,6 @@ from shardflow.plans.registry import query
 from shardflow.plans.stand_ins import with_sql
 
 M = telemetry.RUN_METRICS
-LOADERS = ("click", "error", "purchase", "signup", "view")
 SCORE_NAMES = [s for s, _, _ in scoring.SCORES]
 
 
@@ -304,12 +303,12 @@ def speedup(spark, sf_dir):
 @query(
     "comparison_pivot",
     with_sql("stats", more=LONG)
-    + "select metric, "
-    + ", ".join(f"round(max(case when loader = '{x}' then value end), 6) as {x}" for x in LOADERS)
-    + ", case when metric = 'images_per_sec' then 'higher' else 'lower' end as better from long group by metric",
+    + """select metric, loader, round(value, 6) as value, case when metric = 'images_per_sec' then 'higher' else 'lower' end as better
+from long""",
 )
 def comparison_pivot(spark, sf_dir):
-    return rounded(scoring.comparison_table(_stats(spark, sf_dir), LOADERS), *LOADERS)
+    """One row per metric and loader, whatever loaders the data has; ``comparison_table`` is the wide form of chosen ones."""
+    return rounded(scoring.comparison_cells(_stats(spark, sf_dir)), "value")
 
 
 @query(
