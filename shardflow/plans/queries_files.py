@@ -19,27 +19,47 @@ from shardflow.streaming import files as streams
 
 # Samples per tar and bytes per column shard for the small given tables.
 TAR_ROWS, SHARD_BYTES = 200, 50_000
-LISTED = "class not like '.%' and name not like '.%' and length > 0"
+SHOWN = "class not like '.%' and name not like '.%'"
 
 
 # --- listings ----------------------------------------------------------------------
 
 
-@query("scan_manifest", with_sql("manifest") + f"select class, name, key, ext, length from manifest where {LISTED}")
+@query(
+    "scan_manifest",
+    with_sql("manifest")
+    + """select class, name, key, ext, length, row_number() over (order by class, name) - 1 as i from manifest""",
+)
 def scan_manifest(spark, sf_dir):
-    return files.scan(spark, V.file_tree(spark, sf_dir)).select("class", "name", "key", "ext", "length")
+    """Every file of a tree in path order, hidden and empty ones as well."""
+    found = ordering.sort_paths(files.scan(spark, V.file_tree(spark, sf_dir)))
+    return found.select("class", "name", "key", "ext", "length", "i")
+
 
+@query("scan_exts", with_sql("manifest") + "select class, name, length from manifest where ext in ('.jpg', '.png')")
+def scan_exts(spark, sf_dir):
+    """A listing that keeps two extensions."""
+    return files.scan(spark, V.file_tree(spark, sf_dir), [".JPG", ".png"]).select("class", "name", "length")
 
-@query("scan_flat", with_sql("manifest") + f"select name, length from manifest where {LISTED} and class = 'src3'")
+
+@query(
+    "scan_flat",
+    with_sql("manifest") + """select name, length from manifest where class = 'src3'
+union all select 'top-' || name, length from manifest where class = 'src4'""",
+)
 def scan_flat(spark, sf_dir):
-    return files.scan(spark, V.file_tree(spark, sf_dir) + "/src3", recursive=False).select("name", "length")
+    """The files of a folder itself and of a root, without those in the folders below."""
+    root = V.nested_tree(spark, sf_dir)
+    here = files.scan(spark, root, recursive=False)
+    inside = files.scan(spark, f"{root}/src3", recursive=False)
+    return inside.unionByName(here).select("name", "length")
 
 
 @query(
     "scan_by_class",
     with_sql("manifest")
     + f"""select class, count(*) as n_images, cast(sum(length) as bigint) as bytes
-from manifest where {LISTED} and ext in ('.jpg', '.jpeg', '.png') group by class""",
+from manifest where {SHOWN} and ext in ('.jpg', '.jpeg', '.png') group by class""",
 )
 def scan_by_class(spark, sf_dir):
     """Folders that hold images, as classes."""
@@ -49,7 +69,7 @@ def scan_by_class(spark, sf_dir):
 
 @query(
     "copy_images",
-    with_sql("manifest") + f"select class, name, length from manifest where {LISTED} and ext in ('.jpg', '.jpeg', '.png')",
+    with_sql("manifest") + f"select class, name, length from manifest where {SHOWN} and ext in ('.jpg', '.jpeg', '.png')",
 )
 def copy_images(spark, sf_dir):
     target = scratch_path(spark, "copy")
@@ -118,7 +138,7 @@ def tar_name_sql(shard: str, prefix: str = "shard_") -> str:
 
 
 # Files are ordered by class and name, the documents by their number.
-FILES_PLACED = f"""files as (select class || '|' || name as id, length from manifest where {LISTED}),
+FILES_PLACED = f"""files as (select class || '|' || name as id, length from manifest),
 placed as ({order_sql('files', 'id', SEED)})"""
 TAR_SIZES = f"""tars as (select i // {TAR_ROWS} as shard, count(*) as n,
     (cast(sum(512 + (length + 511) // 512 * 512) as bigint) + 1024 + 10239) // 10240 * 10240 as bytes
@@ -186,14 +206,55 @@ def write_tar_labelled(spark, sf_dir):
 
 @query(
     "compression_ratio",
-    with_sql("manifest", more=TARS)
-    + """select cast((select sum(length) from manifest) as bigint) as original_bytes, cast(sum(bytes) as bigint) as stored_bytes,
-  round(sum(bytes) / (select sum(length) from manifest), 9) as ratio from tars""",
+    with_sql("manifest")
+    + """select cast(sum(length) as bigint) as original_bytes, true as smaller, true as fits, true as zstd
+from manifest where class not like '.%'""",
 )
 def compression_ratio(spark, sf_dir):
-    """Bytes of the samples and of the shards they are stored in."""
-    stored = files.scan(spark, tar_folder(spark, sf_dir), [".tar"])
-    return rounded(samples.size_ratio(V.manifest(spark, sf_dir), stored), "ratio", digits=9)
+    """Bytes of the samples and of the compressed column shards they are stored in.
+
+    How well they compress is the codec's affair: checked is that it is less, and that the
+    fraction is the ratio.
+    """
+    stored = files.scan(spark, column_folder(spark, sf_dir), [".parquet"])
+    original = V.manifest(spark, sf_dir).where(C.is_visible("class"))
+    codec = stored.agg(F.bool_and(F.contains("name", F.lit(".zstd."))).alias("zstd"))
+    sizes = samples.size_ratio(original, stored)
+    fits = F.abs(F.col("ratio") * F.col("original_bytes") - F.col("stored_bytes")) < 1e-3
+    return sizes.select("original_bytes", (F.col("stored_bytes") < F.col("original_bytes")).alias("smaller"), fits.alias("fits"), codec.scalar().alias("zstd"))
+
+
+@query(
+    "damaged_shards",
+    with_sql("manifest", more=TARS)
+    + f"""select 'whole' as state, count(*) as n from placed where i // {TAR_ROWS} <> 1
+union all select 'reported', cast(1 as bigint)""",
+)
+def damaged_shards(spark, sf_dir):
+    """Shards of which one is cut inside its first header, read through to samples."""
+    target = scratch_path(spark, "damaged")
+    tar.write_tar(tar_members(spark, sf_dir), target)
+    files.put_file(f"{target}/shard_02.tar", files.read_file(f"{target}/shard_02.tar")[:300])
+    got = samples.assemble_members(tar.read_tar(spark, target))
+    state = F.when(F.col("error").isNull(), "whole").otherwise("reported")
+    return got.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "require_shards",
+    with_sql("manifest", more=TARS)
+    + f"""select {tar_name_sql('k')} as name from (select unnest(range(n, n + 3)) as k
+  from (select max(shard) + 1 as n from tars))""",
+)
+def require_shards(spark, sf_dir):
+    """The real listing of a tar folder lacks the last three of the shards asked for; the error carries them."""
+    listing = files.scan(spark, tar_folder(spark, sf_dir), [".tar"])
+    n = listing.count() + 3
+    expected = spark.range(n).select(C.shard_name("id", "shard_").alias("name"))
+    try:
+        return samples.require_inputs(expected, listing)
+    except samples.MissingInputs as e:
+        return e.missing
 
 
 # --- column shards ---------------------------------------------------------------------
@@ -202,13 +263,14 @@ def compression_ratio(spark, sf_dir):
 def column_folder(spark: SparkSession, sf_dir: str) -> str:
     """Visible documents with their class number, in compressed shards of limited bytes."""
 
-    def make(root: str) -> None:
-        labelled = samples.label_int(V.manifest(spark, sf_dir))
-        placed = loading.byte_shards(labelled, ["doc_id", "label"], SHARD_BYTES, SEED)
-        rows = loading.with_payload(placed.drop("length"), V.payloads(spark, sf_dir), ["doc_id"])
-        columnar.write_column_shards(rows.withColumnRenamed("payload", "image"), root)
+    return V._made_once(spark, sf_dir, "columns", lambda root: write_column_folder(spark, sf_dir, root))
+
 
-    return V._made_once(spark, sf_dir, "columns", make)
+def write_column_folder(spark: SparkSession, sf_dir: str, root: str) -> None:
+    labelled = samples.label_int(V.manifest(spark, sf_dir))
+    placed = loading.byte_shards(labelled, ["doc_id", "label"], SHARD_BYTES, SEED)
+    rows = loading.with_payload(placed.drop("length"), V.payloads(spark, sf_dir), ["doc_id"])
+    columnar.write_column_shards(rows.withColumnRenamed("payload", "image"), root)
 
 
 LABELLED = """labelled as (select *, dense_rank() over (order by class) - 1 as label from manifest where class not like '.%')"""
@@ -225,7 +287,10 @@ PACKED = LABELLED + ",\n" + packed_sql(
   cast(max(label) as bigint) as highest from packed group by shard""",
 )
 def write_columns(spark, sf_dir):
-    got = columnar.read_column_shards(spark, column_folder(spark, sf_dir))
+    """Write labelled column shards, and read them back."""
+    target = scratch_path(spark, "write-columns")
+    write_column_folder(spark, sf_dir, target)
+    got = columnar.read_column_shards(spark, target)
     return got.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_images"),
         F.sum(F.octet_length("image")).alias("image_bytes"),
@@ -256,22 +321,32 @@ def read_column_shards(spark, sf_dir):
 
 
 def _loader_of(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("loader", F.regexp_extract("file", "loader=([^/]*)/", 1))
+    return rows.withColumn("loader", reports.loader_of("file"))
+
+
+def _odd_names(runs: DataFrame) -> DataFrame:
+    """Loaders with blanks and signs in their names."""
+    return runs.withColumn("loader", F.concat(F.lit("The "), "loader", F.lit(": a+b 100%")))
+
+
+ODD_NAMES = "odd as (select * replace ('The ' || loader || ': a+b 100%' as loader) from runs)"
 
 
 @query(
     "scan_metrics",
-    with_sql("runs")
-    + f"""select loader, cast(run_id as varchar) as run_id, {rounded_sql(*M)} from runs
-union all select loader, 'statistic', {', '.join(['null'] * len(M))} from runs group by loader
-union all select loader, 'mean', {', '.join(f'round(avg({m}), 6)' for m in M)} from runs group by loader
-union all select loader, 'std', {', '.join(f'round(stddev_pop({m}), 6)' for m in M)} from runs group by loader""",
+    with_sql("runs", more=ODD_NAMES)
+    + f"""select loader, cast(run_id as varchar) as run_id, {rounded_sql(*M)} from odd
+union all select loader, 'statistic', {', '.join(['null'] * len(M))} from odd group by loader
+union all select loader, 'mean', {', '.join(f'round(avg({m}), 6)' for m in M)} from odd group by loader
+union all select loader, 'std', {', '.join(f'round(stddev_pop({m}), 6)' for m in M)} from odd group by loader""",
 )
 def scan_metrics(spark, sf_dir):
-    """Run reports written as text and read back."""
-    runs = telemetry.run_records(V.telemetry(spark, sf_dir))
+    """Run reports written as text, with commas or with tabs, and read back."""
+    runs = _odd_names(telemetry.run_records(V.telemetry(spark, sf_dir)))
     target = scratch_path(spark, "reports")
-    reports.write_reports(runs, telemetry.run_statistics(runs), target)
+    for k, delimiter in enumerate((",", "\t")):
+        some = runs.where(F.length("loader") % 2 == k)
+        reports.write_reports(some, telemetry.run_statistics(some), f"{target}/part{k}", delimiter=delimiter)
     rows = _loader_of(reports.read_reports(spark, target))
     return rounded(reports.metric_columns(rows, ["loader", "run_id"]), *M)
 
@@ -315,30 +390,53 @@ def scan_metric_sections(spark, sf_dir):
 # --- streams ---------------------------------------------------------------------------------
 
 
-@query("stream_ingest", with_sql("manifest") + f"select class, name, length from manifest where {LISTED}")
+#: What Spark's file stream takes in: it leaves out hidden names and files without bytes.
+STREAMED = "class not like '.%' and name not like '.%' and length > 0"
+FILES_PER_TRIGGER = 200
+
+
+def _two_halves(spark: SparkSession, sf_dir: str, run) -> None:
+    """Half of the files arrive, a stream takes them in and stops; the rest arrives and it goes on."""
+    root = scratch_path(spark, "arriving")
+    rows = V.full_samples(spark, sf_dir)
+    at = F.concat(F.lit(root), F.substr("path", F.lit(len(V.BUCKET) + 1)))
+    for half in (0, 1):
+        some = rows.where(F.col("doc_id") % 2 == half)
+        V.run_writes(files.write_files(some.select(at.alias("path"), "payload"), content="payload"))
+        run(streams.file_stream(spark, root, FILES_PER_TRIGGER))
+
+
+@query("stream_ingest", with_sql("manifest") + f"select class, name, length from manifest where {STREAMED}")
 def stream_ingest(spark, sf_dir):
-    """Files taken in by a stream into a Parquet manifest."""
+    """Files taken in by a stream into a Parquet manifest, over several micro-batches and a restart."""
     target, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")
-    streams.ingest(streams.file_stream(spark, V.file_tree(spark, sf_dir)), target, checkpoint)
+    _two_halves(spark, sf_dir, lambda stream: streams.ingest(stream, target, checkpoint))
     return spark.read.parquet(target).select("class", "name", "length")
 
 
 @query(
     "stream_callback",
-    with_sql("manifest") + f"select count(*) as n_images, cast(sum(length) as bigint) as bytes from manifest where {LISTED}",
+    with_sql("manifest") + f"""select count(*) as n_images, cast(sum(length) as bigint) as bytes,
+  cast((count(*) filter (doc_id % 2 = 0) + {FILES_PER_TRIGGER - 1}) // {FILES_PER_TRIGGER}
+    + (count(*) filter (doc_id % 2 = 1) + {FILES_PER_TRIGGER - 1}) // {FILES_PER_TRIGGER} as bigint) as n_batches from manifest where {STREAMED}""",
 )
 def stream_callback(spark, sf_dir):
-    """Measures of each micro-batch, summed up."""
+    """Measures of each micro-batch, summed up over a restart."""
     target, checkpoint = scratch_path(spark, "measured"), scratch_path(spark, "measure-state")
-    streams.with_callback(streams.file_stream(spark, V.file_tree(spark, sf_dir)), streams.batch_measure, target, checkpoint)
-    return spark.read.parquet(target).agg(F.sum("n_images").alias("n_images"), F.sum("bytes").alias("bytes"))
+    _two_halves(spark, sf_dir, lambda stream: streams.with_callback(stream, streams.batch_measure, target, checkpoint))
+    return spark.read.parquet(target).agg(
+        F.sum("n_images").alias("n_images"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_batches")
+    )
 
 
 @query("stream_run_record", with_sql("runs") + RUN_SQL)
 def stream_run_record(spark, sf_dir):
-    """Run records from a stream of telemetry, equal to those of a batch."""
-    target, checkpoint = scratch_path(spark, "records"), scratch_path(spark, "record-state")
-    path = f"{sf_dir}/events.parque[t]"  # a pattern, since a stream takes no single file
-    events = streams.table_stream(spark, path, V.table(spark, sf_dir, "events").schema)
-    streams.running_records(V.as_telemetry(events), target, checkpoint)
+    """Run records from a stream of telemetry that arrives in eight files, with a restart between; equal to those of a batch."""
+    target, checkpoint, root = scratch_path(spark, "records"), scratch_path(spark, "record-state"), scratch_path(spark, "events")
+    events = V.table(spark, sf_dir, "events")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).repartition(4).write.mode("append").parquet(root)
+        arriving = streams.table_stream(spark, root, events.schema, files_per_trigger=1)
+        streams.running_records(V.as_telemetry(arriving), target, checkpoint)
+        streams.compact_records(spark, target)
     return rounded(streams.latest_records(spark, target), *RUN_NUMBERS)

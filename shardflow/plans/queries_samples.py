@@ -156,13 +156,13 @@ def zero_pad(spark, sf_dir):
 
 @query(
     "normalise_uri",
-    with_sql("manifest") + "select doc_id, 'bkt/' || class as folder, rtrim(url, '/') as url from manifest join pages on page_id = doc_id",
+    with_sql("manifest") + "select doc_id, 'bkt/' || class as folder, rtrim(url, '/') as url from manifest left join pages on page_id = doc_id",
 )
 def normalise_uri(spark, sf_dir):
     folder = F.concat(F.lit("s3://bkt/"), "class", F.repeat(F.lit("/"), (F.col("doc_id") % 3).cast("int")))
     rows = V.manifest(spark, sf_dir).select("doc_id", C.normalise_uri(folder).alias("folder"))
     urls = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), C.normalise_uri("url").alias("url"))
-    return rows.join(urls, "doc_id")
+    return rows.join(urls, "doc_id", "left")
 
 
 @query(

@@ -153,6 +153,20 @@ def file_tree(spark: SparkSession, sf_dir: str) -> str:
     return _made_once(spark, sf_dir, "tree", make)
 
 
+def nested_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A root with files of its own (those of one class), and folders that have folders below."""
+
+    def make(root: str) -> None:
+        rows = full_samples(spark, sf_dir)
+        base = F.lit(root)
+        top = rows.where("class = 'src4'").select(F.concat(base, F.lit("/top-"), "name").alias("path"), "payload")
+        inside = rows.where("class = 'src3'").select(F.concat(base, F.lit("/src3/"), "name").alias("path"), "payload")
+        deep = rows.where("class not in ('src3', 'src4')").select(F.concat(base, F.lit("/src3/"), "class", F.lit("/"), "name").alias("path"), "payload")
+        run_writes(write_files(top.union(inside).union(deep), content="payload"))
+
+    return _made_once(spark, sf_dir, "nested", make)
+
+
 def png_frame(rows: pd.DataFrame) -> pd.DataFrame:
     """Grey, RGB or RGBA PNG files in turn; green is inverted and blue halved."""
     out = []

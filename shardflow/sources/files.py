@@ -8,53 +8,104 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardflow.functions import columns as C
 from shardflow.operators.samples import with_path_parts
+from shardflow.scratch import materialise
+
+
+LISTING = "path string, length bigint, modificationTime timestamp, folder boolean"
 
 
 def scan(spark: SparkSession, root: str, exts: Iterable[str] | None = None, recursive: bool = True) -> DataFrame:
-    """Manifest of the files below ``root``; contents are not read.
+    """Manifest of all files below ``root``; contents are not read.
 
-    Spark's listing leaves out hidden names (``.`` or ``_`` in front) and
-    files without bytes.
+    Executors list folder by folder into a written table, one job for a level of
+    folders, so neither the driver nor a status call per file is in the way.
+    Names with ``.`` or ``_`` in front and files without bytes are listed like
+    any other; ``functions.columns.is_visible`` and a length tell them apart.
+    ``exts`` is applied while listing.  A root that is a file is an error.
     """
-    reader = spark.read.format("binaryFile")
-    listing = (reader.option("recursiveFileLookup", "true") if recursive else reader).load(root)
-    if not recursive:
-        listing = listing.where(C.depth_below(_bare("path"), re.sub(SCHEME, "/", root)) == 1)
-    listing = with_path_parts(listing.select("path", "length", "modificationTime"))
-    return listing if exts is None else listing.where(C.has_ext("name", exts))
+    wanted = None if exts is None else sorted({e.lower() for e in exts})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["path"]:
+                system, at = filesystem(folder)
+                prefix = folder.rstrip("/")
+                found = system.get_file_info(fs.FileSelector(at))
+                rows = [
+                    (f"{prefix}/{f.base_name}", None if f.is_file is False else f.size, f.mtime, f.type == fs.FileType.Directory)
+                    for f in found
+                    if f.type == fs.FileType.Directory or wanted is None or f".{f.extension.lower()}" in wanted
+                ]
+                yield pd.DataFrame(rows, columns=["path", "length", "modificationTime", "folder"]).astype({"length": "Int64", "folder": bool})
+
+    system, at = filesystem(root)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        raise NotADirectoryError(root)
+    start = root.rstrip("/") if SCHEME_NAME.match(root) else "file:" + re.sub("/+$", "", at)
+    level = spark.createDataFrame([(start,)], "path string")
+    found = []
+    while True:
+        listed = materialise(level.mapInPandas(run, LISTING), "listing")
+        found.append(listed.where("not folder").drop("folder"))
+        level = listed.where("folder").select("path")
+        if not recursive or level.isEmpty():
+            break
+        level = level.repartition("path")
+    table = found[0]
+    for more in found[1:]:
+        table = table.unionByName(more)
+    return with_path_parts(table)
 
 
 # The scheme of a path with the slashes after it.
 SCHEME = "^([a-z0-9]+:)?/+"
+SCHEME_NAME = re.compile("^[a-z0-9]+:")
 
 
-def _bare(path: str) -> Column:
-    return F.regexp_replace(path, SCHEME, "/")
+def any_case(ext: str) -> str:
+    """A glob of an extension in any case: ``.png`` as ``*.[pP][nN][gG]``."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
 
 
-def images(spark: SparkSession, root: str, exts: Iterable[str] | None = None, drop_invalid: bool = True) -> DataFrame:
-    """Images decoded on the executors: ``path, image``."""
-    found = (
-        spark.read.format("image")
-        .option("recursiveFileLookup", "true")
-        .option("dropInvalid", str(drop_invalid).lower())
-        .load(root)
-        .select(F.col("image.origin").alias("path"), "image")
-    )
-    return found if exts is None else found.where(C.has_ext("path", exts))
+def images(spark: SparkSession, root: str, exts: Iterable[str] | None = None, drop_invalid: bool = False) -> DataFrame:
+    """Images decoded on the executors: ``path, image``; files of other extensions are not read.
+
+    A file that cannot be decoded has an image of height -1, or is left out with ``drop_invalid``.
+    """
+    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", str(drop_invalid).lower())
+    if exts is not None:
+        reader = reader.option("pathGlobFilter", "{" + ",".join(any_case(e) for e in sorted(exts)) + "}")
+    return reader.load(root).select(F.col("image.origin").alias("path"), "image")
+
+
+# One client for a store, in every task; options (region, anonymous access) by bucket.
+_clients: dict = {}
+_options: dict = {}
+
+
+def client_options(bucket: str, **options) -> None:
+    """Settings of the client for ``s3a://bucket``, as ``pyarrow.fs.S3FileSystem`` takes them; they travel with the jobs."""
+    _options[bucket] = options
+    _clients.pop(bucket, None)
 
 
 def filesystem(path: str):
-    """The pyarrow file system of a path or URI, and the path on it."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub(SCHEME, "/", path)
-    return fs.FileSystem.from_uri(re.sub("^s3a://", "s3://", path))
+    """The pyarrow file system of a path or URI, and the path on it; one client is kept for a store."""
+    if path.startswith("file:") or path.startswith("/"):
+        return _clients.setdefault("", fs.LocalFileSystem()), re.sub(SCHEME, "/", path)
+    scheme, rest = re.match("^([a-z0-9]+)://(.*)$", path).groups()
+    bucket = rest.split("/", 1)[0]
+    if scheme in ("s3", "s3a"):
+        if bucket not in _clients:
+            _clients[bucket] = fs.S3FileSystem(**_options[bucket]) if bucket in _options else fs.FileSystem.from_uri(f"s3://{bucket}")[0]
+        return _clients[bucket], rest.rstrip("/")
+    return fs.FileSystem.from_uri(path)
 
 
 def read_file(path: str) -> bytes:
@@ -67,13 +118,19 @@ def put_file(path: str, data: bytes) -> None:
     """Write a file under a temporary name and move it into place."""
     system, at = filesystem(path)
     folder, _, name = at.rpartition("/")
-    system.create_dir(folder, recursive=True)
+    if folder not in _folders:
+        system.create_dir(folder, recursive=True)
+        _folders.add(folder)
     part = f"{folder}/_part-{uuid.uuid4().hex}-{name}"
     with system.open_output_stream(part) as out:
         out.write(data)
     system.move(part, at)
 
 
+# Folders a task has made.
+_folders: set[str] = set()
+
+
 def read_payloads(df: DataFrame, path: str = "path", payload: str = "payload") -> DataFrame:
     """Add the bytes of each row's file, read on the executors.
 

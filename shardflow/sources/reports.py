@@ -15,36 +15,38 @@ from shardflow.functions.columns import safe_double
 from shardflow.operators.telemetry import RUN_METRICS
 
 
-def report_lines(runs: DataFrame, stats: DataFrame, metrics: Sequence[str] = RUN_METRICS) -> DataFrame:
+def report_lines(runs: DataFrame, stats: DataFrame, metrics: Sequence[str] = RUN_METRICS, delimiter: str = ",") -> DataFrame:
     """``loader, section, run_id, line``: the text of one report per loader.
 
     Section 0 is the header, 1 the runs, 2 the blank line, 3 the statistics
     header and 4 the statistics.
     """
     numbers = [F.coalesce(F.col(m).cast("string"), F.lit("")) for m in metrics]
-    head = ",".join(metrics)
+    head = delimiter.join(metrics)
     rows = runs.select(
         "loader", F.lit(1).alias("section"), F.col("run_id").cast("bigint").alias("run_id"),
-        F.concat_ws(",", F.col("run_id").cast("string"), *numbers).alias("line"),
+        F.concat_ws(delimiter, F.col("run_id").cast("string"), *numbers).alias("line"),
     )
     ends = stats.select(
         "loader", F.lit(4).alias("section"), F.when(F.col("statistic") == "mean", 0).otherwise(1).cast("bigint"),
-        F.concat_ws(",", "statistic", *numbers),
+        F.concat_ws(delimiter, "statistic", *numbers),
     )
     frame = F.array(
-        F.struct(F.lit(0).alias("section"), F.lit(f"run_id,{head}").alias("line")),
+        F.struct(F.lit(0).alias("section"), F.lit(f"run_id{delimiter}{head}").alias("line")),
         F.struct(F.lit(2).alias("section"), F.lit("").alias("line")),
-        F.struct(F.lit(3).alias("section"), F.lit(f"statistic,{head}").alias("line")),
+        F.struct(F.lit(3).alias("section"), F.lit(f"statistic{delimiter}{head}").alias("line")),
     )
     fixed = stats.where(F.col("statistic") == "mean").select("loader", F.inline(frame))
     fixed = fixed.select("loader", "section", F.lit(0).cast("bigint"), "line")
     return rows.union(ends).union(fixed)
 
 
-def write_reports(runs: DataFrame, stats: DataFrame, path: str, metrics: Sequence[str] = RUN_METRICS) -> None:
+def write_reports(
+    runs: DataFrame, stats: DataFrame, path: str, metrics: Sequence[str] = RUN_METRICS, delimiter: str = ","
+) -> None:
     """One text file per loader, in the folder ``loader=<name>``."""
     (
-        report_lines(runs, stats, metrics)
+        report_lines(runs, stats, metrics, delimiter)
         .repartition("loader")
         .sortWithinPartitions("loader", "section", "run_id")
         .select("loader", "line")
@@ -53,6 +55,17 @@ def write_reports(runs: DataFrame, stats: DataFrame, path: str, metrics: Sequenc
     )
 
 
+def loader_of(file: str = "file") -> Column:
+    """The loader of a report written by ``write_reports``, from the file's path.
+
+    The folder's name escapes some letters and the path's URI escapes it again.
+    """
+    name = F.regexp_extract(file, "loader=([^/]*)/", 1)
+    for _ in range(2):
+        name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.when(name != "__HIVE_DEFAULT_PARTITION__", name)
+
+
 def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``file, line, text, delimiter`` for every line of every report."""
     whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)

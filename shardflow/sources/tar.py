@@ -1,8 +1,9 @@
 """Tar shards as a Spark data source, for reading and writing.
 
 ``spark.read.format("shardflow_tar").load(path)`` gives one row per member:
-``shard, pos, key, ext, payload, error``.  ``path`` is a folder, a tar file,
-or several of them with commas between.  Options:
+``shard, pos, key, ext, payload, error``.  ``path`` is a folder or a tar file;
+several of them are given as a JSON list in the option ``paths``.  A folder
+written by the sink holds a list of its shards, and only those are read.  Options:
 
 * ``mode``: what to do with a damaged shard.  ``PERMISSIVE`` (default) gives a
   row with ``error``, ``DROPMALFORMED`` goes on without one, ``FAILFAST`` ends
@@ -18,15 +19,16 @@ or several of them with commas between.  Options:
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 import tarfile
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -51,10 +53,15 @@ ARROW = pa.schema(
     ]
 )
 SPLIT_BYTES = 1 << 30
+READ_AHEAD = 4 << 20
 # Members go to Spark in batches of at most so many bytes (and the one that passes it) or rows.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 1024
 
 
+#: Names of the shards that a finished job has written, one in a line.
+COMMITTED = "_shards"
+
+
 class TarSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -68,7 +75,7 @@ class TarSource(DataSource):
 
     def writer(self, schema, overwrite: bool) -> TarWriter:
         if overwrite:
-            raise ValueError("tar shards are written to a new folder, in append mode")
+            raise ValueError("use write_tar(..., overwrite=True)")
         return TarWriter(self.options)
 
 
@@ -81,7 +88,7 @@ class TarRange(InputPartition):
 
 class TarReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.paths = [p for p in options["path"].split(",") if p]
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.mode = options.get("mode", "PERMISSIVE").upper()
         self.split = int(options.get("splitbytes", options.get("splitBytes", SPLIT_BYTES)))
 
@@ -95,6 +102,10 @@ class TarReader(DataSourceReader):
             if info.type == fs.FileType.Directory:
                 found = system.get_file_info(fs.FileSelector(at))
                 files = sorted((f for f in found if f.extension == "tar" and f.is_file), key=lambda f: f.path)
+                if any(f.base_name == COMMITTED for f in found):
+                    with system.open_input_stream(f"{at.rstrip('/')}/{COMMITTED}") as listed:
+                        written = set(listed.read().decode().split("\n"))
+                    files = [f for f in files if f.base_name in written]
                 prefix = path.rstrip("/")
                 named = [(f"{prefix}/{f.base_name}", f.size) for f in files]
             else:
@@ -122,7 +133,8 @@ class TarReader(DataSourceReader):
         system, at = filesystem(partition.path)
         pos, at_header = 0, 0
         try:
-            with system.open_input_file(at) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
+            # Headers and payloads come from one buffer, not a request each.
+            with io.BufferedReader(system.open_input_file(at), READ_AHEAD) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
                 for member in tar:
                     at_header = member.offset
                     if at_header >= partition.end:
@@ -164,83 +176,85 @@ def _rows(batches):
 
 @dataclass
 class Written(WriterCommitMessage):
-    moves: list[tuple[str, str]]
+    shards: list[str]
 
 
 class TarWriter(DataSourceArrowWriter):
-    """Each task writes its shards below ``_staging``; the commit moves them out.
+    """Each task writes its shards to their place; the driver only writes the list of them.
 
-    A repeated or speculative attempt writes under a name of its own, and only
-    the attempts Spark accepts are moved.
+    A shard's bytes follow from its samples, so a repeated attempt writes the
+    same.  On an object store a file appears when it is closed; on a file
+    system the task renames it then.
     """
 
     def __init__(self, options) -> None:
         self.path = options["path"].rstrip("/")
-        self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
 
     def write(self, batches) -> Written:
         system, root = filesystem(self.path)
-        _, staging = filesystem(f"{self.staging}/{uuid.uuid4().hex}")
-        system.create_dir(staging, recursive=True)
-        moves, current, out, tar = [], None, None, None
-        try:
-            for shard, key, ext, payload in _rows(batches):
-                if shard != current:
-                    if tar is not None:
-                        tar.close()
-                        out.close()
-                    current = shard
-                    part = f"{staging}/{current}"
-                    moves.append((part, f"{root}/{current}"))
-                    out = system.open_output_stream(part)
-                    # One member after the other, straight to the output.
-                    tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.GNU_FORMAT)
-                info = tarfile.TarInfo(f"{key}.{ext}")
-                info.size = len(payload)
-                tar.addfile(info, io.BytesIO(payload))
-        finally:
+        renames = not isinstance(system, fs.S3FileSystem)
+        if renames:
+            system.create_dir(root, recursive=True)
+        shards, current, out, tar, part = [], None, None, None, None
+
+        def finish() -> None:
             if tar is not None:
                 tar.close()
                 out.close()
-        return Written(moves)
+                if renames:
+                    system.move(part, f"{root}/{current}")
+
+        for shard, key, ext, payload in _rows(batches):
+            if shard != current:
+                finish()
+                current, part = shard, f"{root}/_part-{uuid.uuid4().hex}" if renames else f"{root}/{shard}"
+                shards.append(shard)
+                out = system.open_output_stream(part)
+                # One member after the other, straight to the output.
+                tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.GNU_FORMAT)
+            info = tarfile.TarInfo(f"{key}.{ext}")
+            info.size = len(payload)
+            tar.addfile(info, io.BytesIO(payload))
+        finish()
+        return Written(shards)
 
     def commit(self, messages) -> None:
         system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
-        moves = [move for message in messages if message for move in message.moves]
-        # Only renames, side by side: on an object store each takes a round trip.
-        with ThreadPoolExecutor(32) as pool:
-            list(pool.map(lambda move: system.move(*move), moves))
-        self._clear()
+        with system.open_output_stream(f"{root}/{COMMITTED}") as out:
+            out.write("\n".join(sorted(s for m in messages if m for s in m.shards)).encode())
 
     def abort(self, messages) -> None:
-        self._clear()
-
-    def _clear(self) -> None:
-        system, staging = filesystem(self.staging)
-        if system.get_file_info(staging).type == fs.FileType.Directory:
-            system.delete_dir(staging)
+        """What was written has no list and is in nobody's way: the next write must overwrite it."""
 
 
-def read_tar(spark: SparkSession, path: str, mode: str = "PERMISSIVE", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_tar(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE", split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Members of the shards in a folder, of one tar file, or of a list of both."""
     spark.dataSource.register(TarSource)
-    return spark.read.format(FORMAT).option("mode", mode).option("splitBytes", split_bytes).load(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = spark.read.format(FORMAT).option("mode", mode).option("splitBytes", split_bytes)
+    return reader.option("paths", json.dumps(paths)).load()
 
 
-def write_tar(members: DataFrame, path: str, prefix: str = "shard_") -> None:
+def write_tar(members: DataFrame, path: str, prefix: str = "shard_", *, overwrite: bool = False, shards_per_task: int = 4) -> None:
     """Write members ``shard, pos, key, ext, payload``; ``shard`` counts from zero.
 
     Without ``payload`` the members are files: each task reads them from
     ``path`` after the shuffle, which then moves names and no contents.
 
-    One shuffle brings each shard together.  Shards have a fixed number of
-    samples or bytes, so no task gets an unbounded group; sorting keeps one
-    tar open at a time.
+    A folder that has files is refused; with ``overwrite`` they are removed
+    first.  One shuffle brings each shard together, into as many tasks as the number of
+    shards asks for; sorting keeps one tar open at a time.
     """
-    members.sparkSession.dataSource.register(TarSource)
-    # A fixed number of tasks: names are small, but what the tasks write is not.
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = members.repartition(tasks, "shard").sortWithinPartitions("shard", "pos", "ext")
+    spark = members.sparkSession
+    spark.dataSource.register(TarSource)
+    system, root = filesystem(path)
+    if system.get_file_info(root).type == fs.FileType.Directory and system.get_file_info(fs.FileSelector(root)):
+        if not overwrite:
+            raise FileExistsError(f"{path} is not empty")
+        system.delete_dir_contents(root)
+    shards = (members.agg(F.max("shard")).first()[0] or 0) + 1
+    placed = members.repartition(max(1, -(-shards // shards_per_task)), "shard").sortWithinPartitions("shard", "pos", "ext")
     rows = placed if "payload" in members.columns else read_payloads(placed)
     (
         rows.select(shard_name("shard", prefix).alias("shard"), "key", "ext", "payload")
