@@ -68,6 +68,7 @@ def dense_index(
     seed: int = 0,
     epoch: int | Column = 0,
     within: Sequence[str] = (),
+    first: int = 0,
     limit: int | None = None,
     index: str = "i",
     total: str | None = None,
@@ -75,8 +76,8 @@ def dense_index(
     """Add a 0-based index without gaps, in seeded shuffled order.
 
     ``ids`` identify a row.  With ``within`` the index restarts per group; a
-    group of any size is still spread over the hash buckets.  ``limit`` keeps
-    the first rows of the order and skips the buckets beyond them.  ``total``
+    group of any size is still spread over the hash buckets.  Rows from ``first``
+    on and before ``limit`` are kept; the buckets outside are skipped.  ``total``
     names a column for the number of rows (of the group).
     """
     keyed = df.withColumn("_key", order_key(ids, seed, epoch))
@@ -84,19 +85,25 @@ def dense_index(
     sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     whole, upto = _groups("_bucket", within)
     offsets = sizes.select(
-        "_bucket", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"), F.sum("_n").over(whole).alias("_total")
+        "_bucket",
+        (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
+        F.sum("_n").over(upto).alias("_end"),
+        F.sum("_n").over(whole).alias("_total"),
     )
     # Without groups there are at most 2**BUCKET_BITS offsets, whatever the data.
     joined = keyed.join(offsets if within else F.broadcast(offsets), "_bucket")
     if limit is not None:
         joined = joined.where(F.col("_start") < limit)
+    if first:
+        joined = joined.where(F.col("_end") > first)
     place = Window.partitionBy("_bucket").orderBy("_key", *ids)
     out = joined.select(
         *df.columns,
         (F.col("_start") + F.row_number().over(place) - 1).cast("bigint").alias(index),
         *([F.col("_total").alias(total)] if total else []),
     )
-    return out if limit is None else out.where(F.col(index) < limit)
+    out = out if limit is None else out.where(F.col(index) < limit)
+    return out.where(F.col(index) >= first) if first else out
 
 
 def sorted_index(df: DataFrame, *order: Column | str, index: str = "i", total: str | None = None) -> DataFrame:
@@ -168,8 +175,12 @@ def shuffle_shards(
 ) -> DataFrame:
     """Shuffle whole shards and keep the order inside each of them."""
     shards = df.groupBy(F.col(shard).alias("_shard")).agg(F.count(F.lit(1)).alias("_rows"))
-    ranked = dense_index(shards, ["_shard"], seed=seed, epoch=epoch, index="shard_rank")
-    starts = running_start(ranked, "shard_rank", "_rows").drop("_rows")
+    # One row for a shard: ranked and summed in one step.
+    place = Window.orderBy(order_key(["_shard"], seed, epoch), "_shard")
+    before = F.coalesce(F.sum("_rows").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = shards.select(
+        "_shard", (F.row_number().over(place) - 1).cast("bigint").alias("shard_rank"), before.cast("bigint").alias("start")
+    )
     return df.join(starts, df[shard] == F.col("_shard")).select(
         *df.columns, "shard_rank", (F.col("start") + F.col(pos)).alias(index)
     )
@@ -215,4 +226,4 @@ def sort_paths(df: DataFrame, path: str = "path", by: str = "segments") -> DataF
 
 def resume_from(df: DataFrame, ids: Sequence[str], seed: int, epoch: int, position: int) -> DataFrame:
     """The rest of a shuffled pass, from the saved ``(seed, epoch, position)``."""
-    return dense_index(df, ids, seed=seed, epoch=epoch).where(F.col("i") >= position)
+    return dense_index(df, ids, seed=seed, epoch=epoch, first=position)

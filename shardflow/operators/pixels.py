@@ -11,19 +11,21 @@ A task works on a few images at a time and never on a whole partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shardflow.functions.tensors import decode_image, resize_planes, resize_stack, to_rgb
+from shardflow.functions.tensors import pillow_decoder, resize_planes, resize_stack, to_rgb
 from shardflow.operators.mapping import MODES, map_samples
 from shardflow.sources.files import read_file
 
+Decoder = Callable[[], Callable[[bytes], np.ndarray]]
 IMAGE = "height int, width int, channels int, pixels binary"
 TENSOR = "c int, h int, w int, px array<float>"
 PACKED = "c int, h int, w int, px binary"
@@ -76,8 +78,11 @@ def _by_shape(images: list[np.ndarray], call, cells: int = 0) -> list[np.ndarray
 
 
 def rgb_images(df: DataFrame, keep: Sequence[str], *, image: str = "image") -> DataFrame:
-    """RGB pixels of rows that Spark's image source has decoded on the executors."""
-    flat = df.select(*keep, f"{image}.height", f"{image}.width", f"{image}.nChannels", f"{image}.data")
+    """RGB pixels of rows that Spark's image source has decoded on the executors; one it could not decode is an error."""
+    height = F.when(F.col(f"{image}.height") >= 0, F.col(f"{image}.height")).otherwise(
+        F.raise_error(F.concat(F.lit("cannot decode "), F.coalesce(f"{image}.origin", F.lit("an image"))))
+    )
+    flat = df.withColumn(image, F.col(image).withField("height", height)).select(*keep, f"{image}.height", f"{image}.width", f"{image}.nChannels", f"{image}.data")
 
     def call(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.rename(columns={"nChannels": "channels", "data": "pixels"})
@@ -86,13 +91,15 @@ def rgb_images(df: DataFrame, keep: Sequence[str], *, image: str = "image") -> D
     return map_samples(flat, call, _schema(df, keep, IMAGE), chunk=32)
 
 
-def decode_payloads(df: DataFrame, keep: Sequence[str], payload: str = "payload", mode: str = "PERMISSIVE") -> DataFrame:
-    """RGB pixels of encoded image bytes, as read from shards."""
+def decode_payloads(
+    df: DataFrame, keep: Sequence[str], payload: str = "payload", mode: str = "PERMISSIVE", decoder: Decoder = pillow_decoder
+) -> DataFrame:
+    """RGB pixels of encoded image bytes, as read from shards; ``decoder`` makes the decoding function, once a task."""
 
-    def call(rows: pd.DataFrame) -> pd.DataFrame:
-        return _image_rows(rows, keep, [decode_image(bytes(p)) for p in rows[payload]])
+    def call(rows: pd.DataFrame, decode) -> pd.DataFrame:
+        return _image_rows(rows, keep, [decode(bytes(p)) for p in rows[payload]])
 
-    return map_samples(df.select(*keep, payload), call, _schema(df, keep, IMAGE), mode=mode, chunk=32)
+    return map_samples(df.select(*keep, payload), call, _schema(df, keep, IMAGE), mode=mode, chunk=32, setup=decoder)
 
 
 def _resized(height: int, width: int):
@@ -135,13 +142,14 @@ def load_tensors(
     scale_first: bool = False,
     mode: str = "PERMISSIVE",
     packed: bool = True,
+    decoder: Decoder = pillow_decoder,
 ) -> DataFrame:
     """Encoded images to tensors in one Python pass: read, decode, resize, scale.
 
     Images come from the files named in ``path`` or from the bytes in
     ``payload``.  Neither encoded nor decoded pixels pass between processes.
     An image that cannot be read or decoded is treated as ``mode`` says (see
-    ``map_samples``).
+    ``map_samples``).  ``decoder`` makes the decoding function, once a task.
     """
     if (path is None) == (payload is None):
         raise ValueError("give either path or payload")
@@ -149,7 +157,12 @@ def load_tensors(
         raise ValueError(f"unknown mode {mode!r}")
     source = path or payload
 
+    held: list = []  # the task's decoder
+
     def images_of(rows: pa.RecordBatch):
+        if not held:
+            held.append(decoder())
+        decode_image = held[0]
         images, errors = [], []
         for value in rows.column(source).to_pylist():
             try:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from shardflow.functions import columns as C
-from shardflow.operators import mapping, ordering, pixels, samples
+from shardflow.operators import mapping, ordering, pixels, samples, splits
 from shardflow.plans import stand_ins as V
 from shardflow.plans.registry import query
 from shardflow.plans.stand_ins import order_sql, with_sql
@@ -275,6 +275,48 @@ def to_tensor(spark, sf_dir):
     return _cells(pixels.to_tensor(V.pixels(spark, sf_dir), ["vec_id"]), "vec_id")
 
 
+@query(
+    "stack_tensors",
+    with_sql("pixels", more=f"""placed as ({order_sql('embeddings', 'vec_id', 11)})""")
+    + """select batch, n_images, labels, n_values, total from (
+  select i // 32 as batch, count(*) as n_images, string_agg(label, ',' order by i) as labels from placed group by 1) join (
+  select i // 32 as batch, count(*) as n_values, round(sum(q * (k + 1 + 64 * (i % 32))) / 255, 3) as total
+  from placed join pixels using (vec_id) group by 1) using (batch)""",
+)
+def stack_tensors(spark, sf_dir):
+    """Batches of 32 stacked tensors with their labels; every value is checked at its place in the stack."""
+    rows = V.pixels(spark, sf_dir)
+    tensors = pixels.to_tensor(rows, ["vec_id", "label"])
+    batched = splits.batches(ordering.dense_index(tensors, ["vec_id"], seed=11), 32)
+    stacks = splits.stack_tensors(batched, ["batch"], 32)
+    labels = splits.collate(batched, ["batch"], ["label"], 32).select("batch", F.array_join("samples.label", ",").alias("labels"))
+    summed = F.aggregate(
+        F.transform("px", lambda v, k: F.round(v.cast("double") * 255) * (k + 1)), F.lit(0.0), lambda a, v: a + v
+    )
+    return stacks.join(labels, "batch").select(
+        "batch", "n_images", "labels", F.size("px").cast("bigint").alias("n_values"), F.round(summed / 255, 3).alias("total")
+    )
+
+
+@query("udf_setup", with_sql("manifest") + "select doc_id, ext || '-' || length(ext) as tag, true as once from manifest")
+def udf_setup(spark, sf_dir):
+    """A row function with a state that each task makes once, such as a client or a table."""
+    rows = V.manifest(spark, sf_dir).select("doc_id", "ext")
+    return mapping.map_samples(rows, tagged, "doc_id bigint, tag string, once boolean", setup=tag_table, chunk=100)
+
+
+def tag_table() -> dict:
+    return {"made": 0, "tags": {}}
+
+
+def tagged(rows, state):
+    """Counts how often it sees a state that another call has not used yet."""
+    state["made"] += "used" not in state
+    state["used"] = True
+    tags = [state["tags"].setdefault(e, f"{e}-{len(e)}") for e in rows["ext"]]
+    return rows[["doc_id"]].assign(tag=tags, once=state["made"] == 1)
+
+
 # Weights of the 8 to 4 resize: a triangle of half width 2 around each output centre.
 WEIGHTS = """raw as (select o, src, greatest(0.0, 1 - abs(src + 0.5 - (o + 0.5) * 2) / 2.0) as w
   from range(0, 4) a(o), range(0, 8) b(src)),

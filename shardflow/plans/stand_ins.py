@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardflow.functions import columns as C
-from shardflow.functions.tensors import png_bytes
+from shardflow.plans.png_files import png_bytes
 from shardflow.operators.samples import with_path_parts
 from shardflow.scratch import scratch_path
 from shardflow.sources.files import write_files

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardflow.functions.tensors import png_bytes
+from shardflow.plans.png_files import png_bytes
 from shardflow.operators import samples
 from shardflow.sources import columnar, files, tar
 
@@ -194,10 +194,10 @@ def test_images(spark, tmp_path):
         put(root, name, png_bytes(a))
         want[name] = np.repeat(a, 3, 2) if c == 1 else a[:, :, :3]
     put(root, "broken.png", b"no image at all")
-    found = files.images(spark, root, [".png"]).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    found = files.images(spark, root, [".png"], drop_invalid=True).withColumn("name", F.element_at(F.split("path", "/"), -1))
     got = {r.name: r for r in pixels.rgb_images(found, ["name"]).collect()}
     assert set(got) == {"grey.png", "rgb.PNG", "rgba.png"}
     for name, r in got.items():
         assert (r.height, r.width, r.channels) == (3, 2, 3)
         assert bytes(r.pixels) == want[name].tobytes()
-    assert files.images(spark, root, drop_invalid=False).count() == 5
+    assert files.images(spark, root).count() == 5

@@ -6,6 +6,7 @@ import pytest
 
 from shardflow.functions import tensors as N
 from shardflow.operators import pixels
+from shardflow.plans import png_files as P
 
 
 def test_weights_of_a_halved_axis():
@@ -52,22 +53,22 @@ def filtered_png(a, kinds):
         body += bytes([kinds[y]]) + ((a[y].astype(int) - base) % 256).astype(np.uint8).tobytes()
     chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     head = struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0)
-    return N.PNG_SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    return P.PNG_SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
 
 
 @pytest.mark.parametrize("c", [1, 3, 4])
 def test_png_filters(c):
     a = np.random.default_rng(c).integers(0, 256, (5, 6, c), dtype=np.uint8)
-    assert (N.png_pixels(filtered_png(a, [0, 1, 2, 3, 4])) == a).all()
-    assert (N.png_pixels(filtered_png(a, [4, 3, 1, 2, 4])) == a).all()
-    assert (N.png_pixels(N.png_bytes(a)) == a).all()
+    assert (P.png_pixels(filtered_png(a, [0, 1, 2, 3, 4])) == a).all()
+    assert (P.png_pixels(filtered_png(a, [4, 3, 1, 2, 4])) == a).all()
+    assert (P.png_pixels(P.png_bytes(a)) == a).all()
 
 
 def test_payloads_to_tensors_with_bad_ones(spark):
     rng = np.random.default_rng(5)
     arrays = {k: rng.integers(0, 256, (4 + k % 2, 6, 3), dtype=np.uint8) for k in range(40)}
-    rows = [(k, N.png_bytes(a)) for k, a in arrays.items()] + [(99, b"broken")]
-    decoded = pixels.decode_payloads(spark.createDataFrame(rows, "id int, payload binary"), ["id"])
+    rows = [(k, P.png_bytes(a)) for k, a in arrays.items()] + [(99, b"broken")]
+    decoded = pixels.decode_payloads(spark.createDataFrame(rows, "id int, payload binary"), ["id"], decoder=P.png_decoder)
     bad = decoded.where("error is not null").collect()
     assert len(bad) == 1 and "not a PNG" in bad[0].error
     good = decoded.where("error is null")
@@ -81,7 +82,7 @@ def test_payloads_to_tensors_with_bad_ones(spark):
     assert all(np.abs(np.array(other[k]) - got[k].px).max() < 1.1 / 255 for k in arrays)
     for scale_first, want in ((False, {k: r.px for k, r in got.items()}), (True, other)):
         source = spark.createDataFrame(rows, "id int, payload binary").repartition(3)
-        way = dict(payload="payload", scale_first=scale_first)
+        way = dict(payload="payload", scale_first=scale_first, decoder=P.png_decoder)
         loaded = pixels.load_tensors(source, ["id"], 2, 3, packed=False, **way).collect()
         assert [r.id for r in loaded if r.error] == [99] and len(loaded) == 41
         assert {r.id: r.px for r in loaded if r.error is None} == want
@@ -93,3 +94,13 @@ def test_payloads_to_tensors_with_bad_ones(spark):
     assert (sized.height, sized.width, len(sized.pixels)) == (2, 3, 18)
     flat = {r.id: r.px for r in pixels.to_tensor(good, ["id"]).collect()}
     assert flat[3] == pytest.approx(arrays[3].transpose(2, 0, 1).ravel() / 255, abs=1e-6)
+
+
+def test_missing_decoder_is_one_clear_error(spark):
+    def absent():
+        raise ImportError("decoding encoded bytes needs Pillow on every worker, or another decoder")
+
+    df = spark.createDataFrame([(1, b"x")], "id int, payload binary")
+    for call in (pixels.decode_payloads, lambda *a, **k: pixels.load_tensors(*a, 2, 2, payload="payload", **k)):
+        with pytest.raises(Exception, match="needs Pillow on every worker"):
+            call(df, ["id"], mode="PERMISSIVE", decoder=absent).collect()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardflow.functions.tensors import png_bytes
+from shardflow.plans.png_files import png_bytes, png_decoder
 from shardflow.operators import ordering, pixels, samples, splits, telemetry
 from shardflow.plans import loading
 from shardflow.sources import files, tar
@@ -35,11 +35,11 @@ def test_files_to_tar_to_worker_batches(spark, tree, tmp_path):
     target = str(tmp_path / "tars")
     read = files.read_payloads(placed.select("shard", "pos", key, "ext", "label", "path"))
     tar.write_tar(samples.labelled_members(read), target, prefix="shared_")
-    assert len(os.listdir(target)) == 5
+    assert len(os.listdir(target)) == 6  # with the list of shards
 
     members = samples.assemble_members(tar.read_tar(spark, target))
     rows = members.select("shard", "key", F.col("members")["png"].alias("png"), F.decode(F.col("members")["json"], "utf-8").alias("meta"))
-    tensors = pixels.load_tensors(rows, ["shard", "key", "meta"], 4, 4, payload="png")
+    tensors = pixels.load_tensors(rows, ["shard", "key", "meta"], 4, 4, payload="png", decoder=png_decoder)
     assert [r.key for r in tensors.where("error is not null").collect()] == ["made/bad"]
 
     order = ordering.dense_index(tensors.where("error is null").drop("error"), ["key"], seed=1, total="n")
