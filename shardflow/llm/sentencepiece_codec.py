@@ -100,6 +100,17 @@ def encode_texts(
     return kept.mapInArrow(run, schema.schema)
 
 
+def _lists(column: pa.Array) -> list[list[int]]:
+    """Lists of whole numbers without their nulls; a null list is empty.  Values are not touched one by one."""
+    column = column.fill_null([]) if column.null_count else column
+    values, offsets = column.values, np.asarray(column.offsets).astype(np.int64)
+    if values.null_count:
+        there = np.concatenate([[0], np.cumsum(values.is_valid().to_numpy(zero_copy_only=False))])
+        values, offsets = values.drop_null(), there[offsets]
+    flat = values.to_numpy()
+    return [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+
+
 def decode_ids(rows: DataFrame, model: bytes, *, ids: str = "ids", text: str = "decoded", threads: int = 2) -> DataFrame:
     """``rows`` with the text of ``ids`` in ``text``; no ids, or null, give the empty text.
 
@@ -115,8 +126,7 @@ def decode_ids(rows: DataFrame, model: bytes, *, ids: str = "ids", text: str = "
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(at, 256)
-                lists = [[i for i in x if i is not None] if x else [] for x in part.column(ids).to_pylist()]
-                texts = tokenizer.decode_batch(lists, skip_special_tokens=False)
+                texts = tokenizer.decode_batch(_lists(part.column(ids)), skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], fields)
 
     return kept.mapInArrow(run, kept.withColumn(text, F.lit(None).cast("string")).schema)

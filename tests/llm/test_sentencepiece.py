@@ -33,6 +33,12 @@ def test_odd_rows_and_empty_table(odd, odd_rows, nothing):
     assert empty.collect() == [] and empty.columns == [*nothing.columns, "ids", "verified", "decoded"]
 
 
+def test_nulls_in_ids(spark):
+    rows = [(1, LIBRARY.encode("some text")), (2, None), (3, []), (4, [None, *LIBRARY.encode("other"), None])]
+    out = sentencepiece_codec.decode_ids(spark.createDataFrame(rows, "doc_id long, ids array<int>"), MODEL)
+    assert {r.doc_id: r.decoded for r in out.collect()} == {1: "some text", 2: "", 3: "", 4: "other"}
+
+
 def _message(number, data):
     size, out = len(data), bytes([number << 3 | 2])
     while size > 127:
