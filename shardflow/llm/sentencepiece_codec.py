@@ -37,7 +37,7 @@ class Encoder:
     """
 
     def __init__(self, data: bytes, verify: bool):
-        model = sentencepiece_model.parse(data)
+        self.model = model = sentencepiece_model.parse(data)
         self.plain = model.plain()
         self.tokenizer = sentencepiece_model.tokenizer(model, prefix=not self.plain)
         self.reference = None
@@ -66,37 +66,52 @@ class Encoder:
 
 
 def encode_texts(
-    docs: DataFrame, model: bytes, *, text: str = "text", ids: str = "ids", verified: str | None = "verified", threads: int = 2
+    docs: DataFrame,
+    model: bytes,
+    *,
+    text: str = "text",
+    ids: str = "ids",
+    verified: str | None = "verified",
+    round_trip: str | None = None,
+    threads: int = 2,
 ) -> DataFrame:
     """``docs`` with the ids of every whole text in ``ids``.
 
     ``model`` is the content of a SentencePiece file; executors get it with the job.
     With ``verified`` the ids are compared with those of the sentencepiece
     library, for every distinct unit of every batch, and the column says
-    whether they agree.  A null text is empty and has no ids.  A column of
+    whether they agree.  With ``round_trip`` the ids of every text are decoded again and
+    that column says whether the text comes back (the marker letter as a space).
+    Both happen in the pass that encodes.  A null text is empty and has no ids.  A column of
     ``docs`` with a name used here is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop(ids, *([verified] if verified else []))
+    checks = [c for c in (verified, round_trip) if c]
+    kept = docs.drop(ids, *checks)
     names = kept.columns
     if text not in names:
         raise ValueError(f"no column {text!r}")
-    fields = [*names, ids, *([verified] if verified else [])]
+    fields = [*names, ids, *checks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _threads(threads)
         encoder = Encoder(shared.value, verified is not None)
+        decoder = sentencepiece_model.tokenizer(encoder.model) if round_trip else None
         for batch in batches:
-            for piece in pieces(batch, text):
-                values, sizes, agree = encoder([t or "" for t in piece.column(text).to_pylist()])
+            for piece in pieces(batch, text, 1 << 20):
+                texts = [t or "" for t in piece.column(text).to_pylist()]
+                values, sizes, agree = encoder(texts)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
                 columns = [*piece.columns, lists, *([pa.array(agree)] if verified else [])]
+                if decoder:
+                    back = decoder.decode_batch(_lists(lists), skip_special_tokens=False)
+                    columns.append(pa.array([a == b.replace(MARKER, " ") for a, b in zip(back, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, fields)
 
     schema = kept.withColumn(ids, F.lit(None).cast("array<int>"))
-    if verified:
-        schema = schema.withColumn(verified, F.lit(None).cast("boolean"))
+    for check in checks:
+        schema = schema.withColumn(check, F.lit(None).cast("boolean"))
     return kept.mapInArrow(run, schema.schema)
 
 

@@ -45,7 +45,7 @@ def piece_cuts(pieces: list[bytes]) -> np.ndarray:
 class UnitIds:
     """Encodes texts by units; ``limit`` units are remembered, ``chunk`` are with the library at a time."""
 
-    def __init__(self, encode: Encode, cut: np.ndarray, *, lower: bool = False, spaces: bool = True, limit: int = 1 << 20, chunk: int = 4096):
+    def __init__(self, encode: Encode, cut: np.ndarray, *, lower: bool = False, spaces: bool = True, limit: int = 1 << 19, chunk: int = 4096):
         self.encode, self.cut, self.letters = encode, cut.ravel(), LOWER if lower else LETTER
         self.spaces, self.limit, self.chunk = spaces, limit, chunk
         self.forget()

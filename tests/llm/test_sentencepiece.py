@@ -29,6 +29,9 @@ def test_odd_rows_and_empty_table(odd, odd_rows, nothing):
     out = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(odd, MODEL), MODEL).collect()
     assert sorted((r.text or "", r.ids) for r in out) == sorted((r[1] or "", LIBRARY.encode(r[1] or "")) for r in odd_rows)
     assert all(r.verified and r.decoded == (r.text or "") for r in out)
+    one_pass = sentencepiece_codec.encode_texts(odd, MODEL, round_trip="back").collect()
+    assert sorted((r.text or "", r.ids) for r in one_pass) == sorted((r.text or "", r.ids) for r in out)
+    assert all(r.verified and r.back for r in one_pass)
     empty = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_texts(nothing, MODEL), MODEL)
     assert empty.collect() == [] and empty.columns == [*nothing.columns, "ids", "verified", "decoded"]
 
