@@ -49,6 +49,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove what ``materialise`` wrote, once nothing that is still to run reads it."""
+    spark = table.sparkSession
+    folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+    for folder in folders:
+        if f"/shardflow/{spark.sparkContext.applicationId}/" in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove what this application has written below the scratch folder; call it when its results are stored."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/shardflow/{spark.sparkContext.applicationId}")

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,7 @@ def test_scratch_is_the_folder_the_session_names(spark):
     assert scratch.scratch_path(spark, "x").startswith(f"{root}/shardflow/")
     table = scratch.materialise(spark.range(5), "five")
     assert table.count() == 5 and all(root in name for name in table.inputFiles())
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    scratch.discard(table)
+    assert not os.path.exists(folder)
