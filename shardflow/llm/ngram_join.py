@@ -16,12 +16,11 @@ Steps, each on tables that follow the input:
 
 1. sets with the same elements become one (smallest id) by a 128-bit digest;
 2. signatures, one row each, meet in a shuffle; those of one text alone go;
-3. in every bucket each text is held against one leader, equal pairs once;
-   links found make first components;
+3. in every bucket each text is held against one leader, equal pairs once: a
+   small histogram of elements bounds the difference from below, and pairs that
+   it leaves are verified on their whole sets; the links make first components;
 4. what is left are pairs in one bucket and not in one component: they are
-   compared in blocks by a small histogram of their elements, which bounds
-   the difference from below, and only pairs that may link are verified on
-   their whole sets.
+   compared in blocks by their histograms, and verified in the same way.
 
 A large group of near copies is joined in step 3 by a number of pairs in
 proportion to its size.
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 
 from shardflow.llm.components import components
 from shardflow.llm.words import U64, Words, mix, pieces
-from shardflow.scratch import materialise
+from shardflow.scratch import discard, materialise
 
 CELLS = 256  # of a histogram: one byte each
 
@@ -234,16 +233,40 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFram
     return docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, elements array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach ``num / den``, by their exact intersection."""
+def verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets reach ``num / den``, by their exact intersection; written down."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialise(whole_sets(docs, ids, n, lower), "whole-sets")
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return (
+    found = (
         pairs.join(left, "a").join(right, "b")
         .where(den * both >= num * (F.size("x") + F.size("y") - both))
         .select("a", "b")
     )
+    found = materialise(found, "links")
+    discard(sets)
+    return found
+
+
+def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` that their histograms don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x", "y"))
+            total = batch.column("n").to_numpy()
+            keep = np.abs(x - y).sum(axis=1) * (den + num) <= (den - num) * total
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    left = cells.select(F.col("id").alias("a"), F.col("size").alias("p"), F.col("cells").alias("x"))
+    right = cells.select(F.col("id").alias("b"), F.col("size").alias("q"), F.col("cells").alias("y"))
+    near = F.least("p", "q") * den >= F.greatest("p", "q") * num
+    both = pairs.join(left, "a").join(right, "b").where(near)
+    return both.select("a", "b", (F.col("p") + F.col("q")).alias("n"), "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _histograms(sets: DataFrame) -> DataFrame:
@@ -337,7 +360,8 @@ def ngram_jaccard_groups(
     keys = materialise(set_keys(given, n, lower), "set-keys")
     some = keys.where("size > 0")
     first = some.groupBy("size", "k1", "k2").agg(F.min("id").alias("rep"))
-    rep_of = materialise(some.join(first, ["size", "k1", "k2"]).select("id", "rep").distinct(), "set-reps")
+    named = materialise(some.join(first, ["size", "k1", "k2"]).select("id", "size", "rep"), "set-reps")
+    rep_of = named.select("id", "rep").distinct()
 
     shared = materialise(_shared(signature_rows(given, n, lower, bands)), "shared-signatures")
     members = shared.join(rep_of, "id").select("sig", F.col("rep").alias("id")).distinct()
@@ -346,32 +370,38 @@ def ngram_jaccard_groups(
     bucket = members.groupBy("sig").agg(F.min_by("id", rank).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(members.join(bucket, "sig"), "buckets")
 
-    sets = materialise(whole_sets(given, members.select("id").distinct(), n, lower), "bucket-sets")
+    sets = whole_sets(given, members.select("id").distinct(), n, lower)
+    cells = materialise(_histograms(sets).distinct(), "histograms")
     stars = (
         members.where("id <> leader")
         .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
         .distinct()
     )
-    joined = components(verified(stars, sets, num, den))
+    stars = materialise(_may_link(stars, cells, num, den).distinct(), "star-pairs")
+    joined = components(verified(stars, given, n, lower, num, den))
     joined = materialise(joined, "first-components")
 
     # Pairs in one bucket that are not in one component yet.
-    left = members.select("sig", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    # In a bucket of two, the leader's pair is the only one.
+    left = members.where("n > 2").select("sig", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
     left = left.withColumn("label", F.coalesce("component", "id")).drop("component")
     mixed = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
     left = left.join(mixed, "sig")
     blocks = F.ceil(F.col("n") / block).cast("int")
     left = left.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(_histograms(sets), "id").select(
+    left = left.join(cells, "id").select(
         "sig", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "label", "at", "size", "cells"
     )
-    more = verified(_close_pairs(left, num, den).distinct(), sets, num, den)
+    close = materialise(_close_pairs(left, num, den).distinct(), "close-pairs")
+    more = verified(close, given, n, lower, num, den)
     label = joined.select("node", "component")
     ends = more
     for end in ("a", "b"):
         ends = ends.join(label.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
-    merged = components(ends.select("a", "b"))
+    merged = materialise(components(ends.select("a", "b")), "second-components")
+    for table in (shared, members, cells):
+        discard(table)
 
     final = (
         rep_of.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
@@ -381,8 +411,7 @@ def ngram_jaccard_groups(
         .groupBy("id", "rep")
         .agg(F.min(F.coalesce("component", "label")).alias("component"))
     )
-    sized = some.join(first, ["size", "k1", "k2"]).join(final, ["id", "rep"])
-    out = sized.select("id", "size", "component").unionByName(
+    out = named.join(final, ["id", "rep"]).select("id", "size", "component").unionByName(
         keys.where("size = 0").select("id", "size", F.col("id").alias("component"))
     )
     nameless = set_keys(whole.where("id is null").withColumn("id", F.lit(0).cast("bigint")), n, lower)
