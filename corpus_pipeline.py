@@ -15,6 +15,13 @@ from shardflow.scratch import materialise
 
 #: Dimensions of the language profiles.
 PROFILE_SIZE = 1024
+#: Rows that travel to Python at a time: texts may be long.
+BATCH_ROWS = 1000
+
+
+def _session(spark: SparkSession) -> None:
+    """Settings of this job's session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     to any language than a random vector would be (a cosine of one over the root of
     the dimensions).  Without any label only the first kind is rejected.
     """
+    _session(spark)
     profiles = language_id.fit(docs, size=PROFILE_SIZE)
     out = language_id.identify(docs, profiles, lang_pred="_lang_pred", score="_lang_score")
     if profiles.languages:
@@ -43,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without id are compared with nothing and stay.
     """
+    _session(spark)
     groups = ngram_join.ngram_jaccard_groups(docs, n=5, num=4, den=5)
     gone = groups.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -55,6 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, compared with the other library and decoded again."""
+    _session(spark)
     model = queries.public_model()
     rows = docs.select("doc_id", "lang", "source", "text")
     out = sentencepiece_codec.encode_texts(rows, model, round_trip="round_trip")

@@ -128,7 +128,7 @@ def fit(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 1 << 19):
                 names = piece.column("lang").to_pylist()
                 known = sorted(set(names))
                 group = np.array([known.index(n) for n in names])
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang_pred:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, text, 1 << 20):
+            for piece in pieces(batch, text, 1 << 19):
                 names, scores = profiles.answers(piece.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields)
 

@@ -37,7 +37,7 @@ class Encoder:
     """
 
     def __init__(self, data: bytes, verify: bool):
-        self.model = model = sentencepiece_model.parse(data)
+        model = sentencepiece_model.parse(data)
         self.plain = model.plain()
         self.tokenizer = sentencepiece_model.tokenizer(model, prefix=not self.plain)
         self.reference = None
@@ -96,7 +96,6 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _threads(threads)
         encoder = Encoder(shared.value, verified is not None)
-        decoder = sentencepiece_model.tokenizer(encoder.model) if round_trip else None
         for batch in batches:
             for piece in pieces(batch, text, 1 << 20):
                 texts = [t or "" for t in piece.column(text).to_pylist()]
@@ -104,8 +103,8 @@ def encode_texts(
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
                 columns = [*piece.columns, lists, *([pa.array(agree)] if verified else [])]
-                if decoder:
-                    back = decoder.decode_batch(_lists(lists), skip_special_tokens=False)
+                if round_trip:
+                    back = encoder.tokenizer.decode_batch(_lists(lists), skip_special_tokens=False)
                     columns.append(pa.array([a == b.replace(MARKER, " ") for a, b in zip(back, texts)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, fields)
 

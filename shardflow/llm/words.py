@@ -46,7 +46,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """A hash of ``values[start:end]`` for every pair, the same wherever it stands.
 
     ``block`` values are summed at a time, or as many as the longest pair spans.
@@ -71,7 +71,7 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1
     return out
 
 
-def pieces(batch: pa.RecordBatch, text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``limit`` bytes of text, one row at least; memory follows the longest text."""
     column = batch.column(text)
     sizes = np.zeros(len(column), np.int64)
