@@ -41,6 +41,7 @@ from shardflow.llm.words import U64, Words, mix, pieces
 from shardflow.scratch import discard, materialise
 
 CELLS = 256  # of a histogram: one byte each
+LEADERS = 32  # of a group of near copies, about
 
 
 @dataclass(frozen=True)
@@ -365,8 +366,9 @@ def ngram_jaccard_groups(
 
     shared = materialise(_shared(signature_rows(given, n, lower, bands)), "shared-signatures")
     members = shared.join(rep_of, "id").select("sig", F.col("rep").alias("id")).distinct()
-    # In eight eighths of the signatures another text leads, so a group has several leaders.
-    rank = F.xxhash64("id", F.pmod("sig", F.lit(8)))
+    # In every class of signatures another text leads: a text that is not alike to one
+    # leader of its group is to another, and few pairs are left for the last step.
+    rank = F.xxhash64("id", F.pmod("sig", F.lit(LEADERS)))
     bucket = members.groupBy("sig").agg(F.min_by("id", rank).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(members.join(bucket, "sig"), "buckets")
 
