@@ -16,7 +16,8 @@ Steps, each on tables that follow the input:
 
 1. sets with the same elements become one (smallest id) by a 128-bit digest;
 2. signatures, one row each, meet in a shuffle; those of one text alone go;
-3. in every bucket each text is held against one leader, equal pairs once: a
+3. in every bucket each text is held against one leader, equal pairs once, in
+   a few turns with other leaders and without what is joined already: a
    small histogram of elements bounds the difference from below, and pairs that
    it leaves are verified on their whole sets; the links make first components;
 4. what is left are pairs in one bucket and not in one component: they are
@@ -41,7 +42,7 @@ from shardflow.llm.words import U64, Words, mix, pieces
 from shardflow.scratch import discard, materialise
 
 CELLS = 256  # of a histogram: one byte each
-LEADERS = 32  # of a group of near copies, about
+LEADERS = 5  # turns in which a bucket has one leader
 
 
 @dataclass(frozen=True)
@@ -366,27 +367,34 @@ def ngram_jaccard_groups(
 
     shared = materialise(_shared(signature_rows(given, n, lower, bands)), "shared-signatures")
     members = shared.join(rep_of, "id").select("sig", F.col("rep").alias("id")).distinct()
-    # In every class of signatures another text leads: a text that is not alike to one
-    # leader of its group is to another, and few pairs are left for the last step.
-    rank = F.xxhash64("id", F.pmod("sig", F.lit(LEADERS)))
-    bucket = members.groupBy("sig").agg(F.min_by("id", rank).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    bucket = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(members.join(bucket, "sig"), "buckets")
 
     sets = whole_sets(given, members.select("id").distinct(), n, lower)
     cells = materialise(_histograms(sets).distinct(), "histograms")
-    stars = (
-        members.where("id <> leader")
-        .select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        .distinct()
-    )
-    stars = materialise(_may_link(stars, cells, num, den).distinct(), "star-pairs")
-    joined = components(verified(stars, given, n, lower, num, den))
-    joined = materialise(joined, "first-components")
+
+    def labelled(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
+        if joined is None:
+            return rows.withColumn("label", F.col("id"))
+        rows = rows.join(joined.withColumnRenamed("node", "id"), "id", "left")
+        return rows.withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    links = joined = None
+    for turn in range(LEADERS):
+        # In every turn another text leads; what is in one component with it is not compared again.
+        rank = F.xxhash64("id", F.lit(turn))
+        left = labelled(members.select("sig", "id"), joined)
+        led = left.groupBy("sig").agg(F.min_by("id", rank).alias("leader"), F.min_by("label", rank).alias("led"))
+        stars = left.join(led, "sig").where("label <> led")
+        stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        stars = materialise(_may_link(stars, cells, num, den).distinct(), "star-pairs")
+        found = verified(stars, given, n, lower, num, den)
+        links = found if links is None else links.unionByName(found)
+        joined = materialise(components(links), "first-components")
 
     # Pairs in one bucket that are not in one component yet.
     # In a bucket of two, the leader's pair is the only one.
-    left = members.where("n > 2").select("sig", "id", "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    left = left.withColumn("label", F.coalesce("component", "id")).drop("component")
+    left = labelled(members.where("n > 2").select("sig", "id", "n"), joined)
     mixed = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
     left = left.join(mixed, "sig")
     blocks = F.ceil(F.col("n") / block).cast("int")
