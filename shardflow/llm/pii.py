@@ -46,7 +46,9 @@ DIGIT_WORDS = {
 }
 DOT_WORDS = ("dot", "punkt", "point", "punto")
 #: Ends of addresses that are believed where both signs are bare words.
-ENDINGS = "com|net|org|edu|gov|mil|info|biz|io|co|ai|app|dev|de|fr|es|uk|eu|us|ca|ch|nl|pl|ru|se|jp|cn|in|br|au|mx"
+ENDINGS = "com|net|org|edu|gov|mil|info|biz|io|ai|app|dev|fr|uk|eu|ca|ch|nl|pl|ru|jp|cn|br|mx"
+#: Ends that are also common words: only behind a dot in brackets or another dot of the host, or where the clause ends.
+WORD_ENDINGS = "co|de|es|us|se|in|au"
 INVISIBLE = frozenset("­​‌‍‎‏⁠⁡⁢⁣﻿")
 
 _words = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -57,13 +59,21 @@ SPELLED = re.compile(
 SPELLED_PART = re.compile(rf"(plus)|({_words})|({_dots})|([0-9]+)|[\s,.-]+", re.I)
 _open, _close = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 AT = rf"{_open}(?:at|@){_close}|\s?@\s?|[_-]at[_-]"
-DOT = rf"{_open}(?:{_dots}|\.){_close}|\s(?:{_dots})\s|\.|[_-]dot[_-]"
+_bracketed = rf"{_open}(?:{_dots}|\.){_close}"
+DOT = rf"{_bracketed}|\s(?:{_dots})\s|\.|[_-]dot[_-]"
 WORD_AT = r"\sat\s"
-WORD_DOT = rf"{_open}(?:{_dots}|\.){_close}|\s(?:{_dots})\s"
-_name = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9%+_-]+?"
-_local = rf"{_name}(?:(?:{DOT})[A-Za-z0-9%+_-]+?){{0,4}}"
+WORD_DOT = rf"{_bracketed}|\s(?:{_dots})\s"
+# Between bare words "at this point in time" is prose: there the other dot words count in brackets only.
+BARE_DOT = rf"{_bracketed}|\sdot\s"
+_part = r"[A-Za-z0-9%+_-]+?"
+_name = rf"(?<![A-Za-z0-9._%+-]){_part}"
 _host = r"[A-Za-z0-9-]+"
-DISGUISED = re.compile(rf"{_local}(?:(?:{AT}){_host}(?:(?:{DOT}){_host})+|{WORD_AT}{_host}(?:(?:{WORD_DOT}){_host})*(?:{WORD_DOT})(?:{ENDINGS})(?![\\w-]))", re.I)
+_signed = rf"{_name}(?:(?:{DOT}){_part}){{0,4}}(?:{AT}){_host}(?:(?:{DOT}){_host})+"
+_known = rf"(?:{_host}(?:{BARE_DOT}))+(?:{ENDINGS})(?![\w-])"
+_longer = rf"(?:{_host}(?:{BARE_DOT}))*{_host}(?:(?:{BARE_DOT}){_host}(?:{BARE_DOT})|{_bracketed})(?:{WORD_ENDINGS})(?![\w-])"
+_closing = rf"{_host}(?:{BARE_DOT})(?:{WORD_ENDINGS})(?![\w-])(?=[^\S\n]*(?:\Z|[\n.,;:!?)\]}}>\"']))"
+_spoken = rf"{_name}(?:(?:{BARE_DOT}|\.|[_-]dot[_-]){_part}){{0,4}}{WORD_AT}(?!(?:an?|the|this|that|some|any)\s)(?:{_known}|{_longer}|{_closing})"
+DISGUISED = re.compile(rf"{_signed}|{_spoken}", re.I)
 HINT = re.compile(rf"[\[({{<]\s?(?:at|@|{_dots}|\.)\s?[\])}}>]|\s(?:{_dots})\s|\s@|@\s|[_-](?:at|dot)[_-]", re.I)
 SIGN = re.compile(rf"({AT}|{WORD_AT})|({WORD_DOT}|[_-]dot[_-])", re.I)
 

@@ -78,6 +78,53 @@ def test_clean_texts_stay_clean(text):
     assert pii.plain(text) + pii.disguised(text, []) == []
 
 
+PROSE = [
+    "we looked at this point in time and left",
+    "they stay at some point in the year",
+    "he stopped at each point us and them",
+    "rates rose at every point de facto",
+    "stay at home dot inside",
+    "we stay at home dot in the evening",
+    "look at the dot in the middle",
+    "she worked at a dot com startup",
+    "so en punto at sol punto de vista",
+]
+
+
+@pytest.mark.parametrize("text", PROSE)
+def test_prose_with_bare_signs_stays_clean(text):
+    assert pii.plain(text) + pii.disguised(text, []) == []
+
+
+SPOKEN = [
+    "jane at example [point] com",
+    "jane at firma [punkt] de",
+    "jane at example dot co [dot] in",
+    "john dot doe at mail dot example dot org",
+    "jane at example dot co dot in",
+    "jane at example dot co dot uk",
+    "jane(at)firma punkt de",
+]
+
+
+@pytest.mark.parametrize("part", SPOKEN)
+@pytest.mark.parametrize("after", ["", ", please", ".", "\nthen", " - then"])
+def test_spoken_addresses_are_found(part, after):
+    text = f"write: {part}{after}"
+    assert ("email", 7, 7 + len(part)) in pii.disguised(text, pii.plain(text))
+
+
+@pytest.mark.parametrize("after", ["", ", please", ".", "\nthen"])
+def test_common_words_end_an_address_where_the_clause_ends(after):
+    part = "max at firma dot de"
+    assert ("email", 7, 7 + len(part)) in pii.disguised(f"write: {part}{after}", [])
+
+
+def test_prose_is_not_redacted(spark):
+    df = spark.createDataFrame(list(enumerate(PROSE)), "doc_id long, text string")
+    assert [r.redacted for r in pii.redacted(pii.personal_data(df)).orderBy("doc_id").collect()] == PROSE
+
+
 def test_clean_documents_get_nothing_added(documents):
     rows = pii.personal_data(documents).collect()
     assert sum(not s.plain for r in rows for s in r.spans) == 0
