@@ -181,11 +181,18 @@ def assemble_members(members: DataFrame, *, pos: str = "pos") -> DataFrame:
     return done.unionByName(broken.select("shard", "key", nothing.alias("members"), F.coalesce("error", F.lit("no name")).alias("error")))
 
 
+def unlabelled(df: DataFrame, label: str = "label") -> DataFrame:
+    """The samples without a label, as rows with an ``error``."""
+    return df.where(F.col(label).isNull()).withColumn("error", F.lit("no label"))
+
+
 def labelled_members(df: DataFrame, label: str = "label", payload: str = "payload") -> DataFrame:
-    """Two tar members per sample: the image and its JSON label."""
+    """Two tar members per sample: the image and its JSON label.  A sample without a label is an error that names it."""
+    nameless = F.raise_error(F.concat(F.lit("no label: "), F.coalesce("key", F.lit("null"))))
+    checked = F.when(F.col(label).isNull(), nameless).otherwise(F.col(label))
     pair = F.array(
         F.struct(F.substr(F.col("ext"), F.lit(2)).alias("ext"), F.col(payload).alias("payload")),
-        F.struct(F.lit("json").alias("ext"), F.encode(C.label_json(label), "utf-8").alias("payload")),
+        F.struct(F.lit("json").alias("ext"), F.encode(C.label_json(checked), "utf-8").alias("payload")),
     )
     return df.select("shard", "pos", "key", F.inline(pair))
 

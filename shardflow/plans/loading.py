@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shardflow.functions import columns as C
 from shardflow.operators import ordering, packing, samples, scoring, splits, telemetry
+from shardflow.sources import tar
 
 
 def worker_batches(
@@ -49,6 +50,16 @@ def with_payload(placed: DataFrame, payloads: DataFrame, ids: Sequence[str]) ->
     return placed.join(payloads, list(ids))
 
 
+def labelled_tar(
+    rows: DataFrame, payloads: DataFrame, ids: Sequence[str], path: str, size: int = 2000, seed: int = 0, prefix: str = "shard_"
+) -> DataFrame:
+    """Write samples and their JSON labels to tar shards; gives those without a label, which are not written, with an ``error``."""
+    placed = fixed_shards(rows.where(F.col("label").isNotNull()), ids, size, seed)
+    slim = placed.select(*ids, "shard", "pos", F.concat_ws("/", "class", "key").alias("key"), "ext", "label")
+    tar.write_tar(samples.labelled_members(with_payload(slim, payloads, ids)), path, prefix=prefix)
+    return samples.unlabelled(rows)
+
+
 def ranking(tel: DataFrame, weights=scoring.WEIGHTS_FIVE) -> DataFrame:
     """Telemetry to run records to means to a leaderboard."""
     stats = telemetry.mean_statistics(telemetry.run_records(tel))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,14 +187,17 @@ def read_tar_shards(spark, sf_dir):
   '{{"label": "' || word || '"}}' as meta, cast(2 as bigint) as n_members from placed""",
 )
 def write_tar_labelled(spark, sf_dir):
-    """Write image and JSON label side by side, read them back, and join them to samples."""
+    """Write image and JSON label side by side, read them back, and join them to samples.
+
+    Samples without a label are not written; a warning tells their number.
+    """
     word = F.when(F.col("quality") == 1, "real").otherwise("fake")
-    rows = V.manifest(spark, sf_dir).join(V.table(spark, sf_dir, "labels").select("doc_id", word.alias("label")), "doc_id")
-    placed = loading.fixed_shards(rows, ["doc_id"], TAR_ROWS, SEED)
-    slim = placed.select("doc_id", "shard", "pos", F.concat_ws("/", "class", "key").alias("key"), "ext", "label")
+    labels = V.table(spark, sf_dir, "labels").select("doc_id", word.alias("label"))
+    rows = samples.attach_label(V.manifest(spark, sf_dir), labels, "doc_id")
     target = scratch_path(spark, "write-tar-labelled")
-    both = samples.labelled_members(loading.with_payload(slim, V.payloads(spark, sf_dir), ["doc_id"]))
-    tar.write_tar(both, target, prefix="shared_")
+    without = loading.labelled_tar(rows, V.payloads(spark, sf_dir), ["doc_id"], target, TAR_ROWS, SEED, "shared_").count()
+    if without:
+        warnings.warn(f"{without} samples without a label are in no shard", stacklevel=2)
     got = samples.assemble_members(tar.read_tar(spark, target))
     image = F.filter(F.map_entries("members"), lambda e: e["key"] != "json")[0]["value"]
     return got.select(

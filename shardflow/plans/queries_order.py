@@ -9,7 +9,8 @@ from shardflow.operators import mapping, ordering, samples, splits
 from shardflow.plans import loading, stand_ins as V
 from shardflow.plans.registry import query
 from shardflow.plans.stand_ins import key_sql, order_sql, with_sql
-from shardflow.scratch import materialise
+from shardflow.scratch import materialise, scratch_path
+from shardflow.sources import files
 
 SEED = 42
 # Sizes for the small given tables; real shards are larger.
@@ -266,14 +267,22 @@ def shard_summary(spark, sf_dir):
 where s not in (select i // 10 from ({order_sql('manifest', 'doc_id', SEED)}) group by 1 having sum(length) > 15000)""",
 )
 def check_shards(spark, sf_dir):
-    """Expected shards that a listing of the larger ones does not have."""
+    """Expected shards that the listing of a folder does not have, to which only the larger ones were written."""
     rows = V.manifest(spark, sf_dir)
     n = rows.agg(splits.shard_count(F.count(F.lit(1)), 10).alias("n"))
     name = F.concat(F.lit("s"), F.col("shard").cast("string"))
     expected = n.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("shard")).select(name.alias("name"))
     placed = loading.fixed_shards(rows, ["doc_id"], 10, SEED)
-    sizes = samples.shard_summary(placed, splits.shard_count("n_total", 10)).where("bytes > 15000")
-    return samples.missing_inputs(expected, sizes.select(name.alias("name")))
+    larger = samples.shard_summary(placed, splits.shard_count("n_total", 10)).where("bytes > 15000").select("shard")
+    slim = loading.with_payload(placed.join(larger, "shard").select("doc_id", "shard", "pos"), V.payloads(spark, sf_dir), ["doc_id"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "payload"))), lambda m: m["payload"])
+    content = F.aggregate(parts, F.lit(b""), lambda out, part: F.concat(out, part)).alias("content")
+    target = scratch_path(spark, "check-shards")
+    system, root = files.filesystem(target)
+    system.create_dir(root)  # listed also when nothing is written
+    whole = slim.groupBy("shard").agg(content)
+    V.run_writes(files.write_files(whole.select(F.concat(F.lit(f"{target}/"), name).alias("path"), "content")))
+    return samples.missing_inputs(expected, files.scan(spark, target).select("name"))
 
 
 @query(

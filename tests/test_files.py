@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from shardflow.plans.png_files import png_bytes
 from shardflow.operators import samples
+from shardflow.plans import loading
+from shardflow.plans.all_queries import QUERIES
 from shardflow.sources import columnar, files, tar
 
 
@@ -155,6 +157,32 @@ def test_labelled_samples_with_a_missing_member(spark, tmp_path):
     assert samples.project_member(tar.read_tar(spark, target), "png").count() == 10
 
 
+def test_samples_without_a_label_are_reported(spark, tmp_path):
+    df = members(spark, 10).selectExpr("cast(substr(key, 4) as int) id", "'c' class", "substr(key, 3) key", "'.png' ext", "payload")
+    df = df.withColumn("label", F.when(F.col("id") % 3 > 0, "real"))
+    without = loading.labelled_tar(df.drop("payload"), df.select("id", "payload"), ["id"], str(tmp_path / "tars"), 4, prefix="shared_")
+    assert sorted((r.key, r.error) for r in without.collect()) == [(f"d{k}", "no label") for k in (0, 3, 6, 9)]
+    got = {r.key: set(r.members) for r in samples.assemble_members(tar.read_tar(spark, str(tmp_path / "tars"))).collect()}
+    assert got == {f"c/d{k}": {"json", "png"} for k in (1, 2, 4, 5, 7, 8)}
+    with pytest.raises(Exception, match="no label: d3"):
+        samples.labelled_members(df.selectExpr("0 shard", "id pos", "*").where("id = 3")).collect()
+
+
+def test_queries_report_what_is_not_written(spark):
+    sf = "/root/testdata/sf0.001"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    n = documents.join(labels, "doc_id", "left_anti").count()
+    with pytest.warns(UserWarning, match=f"^{n} samples without a label"):
+        QUERIES["write_tar_labelled"](spark, sf)
+
+
+def test_check_shards_goes_by_a_listing(spark, monkeypatch):
+    listed, scan = [], files.scan
+    monkeypatch.setattr(files, "scan", lambda *a, **b: listed.append(scan(*a, **b)) or listed[-1])
+    QUERIES["check_shards"](spark, "/root/testdata/sf0.001").collect()
+    assert len(listed) == 1 and listed[0].where("length <= 15000").count() == 0
+
+
 def test_column_shards(spark, tmp_path):
     target = str(tmp_path / "columns")
     df = members(spark, 50).select("shard", "pos", F.col("payload").alias("image"), (F.col("pos") % 2).alias("label"))
