@@ -1,24 +1,31 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by an index of anchored windows, in place of a relative Lempel-Ziv parse.
 
-Every document is parsed against all text that comes before it (smaller id, or
-earlier in the same document).  A factor is a run of words that also stands at
-an earlier place, its source; factors of ``window`` words or more are duplicate
-spans.
+A run of ``window`` words that also stands at an earlier place (smaller id, or
+earlier in the same document), its source, is a duplicate span.  No document is
+factored greedily against a reference text: every document would have to meet
+every block of the text before it, which grows with the square of the corpus.
+The index finds every repeated window all the same, which is all that the words
+taken out depend on.  Windows are equal if two 64-bit hashes are; no words are
+compared.
 
-The reference is not one string but an index dealt over the cluster.  Each run
+The index is dealt over the cluster.  Each run
 of ``window`` words is entered under its anchor, the ``seed`` words inside it
 with the smallest hash; neighbouring windows mostly share an anchor and make
 one segment, so the index has about one entry for eight words.  Equal windows
 have equal anchors, so all their entries meet in one block of the index.
 There
 
-* a segment that equals an earlier one whole is part of a factor at once;
+* a segment that equals an earlier one whole is a found part at once;
 * the first segments of an anchor with several different ones are where
-  factors begin or end: their windows are indexed one by one.
-
-Segments whose sources follow one another are then joined into the longest
-factors.  A window belongs to one segment, so no window between two factors
-is overlooked.  Equal segments are reduced to the earliest one inside a task
+  repeats begin or end: their windows are indexed one by one.
+
+Parts whose sources follow one another are then joined for the column
+``factors``; it changes nothing in what is taken out.  These are not always the
+longest factors: the source of a part is the earliest of the equal places in its
+Arrow batch, if there is an earlier one, and else the earliest of all, so a
+passage may come in pieces with several sources, and ``factors`` may differ
+with the batches.  A window belongs to one segment, so no window between two
+parts is overlooked.  Equal segments are reduced to the earliest one inside a task
 before they are shuffled, however often a passage occurs.
 """
 
@@ -203,7 +210,7 @@ def duplicate_factors(docs: DataFrame, id: str = "doc_id", text: str = "text", *
 
 
 def factors_of(parts: list[dict], window: int) -> list[tuple[int, int, int, int]]:
-    """Longest factors ``(start, words, source document, source place)``: parts whose sources follow one another, joined."""
+    """Runs ``(start, words, source document, source place)``: parts whose sources follow one another, joined; not always the longest."""
     out: list[list[int]] = []
     for p in sorted(parts, key=lambda p: (p["start"], p["n"])):
         start, n, src, at = p["start"], p["n"], p["src"], p["src_start"]
