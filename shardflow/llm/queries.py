@@ -11,6 +11,7 @@ from shardflow.llm import (
     exact_dedup,
     exact_topk,
     language_id,
+    lexical_search,
     mixing,
     ngram_join,
     pii,
@@ -19,7 +20,7 @@ from shardflow.llm import (
     substring_dedup,
     token_codes,
 )
-from shardflow.scratch import scratch_path
+from shardflow.scratch import materialise, scratch_path
 
 def public_tokenizer(name: str) -> str:
     """Where a file of the public tokenizers is."""
@@ -204,3 +205,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(base, written), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", written), ",").alias("spans"),
     )
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    with d as (
+      select row_number() over () as d, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+      from documents
+    ),
+    i as (
+      select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+      from (select distinct item_id, text from benchmark)
+    ),
+    g as (select cast(count(*) filter (len(t) > 0) as bigint) as n, cast(sum(len(t)) as bigint) as l from d),
+    p as (
+      select d, doc_id, n, term, count(*) as tf from (select d, doc_id, cast(len(t) as bigint) as n, unnest(t) as term from d) where term in (select term from i) group by all
+    ),
+    w as (select term, cast(floor(1000 * ln((2 * g.n + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from p, g group by term, g.n),
+    q as (select item_id, term, count(*) as times from i group by all),
+    s as (
+      select q.item_id, p.d, p.doc_id, cast(sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * g.n) // g.l)))) as bigint) as score
+      from q join w using (term) join p using (term), g group by all
+    ),
+    r as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls first) as rank from s where score > 0)
+    select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 20
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialise(lexical_search.build_index(table(spark, sf_dir, "documents")), "lexical-index")
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"), k=20)
