@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardflow.llm import (
+    conversation_repair,
     exact_dedup,
     exact_topk,
     language_id,
@@ -16,6 +17,7 @@ from shardflow.llm import (
     ngram_join,
     pii,
     preference,
+    repair_sql,
     sentencepiece_codec,
     substring_dedup,
     token_codes,
@@ -236,3 +238,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = materialise(lexical_search.build_index(table(spark, sf_dir, "documents")), "lexical-index")
     return lexical_search.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op11_conversation_repair", repair_sql.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(turns), turns)
