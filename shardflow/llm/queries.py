@@ -21,6 +21,7 @@ from shardflow.llm import (
     sentencepiece_codec,
     substring_dedup,
     token_codes,
+    toxicity,
 )
 from shardflow.scratch import materialise, scratch_path
 
@@ -240,6 +241,14 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(index, table(spark, sf_dir, "benchmark"), k=20)
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs.where(~language_id.held_out()), table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, machine)
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "score", toxicity.predicted().alias("predicted"))
+
+
 @query("op11_conversation_repair", repair_sql.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
