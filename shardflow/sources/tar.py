@@ -26,6 +26,7 @@ import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,20 @@ ARROW = pa.schema(
         ("error", pa.string()),
     ]
 )
+#: The index of a folder of shards (see ``sources.tar_samples``), and where the sink writes it.
+INDEX_SCHEMA = pa.schema(
+    [
+        ("shard", pa.string()),
+        ("pos", pa.int64()),
+        ("key", pa.string()),
+        ("ext", pa.string()),
+        ("header", pa.int64()),
+        ("offset", pa.int64()),
+        ("size", pa.int64()),
+    ]
+)
+INDEX_COLUMNS = "shard string, pos long, key string, ext string, header long, offset long, size long"
+INDEX_FOLDER = "index"
 SPLIT_BYTES = 1 << 30
 READ_AHEAD = 4 << 20
 # Members go to Spark in batches of at most so many bytes (and the one that passes it) or rows.
@@ -177,6 +192,7 @@ def _rows(batches):
 @dataclass
 class Written(WriterCommitMessage):
     shards: list[str]
+    index: list[str]
 
 
 class TarWriter(DataSourceArrowWriter):
@@ -189,13 +205,26 @@ class TarWriter(DataSourceArrowWriter):
 
     def __init__(self, options) -> None:
         self.path = options["path"].rstrip("/")
+        self.index = options.get("index", "false").lower() == "true"
 
     def write(self, batches) -> Written:
         system, root = filesystem(self.path)
         renames = not isinstance(system, fs.S3FileSystem)
         if renames:
             system.create_dir(root, recursive=True)
-        shards, current, out, tar, part = [], None, None, None, None
+        shards, current, out, tar, part, pos = [], None, None, None, None, 0
+        index, rows = f"part-{uuid.uuid4().hex}.parquet", []
+        if self.index:
+            system.create_dir(f"{root}/{INDEX_FOLDER}", recursive=True)
+            listed_to = system.open_output_stream(f"{root}/{INDEX_FOLDER}/{index}")
+            listed = pq.ParquetWriter(listed_to, INDEX_SCHEMA)
+
+        def note(row: tuple | None) -> None:
+            rows.extend([row] if row else [])
+            if rows and (row is None or len(rows) == 10_000):
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), INDEX_SCHEMA.types)]
+                listed.write_table(pa.Table.from_arrays(columns, schema=INDEX_SCHEMA))
+                rows.clear()
 
         def finish() -> None:
             if tar is not None:
@@ -209,20 +238,36 @@ class TarWriter(DataSourceArrowWriter):
                 finish()
                 current, part = shard, f"{root}/_part-{uuid.uuid4().hex}" if renames else f"{root}/{shard}"
                 shards.append(shard)
+                pos = 0
                 out = system.open_output_stream(part)
                 # One member after the other, straight to the output.
                 tar = tarfile.open(fileobj=out, mode="w|", format=tarfile.GNU_FORMAT)
             info = tarfile.TarInfo(f"{key}.{ext}")
             info.size = len(payload)
+            header = tar.offset
             tar.addfile(info, io.BytesIO(payload))
+            if self.index:
+                # The payload, filled up to whole blocks, is what stands last.
+                blocks = -(-info.size // tarfile.BLOCKSIZE) * tarfile.BLOCKSIZE
+                name, suffix = posixpath.splitext(info.name)
+                note((shard, pos, name, suffix[1:].lower(), header, tar.offset - blocks, info.size))
+            pos += 1
         finish()
-        return Written(shards)
+        if self.index:
+            note(None)
+            listed.close()
+            listed_to.close()
+        return Written(shards, [index] if self.index else [])
 
     def commit(self, messages) -> None:
         system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/{COMMITTED}") as out:
             out.write("\n".join(sorted(s for m in messages if m for s in m.shards)).encode())
+        if self.index:
+            system.create_dir(f"{root}/{INDEX_FOLDER}", recursive=True)
+            with system.open_output_stream(f"{root}/{INDEX_FOLDER}/{COMMITTED}") as out:
+                out.write("\n".join(sorted(n for m in messages if m for n in m.index)).encode())
 
     def abort(self, messages) -> None:
         """What was written has no list and is in nobody's way: the next write must overwrite it."""
@@ -236,7 +281,7 @@ def read_tar(spark: SparkSession, path: str | list[str], mode: str = "PERMISSIVE
     return reader.option("paths", json.dumps(paths)).load()
 
 
-def write_tar(members: DataFrame, path: str, prefix: str = "shard_", *, overwrite: bool = False, shards_per_task: int = 4) -> None:
+def write_tar(members: DataFrame, path: str, prefix: str = "shard_", *, overwrite: bool = False, shards_per_task: int = 4, index: bool = False) -> None:
     """Write members ``shard, pos, key, ext, payload``; ``shard`` counts from zero.
 
     Without ``payload`` the members are files: each task reads them from
@@ -244,7 +289,8 @@ def write_tar(members: DataFrame, path: str, prefix: str = "shard_", *, overwrit
 
     A folder that has files is refused; with ``overwrite`` they are removed
     first.  One shuffle brings each shard together, into as many tasks as the number of
-    shards asks for; sorting keeps one tar open at a time.
+    shards asks for; sorting keeps one tar open at a time.  With ``index`` every
+    task also writes where its members stand (see ``sources.tar_samples.tar_index``).
     """
     spark = members.sparkSession
     spark.dataSource.register(TarSource)
@@ -259,6 +305,7 @@ def write_tar(members: DataFrame, path: str, prefix: str = "shard_", *, overwrit
     (
         rows.select(shard_name("shard", prefix).alias("shard"), "key", "ext", "payload")
         .write.format(FORMAT)
+        .option("index", index)
         .mode("append")
         .save(path)
     )
