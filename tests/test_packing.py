@@ -41,3 +41,39 @@ def test_blocks_do_not_change_the_shards(spark, span, longest):
     for r in rows:
         assert r.pos == seen.get(r.shard, 0)
         seen[r.shard] = r.pos + 1
+
+
+def test_levels_of_blocks(spark, monkeypatch):
+    """Many blocks, composed in several levels; huge samples that leave blocks without any of their own."""
+    rng = np.random.default_rng(9)
+    lengths = rng.integers(0, 60, 3000)
+    lengths[[700, 1500, 1501, 2999]] = [9000, 4000, 700, 20_000]
+    lengths = lengths.tolist()
+    df = spark.createDataFrame(list(enumerate(lengths)), "i long, length long").withColumn("id", F.col("i"))
+    want = by_loop(lengths, 100)
+    for fan in (2, 3):
+        monkeypatch.setattr(packing, "FAN", fan)
+        rows = sorted(packing.shards_by_bytes(df, 100, ["id"], span=4).collect(), key=lambda r: r.i)
+        assert [r.shard for r in rows] == want
+
+
+def test_no_task_holds_more_than_two_blocks(spark, monkeypatch, tmp_path):
+    """Rows of the largest group that is composed or handed down, against those of a block."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(list(enumerate(rng.integers(1, 20, 8000).tolist())), "i long, length long").withColumn("id", F.col("i"))
+    real, log = (packing.compose, packing.hand_down), str(tmp_path / "log")
+
+    def noted(fn):
+        def run(rows):
+            with open(log, "a") as f:
+                f.write(f"{len(rows)}\n")
+            return fn(rows)
+
+        return run
+
+    monkeypatch.setattr(packing, "compose", noted(real[0]))
+    monkeypatch.setattr(packing, "hand_down", noted(real[1]))
+    packing.shards_by_bytes(df, 100, ["id"]).collect()
+    block = 16 * 100 / 10
+    sizes = [int(x) for x in open(log)]
+    assert len(sizes) > 4 and max(sizes) <= 2 * block
