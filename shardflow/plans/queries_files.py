@@ -18,6 +18,7 @@ from shardflow.plans.stand_ins import key_sql, order_sql, with_sql
 from shardflow.scratch import scratch_path
 from shardflow.sources import columnar, files, reports, tar, tar_samples
 from shardflow.streaming import files as streams
+from shardflow.streaming import passes
 
 # Samples per tar and bytes per column shard for the small given tables.
 TAR_ROWS, SHARD_BYTES = 200, 50_000
@@ -446,3 +447,21 @@ def stream_run_record(spark, sf_dir):
         streams.running_records(V.as_telemetry(arriving), target, checkpoint)
         streams.compact_records(spark, target)
     return rounded(streams.latest_records(spark, target), *RUN_NUMBERS)
+
+
+@query(
+    "stream_pass",
+    with_sql("manifest")
+    + f"""select cast(0 as bigint) as epoch, i, doc_id, length, cast(1 as bigint) as times from ({order_sql("manifest", "doc_id", SEED, 0)})
+union all select cast(1 as bigint), i, doc_id, length, cast(1 as bigint) from ({order_sql("manifest", "doc_id", SEED, 1)})""",
+)
+def stream_pass(spark, sf_dir):
+    """Two epochs of all files, hidden and empty ones too; the stream is stopped inside the first and started again."""
+    root, target, state = (scratch_path(spark, n) for n in ("pass", "passed", "pass-state"))
+    listing = V.manifest(spark, sf_dir).select("doc_id", "length")
+    passes.prepare(listing, ["doc_id"], root, seed=SEED, epochs=2, piece_rows=2000)
+    rows = listing.count()
+    for until in (rows * 2 // 3, None):
+        stream = passes.pass_stream(spark, root, state, batch_rows=max(1, rows // 2), until=until)
+        passes.run_pass(stream, target, state)
+    return spark.read.parquet(target).groupBy("epoch", "i", "doc_id", "length").agg(F.count(F.lit(1)).alias("times"))
