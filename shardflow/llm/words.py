@@ -7,6 +7,7 @@ many texts at once.  Hashes have 64 bits and depend on content alone.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 BASE = 0x5851F42D4C957F2D
+LONG = 128
 LETTER = mix(np.arange(256, dtype=U64), 7)
 LOWER = LETTER.copy()
 LOWER[65:91] = LETTER[97:123]
@@ -50,6 +52,8 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1
     """A hash of ``values[start:end]`` for every pair, the same wherever it stands.
 
     ``block`` values are summed at a time, or as many as the longest pair spans.
+    Sums of powers cannot tell some long, regular sequences apart (modulo 2**64), so
+    ``LONG`` values and more are hashed by BLAKE2 instead.
     """
     if len(start) > 1 and (start[1:] < start[:-1]).any():
         order = np.argsort(start, kind="stable")
@@ -67,6 +71,8 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1
         total = np.zeros(len(held) + 1, U64)
         np.cumsum(held * up[: len(held)], out=total[1:])
         out[at:upto] = mix((total[b] - total[a]) * down[a] + (b - a).astype(U64))
+        for k in np.flatnonzero(b - a >= LONG).tolist():
+            out[at + k] = int.from_bytes(hashlib.blake2b(held[a[k] : b[k]].tobytes(), digest_size=8).digest(), "little")
         at = upto
     return out
 
