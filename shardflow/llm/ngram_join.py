@@ -355,7 +355,7 @@ def ngram_jaccard_groups(
     not looked at.  ``block`` bounds the texts compared with each other at a
     time, not the size of a bucket.
     """
-    bands = Bands(num, den)
+    spark, bands = docs.sparkSession, Bands(num, den)
     whole = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     given = whole.where("id is not null")
 
@@ -379,7 +379,7 @@ def ngram_jaccard_groups(
         rows = rows.join(joined.withColumnRenamed("node", "id"), "id", "left")
         return rows.withColumn("label", F.coalesce("component", "id")).drop("component")
 
-    links = joined = None
+    joined = None
     for turn in range(LEADERS):
         # In every turn another text leads; what is in one component with it is not compared again.
         rank = F.xxhash64("id", F.lit(turn))
@@ -388,9 +388,20 @@ def ngram_jaccard_groups(
         stars = left.join(led, "sig").where("label <> led")
         stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         stars = materialise(_may_link(stars, cells, num, den).distinct(), "star-pairs")
+        if stars.isEmpty():
+            discard(stars)
+            continue
         found = verified(stars, given, n, lower, num, den)
-        links = found if links is None else links.unionByName(found)
-        joined = materialise(components(links), "first-components")
+        discard(stars)
+        # What is joined already is told by stars; the links behind it are not needed again.
+        known = found if joined is None else found.unionByName(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        after = materialise(components(known), "first-components")
+        discard(found)
+        if joined is not None:
+            discard(joined)
+        joined = after
+    if joined is None:
+        joined = spark.createDataFrame([], "node long, component long")
 
     # Pairs in one bucket that are not in one component yet.
     # In a bucket of two, the leader's pair is the only one.
@@ -410,7 +421,7 @@ def ngram_jaccard_groups(
     for end in ("a", "b"):
         ends = ends.join(label.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
     merged = materialise(components(ends.select("a", "b")), "second-components")
-    for table in (shared, members, cells):
+    for table in (shared, members, cells, close, more):
         discard(table)
 
     final = (
