@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The file name endings each kind of loader accepts.
@@ -127,3 +127,10 @@ def rate(n: Column | str, seconds: Column | str) -> Column:
     """``n / seconds``, and zero when no time has passed."""
     s = _col(seconds).cast("double")
     return F.when(s > 0, _col(n).cast("double") / s).otherwise(F.lit(0.0))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    longest = max(map(len, taken), default=0)
+    return [next(n for n in (name + "_" * k for k in range(longest + 2)) if n.lower() not in taken) for name in names]

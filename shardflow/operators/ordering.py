@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from shardflow.functions.columns import idiv
+from shardflow.functions.columns import free_names, idiv
 from shardflow.scratch import materialise
 
 
@@ -80,27 +80,28 @@ def dense_index(
     on and before ``limit`` are kept; the buckets outside are skipped.  ``total``
     names a column for the number of rows (of the group).
     """
-    keyed = df.withColumn("_key", order_key(ids, seed, epoch))
-    keyed = keyed.withColumn("_bucket", _piece(F.shiftright("_key", KEY_BITS - BUCKET_BITS).cast("int"), within))
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    whole, upto = _groups("_bucket", within)
+    key, bucket, rows, start, end, all_rows = free_names(df, "_key", "_bucket", "_n", "_start", "_end", "_total")
+    keyed = df.withColumn(key, order_key(ids, seed, epoch))
+    keyed = keyed.withColumn(bucket, _piece(F.shiftright(key, KEY_BITS - BUCKET_BITS).cast("int"), within))
+    sizes = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias(rows))
+    whole, upto = _groups(bucket, within)
     offsets = sizes.select(
-        "_bucket",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(upto).alias("_end"),
-        F.sum("_n").over(whole).alias("_total"),
+        bucket,
+        (F.sum(rows).over(upto) - F.col(rows)).alias(start),
+        F.sum(rows).over(upto).alias(end),
+        F.sum(rows).over(whole).alias(all_rows),
     )
     # Without groups there are at most 2**BUCKET_BITS offsets, whatever the data.
-    joined = keyed.join(offsets if within else F.broadcast(offsets), "_bucket")
+    joined = keyed.join(offsets if within else F.broadcast(offsets), bucket)
     if limit is not None:
-        joined = joined.where(F.col("_start") < limit)
+        joined = joined.where(F.col(start) < limit)
     if first:
-        joined = joined.where(F.col("_end") > first)
-    place = Window.partitionBy("_bucket").orderBy("_key", *ids)
+        joined = joined.where(F.col(end) > first)
+    place = Window.partitionBy(bucket).orderBy(key, *ids)
     out = joined.select(
         *df.columns,
-        (F.col("_start") + F.row_number().over(place) - 1).cast("bigint").alias(index),
-        *([F.col("_total").alias(total)] if total else []),
+        (F.col(start) + F.row_number().over(place) - 1).cast("bigint").alias(index),
+        *([F.col(all_rows).alias(total)] if total else []),
     )
     out = out if limit is None else out.where(F.col(index) < limit)
     return out.where(F.col(index) >= first) if first else out
@@ -113,27 +114,28 @@ def sorted_index(df: DataFrame, *order: Column | str, index: str = "i", total: s
     makes rows differ, so that equal leading values (a folder with most of the
     files) can be cut anywhere.
     """
+    at, part, start, all_rows = free_names(df, "_at", "_part", "_start", "_total")
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumn(at, F.monotonically_increasing_id())
     )
     table = materialise(placed, "sorted")
     # monotonically_increasing_id holds the partition above bit 33, the row below.
-    part = F.shiftright("_at", 33)
-    sizes = table.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    mine = F.shiftright(at, 33)
+    sizes = table.groupBy(mine.alias(part)).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy()
-    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.select(
-        F.col("_p").alias("_part"),
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(whole).alias("_total"),
+        part,
+        (F.sum("n").over(upto) - F.col("n")).alias(start),
+        F.sum("n").over(whole).alias(all_rows),
     )
     # One row per shuffle partition.
-    return table.join(F.broadcast(offsets), part == F.col("_part")).select(
+    return table.join(F.broadcast(offsets), mine == F.col(part)).select(
         *df.columns,
-        (F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(index),
-        *([F.col("_total").alias(total)] if total else []),
+        (F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(index),
+        *([F.col(all_rows).alias(total)] if total else []),
     )
 
 
@@ -145,13 +147,14 @@ def running_start(
     Summed in two levels, so no task holds more than ``span`` order values or
     the list of spans.
     """
-    spans = df.withColumn("_span", _piece(idiv(order, span), within))
-    tops = spans.groupBy("_span").agg(F.sum(value).alias("_v"))
-    _, upto = _groups("_span", within)
-    tops = tops.select("_span", (F.sum("_v").over(upto) - F.col("_v")).alias("_base"))
-    inner = Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return spans.join(tops, "_span").select(
-        *df.columns, (F.col("_base") + F.sum(value).over(inner) - F.col(value)).cast("bigint").alias(start)
+    of, part, base = free_names(df, "_span", "_sum", "_base")
+    spans = df.withColumn(of, _piece(idiv(order, span), within))
+    tops = spans.groupBy(of).agg(F.sum(value).alias(part))
+    _, upto = _groups(of, within)
+    tops = tops.select(of, (F.sum(part).over(upto) - F.col(part)).alias(base))
+    inner = Window.partitionBy(of).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return spans.join(tops, of).select(
+        *df.columns, (F.col(base) + F.sum(value).over(inner) - F.col(value)).cast("bigint").alias(start)
     )
 
 
@@ -173,16 +176,21 @@ def sample_permutation(
 def shuffle_shards(
     df: DataFrame, shard: str = "shard", pos: str = "pos", seed: int = 0, epoch: int = 0, index: str = "i"
 ) -> DataFrame:
-    """Shuffle whole shards and keep the order inside each of them."""
-    shards = df.groupBy(F.col(shard).alias("_shard")).agg(F.count(F.lit(1)).alias("_rows"))
+    """Shuffle whole shards and keep the order inside each of them.
+
+    A column ``shard_rank`` of ``df`` is replaced.
+    """
+    of, rows, start = free_names(df, "_shard", "_rows", "_start")
+    shards = df.groupBy(F.col(shard).alias(of)).agg(F.count(F.lit(1)).alias(rows))
     # One row for a shard: ranked and summed in one step.
-    place = Window.orderBy(order_key(["_shard"], seed, epoch), "_shard")
-    before = F.coalesce(F.sum("_rows").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = Window.orderBy(order_key([of], seed, epoch), of)
+    before = F.coalesce(F.sum(rows).over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select(
-        "_shard", (F.row_number().over(place) - 1).cast("bigint").alias("shard_rank"), before.cast("bigint").alias("start")
+        of, (F.row_number().over(place) - 1).cast("bigint").alias("shard_rank"), before.cast("bigint").alias(start)
     )
-    return df.join(starts, df[shard] == F.col("_shard")).select(
-        *df.columns, "shard_rank", (F.col("start") + F.col(pos)).alias(index)
+    kept = [c for c in df.columns if c != "shard_rank"]
+    return df.select(*kept).join(starts, F.col(shard) == F.col(of)).select(
+        *kept, "shard_rank", (F.col(start) + F.col(pos)).alias(index)
     )
 
 
@@ -195,14 +203,11 @@ def shuffle_local(
     """
     if buffer <= 1:
         return df
-    block = idiv(index, buffer)
-    place = Window.partitionBy("_block").orderBy(order_key(ids, seed, epoch), *ids)
-    return (
-        df.withColumn("_block", block)
-        .withColumn("_place", F.row_number().over(place))
-        .withColumn(index, (F.col("_block") * buffer + F.col("_place") - 1).cast("bigint"))
-        .drop("_block", "_place")
-    )
+    (block,) = free_names(df, "_block")
+    place = Window.partitionBy(block).orderBy(order_key(ids, seed, epoch), *ids)
+    moved = (F.col(block) * buffer + F.row_number().over(place) - 1).cast("bigint").alias(index)
+    out = df.withColumn(block, idiv(index, buffer))
+    return out.select(*[moved if c == index else c for c in df.columns])
 
 
 def shuffle_dataset(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardflow.functions.columns import idiv, shard_name
+from shardflow.functions.columns import free_names, idiv, shard_name
 from shardflow.operators.ordering import dense_index, running_start
 
 
@@ -46,13 +46,15 @@ def split_contiguous(df: DataFrame, workers: int, total: str) -> DataFrame:
 def split_shards(df: DataFrame, workers: int, shard: str = "shard", pos: str = "pos") -> DataFrame:
     """Whole shards go to workers in turn; ``pos`` becomes the place in the worker's stream.
 
-    ``shard`` counts from zero.
+    ``shard`` counts from zero.  A column ``worker`` of ``df`` is replaced.
     """
-    shards = df.groupBy(F.col(shard).alias("_shard")).agg(F.count(F.lit(1)).alias("_rows"))
-    shards = shards.withColumn("worker", F.col("_shard") % workers)
-    starts = running_start(shards, "_shard", "_rows", within=["worker"]).drop("_rows")
-    return df.join(starts, df[shard] == F.col("_shard")).select(
-        *[c for c in df.columns if c != pos], "worker", (F.col("start") + F.col(pos)).alias(pos)
+    of, rows, start = free_names(df, "_shard", "_rows", "_start")
+    shards = df.groupBy(F.col(shard).alias(of)).agg(F.count(F.lit(1)).alias(rows))
+    shards = shards.withColumn("worker", F.col(of) % workers)
+    starts = running_start(shards, of, rows, within=["worker"], start=start).drop(rows)
+    kept = [c for c in df.columns if c != "worker"]
+    return df.select(*kept).join(starts, F.col(shard) == F.col(of)).select(
+        *[c for c in kept if c != pos], "worker", (F.col(start) + F.col(pos)).alias(pos)
     )
 
 

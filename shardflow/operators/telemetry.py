@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardflow.functions.columns import idiv, rate
+from shardflow.functions.columns import free_names, idiv, rate
 from shardflow.operators.ordering import sorted_index
 
 RUN = ("loader", "run_id")
@@ -80,26 +80,29 @@ def run_sequence(tel: DataFrame, run_start: Column | None = None, block_rows: in
     The rows of all runs are cut into equal blocks in sorted order, and one
     row per block and run is carried over: a run of any length is spread over tasks.
     """
-    placed = sorted_index(tel, *RUN, "ts", "event_id", index="_i")
-    placed = placed.withColumn("_piece", F.struct(*RUN, idiv("_i", block_rows).alias("block")))
-    pieces = placed.groupBy("_piece").agg(
-        F.min("_i").alias("_first"), F.sum("n_images").alias("_images"), F.max(micros("ts")).alias("_last")
+    at, piece, first, images, last, start, before, last_before = free_names(
+        tel, "_i", "_piece", "_first", "_images", "_last", "_start", "_before", "_last_before"
     )
-    run = Window.partitionBy(*[f"_piece.{c}" for c in RUN]).orderBy("_piece.block")
+    placed = sorted_index(tel, *RUN, "ts", "event_id", index=at)
+    placed = placed.withColumn(piece, F.struct(*RUN, idiv(at, block_rows).alias("block")))
+    pieces = placed.groupBy(piece).agg(
+        F.min(at).alias(first), F.sum("n_images").alias(images), F.max(micros("ts")).alias(last)
+    )
+    run = Window.partitionBy(*[f"{piece}.{c}" for c in RUN]).orderBy(f"{piece}.block")
     upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = pieces.select(
-        "_piece",
-        F.min("_first").over(upto).alias("_start"),
-        (F.sum("_images").over(upto) - F.col("_images")).alias("_before"),
-        F.lag("_last").over(run).alias("_last_before"),
+        piece,
+        F.min(first).over(upto).alias(start),
+        (F.sum(images).over(upto) - F.col(images)).alias(before),
+        F.lag(last).over(run).alias(last_before),
     )
-    piece = Window.partitionBy("_piece").orderBy("_i")
-    inside = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.join(carried, "_piece").select(
+    block = Window.partitionBy(piece).orderBy(at)
+    inside = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.join(carried, piece).select(
         *tel.columns,
-        (F.col("_i") - F.col("_start")).cast("bigint").alias("batch"),
-        _since(F.coalesce(F.lag(micros("ts")).over(piece), F.col("_last_before")), run_start).alias("latency"),
-        (F.col("_before") + F.sum("n_images").over(inside)).cast("bigint").alias("images_so_far"),
+        (F.col(at) - F.col(start)).cast("bigint").alias("batch"),
+        _since(F.coalesce(F.lag(micros("ts")).over(block), F.col(last_before)), run_start).alias("latency"),
+        (F.col(before) + F.sum("n_images").over(inside)).cast("bigint").alias("images_so_far"),
     )
 
 

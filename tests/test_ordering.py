@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shardflow.operators import ordering as O
+from shardflow.operators import splits
 
 
 def places(df, key="id", index="i"):
@@ -105,3 +106,20 @@ def test_only_the_bucket_table_goes_through_one_task(spark):
     assert "_bucket" in plan[single[0] + 1] and "Aggregate" in plan[single[0] + 1]
     assert sum("Exchange hashpartitioning(_bucket" in line for line in plan) == 2
     assert "BroadcastHashJoin" in "".join(plan)
+
+
+def test_columns_with_inner_names_are_kept(spark):
+    names = ["_key", "_bucket", "_n", "_start", "_end", "_total", "_at", "_part", "_span", "_sum", "_base", "_shard", "_rows", "_block", "_place", "start", "_KEY_"]
+    df = spark.range(300).selectExpr("id", "id div 50 as shard", "id % 50 as pos", *[f"concat('{n}', id) as `{n}`" for n in names])
+
+    def kept(out):
+        rows = out.collect()
+        assert len(rows) == 300 and all(r[n] == f"{n}{r.id}" for r in rows for n in names)
+        return rows
+
+    assert sorted(r.i for r in kept(O.dense_index(df, ["id"], total="all"))) == list(range(300))
+    assert [r.i for r in sorted(kept(O.dense_index(df, ["id"], within=["shard"])), key=lambda r: (r.shard, r.i))] == [*range(50)] * 6
+    assert all(r.i == r.id for r in kept(O.sorted_index(df, "id")))
+    assert all(r.sum == sum(range(r.id)) for r in kept(O.running_start(df, "id", "id", start="sum")))
+    assert sorted(r.i for r in kept(O.shuffle_dataset(df, ["id"], 7))) == list(range(300))
+    assert {(r.worker, r.shard % 2) for r in kept(splits.split_shards(df, 2))} == {(0, 0), (1, 1)}
