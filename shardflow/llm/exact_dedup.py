@@ -115,11 +115,19 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", *, bit
 
 
 def without_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    groups = exact_groups(docs, id, text)
-    stay = materialise(groups.where("kept").select(F.col(id).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")), "kept-rows")
-    mine = docs.withColumn("_keep_sha", F.sha2(normalised(text), 256)).withColumn("_keep_id", F.col(id).cast("bigint"))
-    named = mine.join(stay.where("_keep_id is not null"), ["_keep_id", "_keep_sha"], "left_semi")
-    nameless = mine.where("_keep_id is null").join(stay.where("_keep_id is null").select("_keep_sha"), "_keep_sha", "left_semi")
-    # Repeated rows with one id and text: the first of them.
-    return named.unionByName(nameless).dropDuplicates(["_keep_id", "_keep_sha"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    Only rows that go, and ids with a text that occur more than once, are named in
+    tables; texts are joined with those, not with all that stay.
+    """
+    key = F.struct(F.col(id).cast("bigint").alias("id"), F.col("text_sha256").alias("sha")).alias("key")
+    told = exact_groups(docs, id, text).groupBy(key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    told = materialise(told.where("not kept or n > 1"), "not-as-they-are")
+    sha = F.sha2(normalised(text), 256).alias("sha")
+    mine = docs.select(F.struct("*").alias("row"), F.struct(F.col(id).cast("bigint").alias("id"), sha).alias("key"))
+    stay = mine.join(told.select("key"), "key", "left_anti").select("row")
+    repeated = materialise(told.where("kept").select("key"), "repeated-rows")
+    if not repeated.isEmpty():  # rows with one id and text: one of them
+        once = mine.join(repeated, "key", "left_semi").dropDuplicates(["key"]).select("row")
+        stay = stay.unionByName(once)
+    return stay.select("row.*")

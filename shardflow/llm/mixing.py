@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardflow.llm.exact_dedup import normalised
+from shardflow.operators.ordering import dense_index
 from shardflow.scratch import materialise
 
 UNIT = 1_000_000  # rates are whole millionths
@@ -195,16 +196,24 @@ def mixture(
 
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mixture takes them, with all their columns.
+    """The rows of ``docs`` as often as the mixture takes them, with all their columns, whatever their names.
 
-    Rows that share an id share the copies of all of them evenly.
+    Rows that share an id share the copies of all of them evenly, those without
+    an id likewise; which of them take one more is in no fixed order.
     """
-    plan = mixture(docs, id, text, source, **options).groupBy(F.col(id).alias("_mix_id"))
-    plan = plan.agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_mix_rows")).where("_copies > 0")
+    plan = mixture(docs, id, text, source, **options).groupBy(F.col(id).alias("id"))
+    plan = plan.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
     plan = materialise(plan, "mixture")
-    rows = docs.join(plan, docs[id].cast("bigint").eqNullSafe(F.col("_mix_id")))
-    turn = F.row_number().over(Window.partitionBy("_mix_id").orderBy(F.col(source), F.length(text))) - 1
-    rows = rows.withColumn("_turn", F.when(F.col("_mix_rows") > 1, turn).otherwise(F.lit(0)))
-    own = F.expr("cast(_copies div _mix_rows + if(_turn < _copies % _mix_rows, 1, 0) as int)")
-    rows = rows.withColumn("_own", own).where("_own > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
+    mine = docs.select(F.struct("*").alias("row"), F.col(id).cast("bigint").alias("id"))
+    named = mine.where("id is not null")
+    taken = named.join(plan.where("n = 1").select("id", "copies"), "id").select("row", "copies")
+    repeated = materialise(plan.where("n > 1"), "repeated-ids")
+    if not repeated.isEmpty():
+        # Rows get a number once, written with them; they are ranked by it without their columns.
+        several = named.join(repeated.select("id"), "id", "left_semi").unionByName(mine.where("id is null"))
+        several = materialise(several.withColumn("k", F.monotonically_increasing_id()), "repeated-rows")
+        ranked = dense_index(several.select("k", "id"), ["k"], within=["id"], index="turn")
+        ranked = ranked.withColumn("of", F.struct("id")).join(repeated.select(F.struct("id").alias("of"), "copies", "n"), "of")
+        own = F.expr("copies div n + if(turn < copies % n, 1, 0)").alias("copies")
+        taken = taken.unionByName(several.join(ranked.select("k", own), "k").select("row", "copies"))
+    return taken.select("row", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select("row.*")

@@ -1,9 +1,11 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from shardflow.llm import exact_dedup
+from shardflow.llm import exact_dedup, mixing
 
 
 def brute(rows):
@@ -41,3 +43,20 @@ def test_chunks_are_the_text(odd):
     norm = odd.select(exact_dedup.normalised("text").alias("norm"))
     for r in norm.select("norm", exact_dedup.chunks(norm.norm).alias("c")).collect():
         assert "".join(r.c) == r.norm + " " and max(map(len, r.c)) <= exact_dedup.LONGEST
+
+
+def test_columns_with_inner_names_are_kept(spark):
+    names = ["row", "key", "id", "sha", "kept", "n", "copies", "k", "turn", "of", "_keep_id", "_mix_id", "lang_pred", "lang_score"]
+    rows = [(k % 7 if k % 5 else None, "a" if k % 2 else "b", f"text of {k % 9}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    df = df.select("*", *[F.concat_ws(":", F.lit(n), "text").alias(n) for n in names])
+    stay = exact_dedup.without_copies(df).collect()
+    assert all(r[n] == f"{n}:{r.text}" for r in stay for n in names)
+    assert sorted((r.text, r.doc_id) for r in stay) == [(f"text of {t}", min(i for i, _, x in rows if x == f"text of {t}" and i is not None)) for t in range(9)]
+    twice = mixing.mixed(df)
+    assert twice.columns == df.columns
+    assert all(r[n] == f"{n}:{r.text}" for r in twice.collect() for n in names)
+    copies = Counter()
+    for r in mixing.mixture(df).collect():
+        copies[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in twice.collect()) == +copies
