@@ -382,10 +382,13 @@ def ngram_jaccard_groups(
     joined = None
     for turn in range(LEADERS):
         # In every turn another text leads; what is in one component with it is not compared again.
+        # All pairs with leaders that are left after the first turn are compared in the second.
         rank = F.xxhash64("id", F.lit(turn))
         left = labelled(members.select("sig", "id"), joined)
         led = left.groupBy("sig").agg(F.min_by("id", rank).alias("leader"), F.min_by("label", rank).alias("led"))
         stars = left.join(led, "sig").where("label <> led")
+        if not turn:  # one leader each: what that joins needs no other
+            stars = stars.groupBy("id").agg(F.min_by("leader", F.xxhash64("leader", F.lit(turn))).alias("leader"))
         stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         stars = materialise(_may_link(stars, cells, num, den).distinct(), "star-pairs")
         if stars.isEmpty():
