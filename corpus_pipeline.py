@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardflow.functions.columns import free_names
 from shardflow.llm import exact_dedup, language_id, mixing, ngram_join, queries, sentencepiece_codec
 from shardflow.scratch import materialise
 
@@ -33,9 +34,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     _session(spark)
     profiles = language_id.fit(docs, size=PROFILE_SIZE)
-    out = language_id.identify(docs, profiles, lang_pred="_lang_pred", score="_lang_score")
+    pred, score = free_names(docs, "lang_pred", "lang_score")
+    out = language_id.identify(docs, profiles, lang_pred=pred, score=score)
     if profiles.languages:
-        keep = (F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_lang_score") >= PROFILE_SIZE**-0.5)
+        keep = (F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= PROFILE_SIZE**-0.5)
     else:
         keep = F.col("text").rlike(r"\p{L}")
     return out.where(keep).select(*docs.columns)
