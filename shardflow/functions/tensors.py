@@ -8,51 +8,74 @@ from collections.abc import Callable
 import numpy as np
 
 
-# Weights by (in, out) size, kept for the length of a task.
-_weights: dict[tuple[int, int], np.ndarray] = {}
+# Whole-number weights have this many fraction bits: 255 times a sum of weights stays below 2 ** 31.
+WEIGHT_BITS = 22
+# Values summed at once: they should stay in a core's cache.
+BLOCK_VALUES = 1 << 16
 
+# Taps by (in, out) size, kept for the length of a task.
+_taps: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
-def bilinear_weights(n_in: int, n_out: int) -> np.ndarray:
-    """``(n_out, n_in)`` weights of triangle-filter resampling along one axis.
+
+def bilinear_taps(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """Source places and weights ``(taps, n_out)`` of triangle-filter resampling along one axis.
 
     When shrinking, the triangle is widened by the scale, so that every source
-    pixel counts.
+    pixel counts.  A tap outside the axis stands at its edge and weighs nothing.
     """
-    if (n_in, n_out) in _weights:
-        return _weights[n_in, n_out]
+    if (n_in, n_out) in _taps:
+        return _taps[n_in, n_out]
     scale = n_in / n_out
     width = max(scale, 1.0)
     centre = (np.arange(n_out) + 0.5) * scale
-    source = np.arange(n_in) + 0.5
-    w = np.clip(1.0 - np.abs(source[None, :] - centre[:, None]) / width, 0.0, None)
-    if len(_weights) >= 256:
-        _weights.clear()
-    _weights[n_in, n_out] = w = w / w.sum(axis=1, keepdims=True)
-    return w
+    first = np.floor(centre - width).astype(np.int64)
+    at = first[None, :] + np.arange(int(np.ceil(2 * width)) + 1)[:, None]
+    w = np.clip(1.0 - np.abs(at + 0.5 - centre[None, :]) / width, 0.0, None)
+    w[(at < 0) | (at >= n_in)] = 0.0
+    used = w.any(axis=1)
+    if len(_taps) >= 256:
+        _taps.clear()
+    _taps[n_in, n_out] = at, w = np.clip(at[used], 0, n_in - 1), w[used] / w.sum(axis=0)
+    return at, w
+
+
+def _along_first(values: np.ndarray, n_out: int, whole: bool) -> np.ndarray:
+    """Resize the first axis of ``(n_in, rest)``; ``whole`` sums whole numbers and gives bytes."""
+    at, w = bilinear_taps(values.shape[0], n_out)
+    kind, made = (np.int32, np.uint8) if whole else (np.float64, np.float64)
+    w = np.floor(w * (1 << WEIGHT_BITS) + 0.5).astype(np.int32) if whole else w
+    out = np.empty((n_out, values.shape[1]), made)
+    step = max(1, BLOCK_VALUES // max(1, values.shape[1]))
+    for x in range(0, n_out, step):
+        block = slice(x, min(n_out, x + step))
+        total = np.full((block.stop - x, values.shape[1]), 1 << (WEIGHT_BITS - 1) if whole else 0, kind)
+        for place, weight in zip(at[:, block], w[:, block]):
+            total += np.multiply(values[place], weight[:, None], dtype=kind)
+        out[block] = total >> WEIGHT_BITS if whole else total
+    return out
+
+
+def _resize_axis(planes: np.ndarray, axis: int, n_out: int, whole: bool) -> np.ndarray:
+    front = np.moveaxis(planes, axis, 0)
+    done = _along_first(np.ascontiguousarray(front).reshape(len(front), -1), n_out, whole)
+    return np.moveaxis(done.reshape(n_out, *front.shape[1:]), 0, axis)
 
 
 def resize_planes(planes: np.ndarray, height: int, width: int, rounding: str = "uint8") -> np.ndarray:
     """Resize ``(n, c, h, w)``: first along rows, then along columns.
 
-    ``uint8`` rounds to whole pixel values after each axis, ``none`` keeps
-    fractions.
+    ``uint8`` takes whole pixel values and whole-number weights and rounds to
+    bytes after each axis, ``none`` keeps fractions.  An output pixel costs its
+    taps, two when enlarging, whatever the size of the image.
     """
     if rounding not in ("uint8", "none"):
         raise ValueError(f"unknown rounding {rounding!r}")
-
-    def settle(values: np.ndarray) -> np.ndarray:
-        if rounding == "uint8":
-            values += 0.5
-            np.floor(values, out=values)
-            np.clip(values, 0, 255, out=values)
-        return values
-
-    _, _, h, w = planes.shape
-    out = np.ascontiguousarray(planes, dtype=np.float64)
-    if w != width:
-        out = settle(out @ bilinear_weights(w, width).T)
-    if h != height:
-        out = settle(bilinear_weights(h, height) @ out)
+    whole = rounding == "uint8"
+    out = planes.astype(np.uint8 if whole else np.float64, copy=False)
+    if out.shape[3] != width:
+        out = _resize_axis(out, 3, width, whole)
+    if out.shape[2] != height:
+        out = _resize_axis(out, 2, height, whole)
     return out
 
 

@@ -55,6 +55,9 @@ def _arrays(rows: Mapping | pd.DataFrame) -> list[np.ndarray]:
     ]
 
 
+# The float of each pixel value.
+LEVELS = (np.arange(256) / 255.0).astype(np.float32)
+
 # Values of a stack that is worked on at once: it should stay in a core's cache.
 STACK_VALUES = 1 << 19
 
@@ -77,15 +80,20 @@ def _by_shape(images: list[np.ndarray], call, cells: int = 0) -> list[np.ndarray
     return out
 
 
-def rgb_images(df: DataFrame, keep: Sequence[str], *, image: str = "image") -> DataFrame:
-    """RGB pixels of rows that Spark's image source has decoded on the executors; one it could not decode is an error."""
+def _flat_images(df: DataFrame, keep: Sequence[str], image: str) -> DataFrame:
+    """The image struct as columns; a row that could not be decoded is an error."""
     height = F.when(F.col(f"{image}.height") >= 0, F.col(f"{image}.height")).otherwise(
         F.raise_error(F.concat(F.lit("cannot decode "), F.coalesce(f"{image}.origin", F.lit("an image"))))
     )
-    flat = df.withColumn(image, F.col(image).withField("height", height)).select(*keep, f"{image}.height", f"{image}.width", f"{image}.nChannels", f"{image}.data")
+    names = {"height": "height", "width": "width", "nChannels": "channels", "data": "pixels"}
+    return df.withColumn(image, F.col(image).withField("height", height)).select(*keep, *[F.col(f"{image}.{k}").alias(v) for k, v in names.items()])
+
+
+def rgb_images(df: DataFrame, keep: Sequence[str], *, image: str = "image") -> DataFrame:
+    """RGB pixels of rows that Spark's image source has decoded on the executors; one it could not decode is an error."""
+    flat = _flat_images(df, keep, image)
 
     def call(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.rename(columns={"nChannels": "channels", "data": "pixels"})
         return _image_rows(rows, keep, [to_rgb(a, bgr=True) for a in _arrays(rows)])
 
     return map_samples(flat, call, _schema(df, keep, IMAGE), chunk=32)
@@ -104,7 +112,7 @@ def decode_payloads(
 
 def _resized(height: int, width: int):
     """Resize whole pixel values, then scale."""
-    return lambda planes: resize_planes(planes, height, width, "uint8") / 255.0
+    return lambda planes: LEVELS[resize_planes(planes, height, width, "uint8")]
 
 
 def _scaled_first(height: int, width: int):
@@ -119,6 +127,13 @@ def resize_to_tensor(
     return _image_tensors(df, keep, _resized(height, width), height * width, packed)
 
 
+def images_to_tensor(
+    df: DataFrame, keep: Sequence[str], height: int, width: int, *, image: str = "image", packed: bool = False
+) -> DataFrame:
+    """``rgb_images`` and ``resize_to_tensor`` in one Python pass over rows of Spark's image source."""
+    return _image_tensors(_flat_images(df, keep, image), keep, _resized(height, width), height * width, packed, bgr=True)
+
+
 def tensor_then_resize(
     df: DataFrame, keep: Sequence[str], height: int, width: int, packed: bool = False
 ) -> DataFrame:
@@ -128,7 +143,7 @@ def tensor_then_resize(
 
 def to_tensor(df: DataFrame, keep: Sequence[str], packed: bool = False) -> DataFrame:
     """Whole pixel values, channels last, to floats in 0..1, channels first."""
-    return _image_tensors(df, keep, lambda planes: planes / 255.0, 0, packed)
+    return _image_tensors(df, keep, lambda planes: LEVELS[planes], 0, packed)
 
 
 def load_tensors(
@@ -181,10 +196,10 @@ def load_tensors(
     return out if mode == "PERMISSIVE" else out.where("error is null").drop("error")
 
 
-def _image_tensors(df: DataFrame, keep: Sequence[str], tensors, cells: int, packed: bool) -> DataFrame:
+def _image_tensors(df: DataFrame, keep: Sequence[str], tensors, cells: int, packed: bool, bgr: bool = False) -> DataFrame:
     def images_of(rows: pa.RecordBatch):
         images = _arrays({n: rows.column(n).to_pylist() for n in ("height", "width", "channels", "pixels")})
-        return images, [None] * len(images)
+        return [to_rgb(a, bgr=True) for a in images] if bgr else images, [None] * len(images)
 
     images = df.select(*keep, "height", "width", "channels", "pixels")
     return _tensor_map(images, keep, images_of, tensors, cells, packed).drop("error")
@@ -202,7 +217,7 @@ def _tensor_map(df: DataFrame, keep: Sequence[str], images_of, tensors, cells: i
                 rows = part.slice(at, chunk)
                 images, errors = images_of(rows)
                 good = [a for a in images if a is not None]
-                done = _by_shape(good, lambda stack: tensors(stack.transpose(0, 3, 1, 2)).astype(np.float32), cells)
+                done = _by_shape(good, lambda stack: tensors(stack.transpose(0, 3, 1, 2)).astype(np.float32, copy=False), cells)
                 flat = np.concatenate([a.ravel() for a in done]) if done else np.zeros(0, np.float32)
                 ends = np.cumsum([0, *(a.size for a in done)]).astype(np.int32)
                 shapes = [pa.array([a.shape[k] for a in done], pa.int32()) for k in range(3)]
@@ -227,7 +242,7 @@ def resize_images(
     """Resize and keep whole pixel values."""
 
     def call(rows: pd.DataFrame) -> pd.DataFrame:
-        done = _by_shape(_arrays(rows), lambda stack: resize_stack(stack, height, width, "uint8").astype(np.uint8), height * width)
+        done = _by_shape(_arrays(rows), lambda stack: resize_stack(stack, height, width, "uint8"), height * width)
         return _image_rows(rows, keep, done)
 
     images = df.select(*keep, "height", "width", "channels", "pixels")

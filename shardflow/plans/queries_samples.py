@@ -344,3 +344,39 @@ def resize_tensor(spark, sf_dir):
 @query("tensor_then_resize", _resize_sql(False))
 def tensor_then_resize(spark, sf_dir):
     return _cells(pixels.tensor_then_resize(V.pixels(spark, sf_dir), ["vec_id"], 4, 4), "vec_id")
+
+
+# Sizes of the fixed-point query: both axes larger, both smaller, one of each.
+SIZES = ((11, 13), (3, 5), (20, 6))
+
+
+def _fixed_sql() -> str:
+    """Whole-number weights and sums of the tensors' bytes, said in SQL for every size."""
+    axes = sorted({n for size in SIZES for n in size})
+    taps = ", ".join(f"({n})" for n in axes)
+    more = f"""axes as (select n, 8.0::double / n as scale, greatest(8.0::double / n, 1.0) as width from (values {taps}) t(n)),
+raw as (select n, o, src, greatest(0.0, 1 - abs(src + 0.5 - (o + 0.5) * scale) / width) as w from axes, range(0, 20) a(o), range(0, 8) b(src) where o < n),
+shares as (select n, o, src, w / sum(w) over (partition by n, o) as w from raw),
+taps as (select n, o, src, cast(floor(w * 4194304 + 0.5) as bigint) as w from shares where w > 0),
+sizes as (select * from (values {", ".join(map(str, SIZES))}) t(h, w)),
+across as (select vec_id, s.h, s.w as wide, k // 8 as y, o as x, cast((sum(t.w * cast(q as bigint)) + 2097152) // 4194304 as bigint) as v
+  from pixels, sizes s join taps t on t.n = s.w where t.src = k % 8 group by all),
+both_ways as (select vec_id, a.h, wide, o as y, x, cast((sum(t.w * v) + 2097152) // 4194304 as bigint) as v
+  from across a join taps t on t.n = a.h and t.src = y group by all)"""
+    return with_sql("pixels", more=more) + (
+        """select vec_id, cast(h as integer) as h, cast(wide as integer) as w,
+  string_agg(lpad(cast(v as varchar), 3, '0'), '' order by y, x) as px from both_ways group by vec_id, h, wide"""
+    )
+
+
+@query("resize_images", _fixed_sql())
+def resize_images(spark, sf_dir):
+    """Whole pixel values of images resized to larger and smaller sizes, by taps with whole-number weights."""
+    source = V.pixels(spark, sf_dir)
+    out = None
+    for h, w in SIZES:
+        sized = pixels.resize_images(source, ["vec_id"], h, w)
+        cells = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda k: F.lpad(F.conv(F.hex(F.col("pixels").substr(k + 1, F.lit(1))), 16, 10), 3, "0"))
+        sized = sized.select("vec_id", F.col("height").alias("h"), F.col("width").alias("w"), F.array_join(cells, "").alias("px"))
+        out = sized if out is None else out.unionByName(sized)
+    return out

@@ -9,12 +9,43 @@ from shardflow.operators import pixels
 from shardflow.plans import png_files as P
 
 
+def dense(n_in, n_out):
+    """``(n_out, n_in)`` weights of a triangle around each output centre, from the definition."""
+    scale = n_in / n_out
+    width = max(scale, 1.0)
+    w = np.array([[max(0.0, 1 - abs(k + 0.5 - (x + 0.5) * scale) / width) for k in range(n_in)] for x in range(n_out)])
+    return w / w.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("sizes", [(8, 4), (2, 4), (1, 7), (7, 1), (300, 512), (640, 512), (512, 100), (5, 5)])
+def test_taps_are_the_weights_that_count(sizes):
+    at, w = N.bilinear_taps(*sizes)
+    spread = np.zeros(sizes[::-1])
+    for place, weight in zip(at, w):
+        np.add.at(spread, (np.arange(sizes[1]), place), weight)
+    assert np.allclose(spread, dense(*sizes)) and at.min() >= 0 and at.max() < sizes[0]
+    assert len(w) <= 2 * max(1, sizes[0] / sizes[1]) + 1
+
+
+def test_whole_numbers_against_whole_sums_and_fractions():
+    a = np.random.default_rng(3).integers(0, 256, (1, 64, 80, 3)).astype(np.int64)
+    bits, half = 1 << N.WEIGHT_BITS, 1 << (N.WEIGHT_BITS - 1)
+    whole = lambda *sizes: np.floor(dense(*sizes) * bits + 0.5).astype(np.int64)
+    for h, w in ((51, 64), (100, 93), (3, 200)):
+        got = N.resize_stack(a.astype(np.uint8), h, w)
+        wide = (np.einsum("xk,nykc->nyxc", whole(80, w), a) + half) // bits
+        assert got.dtype == np.uint8 and (got == (np.einsum("yk,nkxc->nyxc", whole(64, h), wide) + half) // bits).all()
+        wide = np.floor(np.einsum("xk,nykc->nyxc", dense(80, w), a) + 0.5)
+        off = np.abs(got - np.einsum("yk,nkxc->nyxc", dense(64, h), wide))
+        assert off.max() <= 1.5  # 0.5, or one more where a tie falls the other way between the axes
+
+
 def test_weights_of_a_halved_axis():
-    w = N.bilinear_weights(8, 4)
+    w = dense(8, 4)
     assert w[1] == pytest.approx(np.array([0, 1, 3, 3, 1, 0, 0, 0]) / 8)
     assert w[0] == pytest.approx(np.array([3, 3, 1, 0, 0, 0, 0, 0]) / 7)
-    assert N.bilinear_weights(2, 4)[1] == pytest.approx([0.75, 0.25])
-    assert np.allclose(N.bilinear_weights(300, 512).sum(axis=1), 1)
+    assert dense(2, 4)[1] == pytest.approx([0.75, 0.25])
+    assert np.allclose(dense(300, 512).sum(axis=1), 1)
 
 
 @pytest.mark.parametrize("rounding", ["uint8", "none"])
@@ -22,7 +53,7 @@ def test_resize_against_loops(rounding):
     a = np.random.default_rng(2).integers(0, 256, (2, 5, 7, 3)).astype(np.uint8)
     got = N.resize_stack(a, 3, 9, rounding)
     step = (lambda v: min(255, max(0, int(v + 0.5)))) if rounding == "uint8" else (lambda v: v)
-    wide, tall = N.bilinear_weights(7, 9), N.bilinear_weights(5, 3)
+    wide, tall = dense(7, 9), dense(5, 3)
     for n in range(2):
         for c in range(3):
             rows = [[step(sum(wide[x, k] * a[n, y, k, c] for k in range(7))) for x in range(9)] for y in range(5)]
@@ -96,6 +127,16 @@ def test_payloads_to_tensors_with_bad_ones(spark):
     assert flat[3] == pytest.approx(arrays[3].transpose(2, 0, 1).ravel() / 255, abs=1e-6)
 
 
+def test_decoded_images_in_one_pass(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    for k in range(6):
+        (tmp_path / f"v{k}.png").write_bytes(P.png_bytes(rng.integers(0, 256, (5 + k % 2, 7, (1, 3, 4)[k % 3]), dtype=np.uint8)))
+    decoded = spark.read.format("image").load(str(tmp_path)).selectExpr("image.origin as name", "image")
+    one = sorted(map(tuple, pixels.images_to_tensor(decoded, ["name"], 4, 9).collect()))
+    two = sorted(map(tuple, pixels.resize_to_tensor(pixels.rgb_images(decoded, ["name"]), ["name"], 4, 9).collect()))
+    assert one == two and len(one) == 6
+
+
 def test_missing_decoder_is_one_clear_error(spark):
     def absent():
         raise ImportError("decoding encoded bytes needs Pillow on every worker, or another decoder")
