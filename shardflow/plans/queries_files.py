@@ -14,9 +14,10 @@ from shardflow.plans import loading, stand_ins as V
 from shardflow.plans.queries_metrics import M, RUN_NUMBERS, RUN_SQL, rounded, rounded_sql
 from shardflow.plans.queries_order import SEED, packed_sql
 from shardflow.plans.registry import query
-from shardflow.plans.stand_ins import key_sql, order_sql, with_sql
+from shardflow.plans.stand_ins import SQL, key_sql, order_sql, with_sql
 from shardflow.scratch import scratch_path
 from shardflow.sources import columnar, files, reports, tar, tar_samples
+from shardflow.streaming import closing
 from shardflow.streaming import files as streams
 from shardflow.streaming import passes
 
@@ -449,6 +450,42 @@ def stream_run_record(spark, sf_dir):
     return rounded(streams.latest_records(spark, target), *RUN_NUMBERS)
 
 
+# Batches of the first ten days that arrive when their runs have closed.
+HELD_BACK = "event_id % 20 = 7 and run_id <= 10"
+IN_TIME = SQL["runs"].replace("from telemetry", f"from telemetry where not ({HELD_BACK})")
+LATE = f"""late as (select loader, run_id, count(*) as late_batches, cast(sum(n_images) as bigint) as late_images
+  from telemetry where {HELD_BACK} group by loader, run_id)"""
+
+
+@query(
+    "stream_closed_runs",
+    with_sql("telemetry", more=f"{IN_TIME},\nin_time as ({RUN_SQL}),\n{LATE}")
+    + f"""select loader, run_id, total_images, {", ".join(RUN_NUMBERS)}, late_batches, late_images, cast(0 as bigint) as open_rows
+from in_time full join late using (loader, run_id)""",
+)
+def stream_closed_runs(spark, sf_dir):
+    """Records of runs that have closed, and what came too late for them, from a stream that is started three times.
+
+    A heartbeat at the end closes the last runs; ``open_rows`` counts the state that is left.
+    """
+    target, checkpoint, root = scratch_path(spark, "closed"), scratch_path(spark, "closed-state"), scratch_path(spark, "telemetry")
+    tel = V.telemetry(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    heartbeat = spark.range(1).select(F.lit("2024-12-31").cast("timestamp").alias("ts"))
+    turns = (
+        tel.where(f"run_id <= 15 and not ({HELD_BACK})"),
+        tel.where(f"run_id > 15 and not ({HELD_BACK})"),
+        tel.where(HELD_BACK).unionByName(heartbeat, allowMissingColumns=True),
+    )
+    for arrived in turns:
+        arrived.write.mode("append").parquet(root)
+        stream = streams.table_stream(spark, root, tel.schema)
+        left = closing.closed_runs(stream, target, checkpoint, delay="1 hour", silence_seconds=86_400, slot_seconds=3600)
+    late = closing.late_slots(spark, target).groupBy(*telemetry.RUN)
+    late = late.agg(F.sum("n_batches").alias("late_batches"), F.sum("n_images").alias("late_images"))
+    records = rounded(closing.run_results(spark, target), *RUN_NUMBERS)
+    return records.join(late, list(telemetry.RUN), "full").withColumn("open_rows", F.lit(left).cast("bigint"))
+
+
 @query(
     "stream_pass",
     with_sql("manifest")
