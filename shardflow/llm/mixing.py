@@ -69,11 +69,12 @@ def _exact_sum(value: Column) -> Column:
     return F.sum(F.round(value * (1 << 20)).cast("decimal(38,0)")).cast("double") / (1 << 20)
 
 
-def multipliers(histogram: DataFrame, wanted: DataFrame, cap: int, steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
+def multipliers(histogram: DataFrame, wanted: DataFrame, cap: int, tolerance: float = 1e-9) -> DataFrame:
     """``(s, lam)`` for every source whose target is neither zero nor its most.
 
     ``histogram`` has ``(s, size, n)`` without size 0; ``x`` is the size in
-    units of the source's mean.
+    units of the source's mean.  A source is done when its sum is within
+    ``tolerance`` of its target, or when no number is left between its bounds.
     """
     base = histogram.groupBy("s").agg(F.sum("n").alias("docs"), F.min("size").alias("least"))
     start = wanted.join(base, "s").where(f"target > 0 and target < source_size * {cap}")
@@ -86,7 +87,7 @@ def multipliers(histogram: DataFrame, wanted: DataFrame, cap: int, steps: int =
         F.lit(1.0).alias("off"),
     )
     state = materialise(state, "multipliers")
-    for _ in range(steps):
+    while True:
         held = histogram.join(state, "s").withColumn("x", F.col("size") / F.col("scale"))
         held = held.withColumn("r", _rate("lam", "x", cap)).withColumn("mass", F.col("n") * F.col("size") * F.col("r"))
         sums = held.groupBy("s").agg(
@@ -101,14 +102,19 @@ def multipliers(histogram: DataFrame, wanted: DataFrame, cap: int, steps: int =
         inside = (F.col("to") > F.col("lo")) & (F.col("to") < F.col("hi"))
         moved = F.when(F.col("off") <= tolerance, F.col("lam")).when(inside, F.col("to")).otherwise((F.col("lo") + F.col("hi")) / 2)
         state = materialise(step.select("s", "target", "scale", moved.alias("lam"), "lo", "hi", "off"), "multipliers")
-        if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        between = F.col("hi") - F.col("lo") > F.greatest(F.abs("lo"), F.abs("hi")) * 1e-15
+        if state.where((F.col("off") > tolerance) & between).isEmpty():
             break
     return state.select("s", "scale", "lam")
 
 
-def copies_due(histogram: DataFrame, wanted: DataFrame, cap: int, rounds: int = 12) -> DataFrame:
+def copies_due(histogram: DataFrame, wanted: DataFrame, cap: int) -> DataFrame:
     """``(s, size, rate, base, due)``: of the documents of a source and size all take
-    ``base`` copies, and ``due`` of them one more (or one less, below zero)."""
+    ``base`` copies, and ``due`` of them one more (or one less, below zero).
+
+    Rounding leaves some words missing or over; every round brings a source
+    nearer to its target, until no document that is free would.
+    """
     lam = multipliers(histogram, wanted, cap)
     table = histogram.join(wanted, "s").join(lam, "s", "left").withColumn("x", F.col("size") / F.col("scale"))
     rate = (
@@ -122,7 +128,7 @@ def copies_due(histogram: DataFrame, wanted: DataFrame, cap: int, rounds: int =
     table = table.withColumn("upto", F.sum("part").over(down) + UNIT // 2)
     table = table.withColumn("due", F.expr(f"upto div {UNIT} - (upto - part) div {UNIT}"))
     table = materialise(table.select("s", "size", "n", "rate", "base", "due", "target"), "copies")
-    for _ in range(rounds):
+    while True:
         taken = table.groupBy("s").agg(F.sum(F.expr("size * (n * base + due)")).alias("taken"), F.round(F.first("target")).cast("bigint").alias("goal"))
         room = table.join(taken, "s").withColumn("miss", F.col("goal") - F.col("taken"))
         # Documents that can still take one more, or give one back.

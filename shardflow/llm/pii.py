@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,15 +65,17 @@ WORD_AT = r"\sat\s"
 WORD_DOT = rf"{_bracketed}|\s(?:{_dots})\s"
 # Between bare words "at this point in time" is prose: there the other dot words count in brackets only.
 BARE_DOT = rf"{_bracketed}|\sdot\s"
-_part = r"[A-Za-z0-9%+_-]+?"
-_name = rf"(?<![A-Za-z0-9._%+-]){_part}"
 _host = r"[A-Za-z0-9-]+"
-_signed = rf"{_name}(?:(?:{DOT}){_part}){{0,4}}(?:{AT}){_host}(?:(?:{DOT}){_host})+"
 _known = rf"(?:{_host}(?:{BARE_DOT}))+(?:{ENDINGS})(?![\w-])"
 _longer = rf"(?:{_host}(?:{BARE_DOT}))*{_host}(?:(?:{BARE_DOT}){_host}(?:{BARE_DOT})|{_bracketed})(?:{WORD_ENDINGS})(?![\w-])"
 _closing = rf"{_host}(?:{BARE_DOT})(?:{WORD_ENDINGS})(?![\w-])(?=[^\S\n]*(?:\Z|[\n.,;:!?)\]}}>\"']))"
-_spoken = rf"{_name}(?:(?:{BARE_DOT}|\.|[_-]dot[_-]){_part}){{0,4}}{WORD_AT}(?!(?:an?|the|this|that|some|any)\s)(?:{_known}|{_longer}|{_closing})"
-DISGUISED = re.compile(rf"{_signed}|{_spoken}", re.I)
+# An address from its sign on; the part in front is read to the left, as long as it goes.
+SIGNED = rf"(?:{AT}){_host}(?:(?:{DOT}){_host})+"
+SPOKEN = rf"{WORD_AT}(?!(?:an?|the|this|that|some|any)\s)(?:{_known}|{_longer}|{_closing})"
+FROM_SIGN = re.compile(rf"({SIGNED})|{SPOKEN}", re.I)
+PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789%+_-")
+SIGNED_DOT = re.compile(DOT, re.I)
+SPOKEN_DOT = re.compile(rf"{BARE_DOT}|\.|[_-]dot[_-]", re.I)
 HINT = re.compile(rf"[\[({{<]\s?(?:at|@|{_dots}|\.)\s?[\])}}>]|\s(?:{_dots})\s|\s@|@\s|[_-](?:at|dot)[_-]", re.I)
 SIGN = re.compile(rf"({AT}|{WORD_AT})|({WORD_DOT}|[_-]dot[_-])", re.I)
 
@@ -170,10 +172,31 @@ def digits_written(held: Mapped) -> Mapped:
     return rewritten(held, edits) if edits else held
 
 
+def disguised_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Where disguised addresses stand: found by their sign, with all dotted parts in front of it."""
+    dots: dict[re.Pattern, dict[int, int]] = {}
+    at, done = 0, 0
+    while tail := FROM_SIGN.search(text, at):
+        pattern = SIGNED_DOT if tail.group(1) else SPOKEN_DOT
+        if pattern not in dots:
+            dots[pattern] = {m.end(): m.start() for m in pattern.finditer(text)}
+        start = left = tail.start()
+        while left > done and text[left - 1] in PART:
+            while left > done and text[left - 1] in PART:
+                left -= 1
+            start = left
+            left = dots[pattern].get(left, 0)
+        if start == tail.start():
+            at = start + 1
+            continue
+        yield start, tail.end()
+        at = done = tail.end()
+
+
 def signs_written(held: Mapped) -> Mapped:
     edits = []
-    for run in DISGUISED.finditer(held[0]):
-        for sign in SIGN.finditer(held[0], *run.span()):
+    for run in disguised_runs(held[0]):
+        for sign in SIGN.finditer(held[0], *run):
             edits.append((*sign.span(), "@" if sign.group(1) else "."))
     return rewritten(held, edits) if edits else held
 
@@ -186,16 +209,21 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
         return []
     if held is None:
         held = (text, list(range(len(text))), list(range(1, len(text) + 1)))
-    found = []
     first = digits_written(held)
-    for form in (first, signs_written(first)):
-        for kind, a, b in plain(form[0]):
-            span = (kind, form[1][a], form[2][b - 1])
-            inside = any(k == kind and s <= span[1] and span[2] <= e for k, s, e in known + found)
-            if not inside:
-                found.append(span)
-    # Of finds of one kind one inside another, the wider stays.
-    return [f for f in found if not any(g[0] == f[0] and g != f and g[1] <= f[1] and f[2] <= g[2] for g in found)]
+    found = {(kind, form[1][a], form[2][b - 1]) for form in (first, signs_written(first)) for kind, a, b in plain(form[0])}
+    return outermost(found, known)
+
+
+def outermost(found: Iterable[Span], known: Iterable[Span]) -> list[Span]:
+    """Of ``found``, the spans inside no span of their kind in ``known`` and in no wider one of their own; one sort and one walk."""
+    out = []
+    reach: dict[str, int] = {}  # how far the spans of a kind go that began so far
+    for (kind, a, b), new in sorted([(k, False) for k in known] + [(f, True) for f in found], key=lambda s: (s[0][1], -s[0][2], s[1])):
+        if b > reach.get(kind, -1):
+            reach[kind] = b
+            if new:
+                out.append((kind, a, b))
+    return out
 
 
 def ordered(spans: list[Span]) -> list[Span]:
