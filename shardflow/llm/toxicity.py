@@ -10,12 +10,13 @@ words, is described by the sum of their kernels with each of them, turned by the
 root of the landmarks' own kernel.  A linear machine is trained on labelled sentences: only
 documents have labels, so a toxic one is represented by the sentence that the
 machine finds worst, in turns, while every sentence of a clean one is clean.  A document's
-score is a logistic curve over its two worst sentences and the sum of all bad ones
-in relation to its words: one near word in a long text may be chance.
+score is a logistic curve over its two worst sentences and its worst passage, wherever it
+stands: the sum of the bad sentences in relation to the words.  A toxic passage is not
+made up for by the rest of a long text, but one near word in a passage may be chance.
 
 The words of a text are its runs without white space, lower-cased, letters
 only; three or more single letters in a row are read as one word as well.  Words of
-more than ``WINDOW`` letters are looked at in overlapping windows.
+more than ``WINDOW`` letters, these too, are looked at in overlapping windows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ ORDER, DECAY = 3, 0.6
 #: A kernel value below it counts as none.
 NEAR = 0.45
 WINDOW = 32
+#: Words of a passage.
+PASSAGE = 200
 #: Letters of a text that travel through the kernel at a time.
 PIECE_BYTES = 4 << 20
 #: Beginnings of words that may become landmarks.
@@ -71,13 +74,17 @@ def own(word: str) -> float:
 
 @dataclass(frozen=True)
 class Words:
-    """The words of some texts: how many each has, distinct words by length, and text, sentence and word of every occurrence."""
+    """The words of some texts: how many each has, distinct words by length, and text, sentence and word of every occurrence.
+
+    ``span`` is the place of each sentence in its text, in words, end exclusive.
+    """
 
     count: np.ndarray
     distinct: list[np.ndarray]
     row: np.ndarray
     sentence: np.ndarray
     word: np.ndarray
+    span: np.ndarray
 
     @staticmethod
     def of(texts: list[str]) -> Words:
@@ -101,10 +108,13 @@ class Words:
         begins = np.ones(len(start), bool)
         begins[1:] = closes[:-1] | (text[1:] != text[:-1])
         sentence = np.cumsum(begins) - 1
+        count = np.bincount(text, minlength=len(texts))
+        opens = np.flatnonzero(begins)
+        span = np.stack([opens, np.append(opens, len(start))[1:]], axis=1) - (np.cumsum(count) - count)[text[opens]][:, None]
         kept = np.concatenate([[0], np.cumsum(alpha)])
         lo, hi = kept[start], kept[end]  # in the letters alone
         letters = letters[alpha]
-        long = np.flatnonzero(hi - lo > WINDOW)
+        long = [(lo[k], hi[k], k) for k in np.flatnonzero(hi - lo > WINDOW).tolist()]
         whole = np.flatnonzero((hi - lo >= ORDER) & (hi - lo <= WINDOW))
         parts = [(lo[whole], hi[whole], whole)]
         if len(start):
@@ -112,11 +122,12 @@ class Words:
             single, none = hi - lo == 1, np.zeros(1, bool)
             first = np.flatnonzero(single & (begins | ~np.concatenate([none, single[:-1]])))
             last = np.flatnonzero(single & np.concatenate([begins[1:] | ~single[1:], ~none]))
-            wide = last - first >= 2
-            parts.append((lo[first[wide]], np.minimum(hi[last[wide]], lo[first[wide]] + WINDOW), first[wide]))
-        for k in long.tolist():
-            at = np.arange(lo[k], hi[k] - WINDOW // 2, WINDOW // 2)
-            parts.append((at, np.minimum(at + WINDOW, hi[k]), np.full(len(at), k)))
+            run, far = last - first >= 2, last - first >= WINDOW
+            parts.append((lo[first[run & ~far]], hi[last[run & ~far]], first[run & ~far]))
+            long += [(lo[a], hi[b], a) for a, b in zip(first[far].tolist(), last[far].tolist())]
+        for a, b, k in long:
+            at = np.arange(a, b - WINDOW // 2, WINDOW // 2)
+            parts.append((at, np.minimum(at + WINDOW, b), np.full(len(at), k)))
         lo, hi, of = (np.concatenate(x) for x in zip(*parts))
         size, distinct, ids, places, base = hi - lo, [], [], [], 0
         for n in np.unique(size).tolist():
@@ -130,7 +141,7 @@ class Words:
             base += len(seen)
         where = np.concatenate(places) if places else np.zeros(0, np.int64)
         at = of[where] if len(where) else np.zeros(0, np.int64)
-        return Words(np.bincount(text, minlength=len(texts)), distinct, text[at], sentence[at], np.concatenate(ids) if ids else np.zeros(0, np.int64))
+        return Words(count, distinct, text[at], sentence[at], np.concatenate(ids) if ids else np.zeros(0, np.int64), span)
 
     def strings(self) -> list[str]:
         return [row.tobytes().decode("utf-32-le", "surrogatepass") for part in self.distinct for row in part]
@@ -200,8 +211,8 @@ class Landmarks:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, sentence, landmark and the sum of near words' kernels, for every sentence with a near word; words of each text."""
+    def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, sentence, landmark and the sum of near words' kernels, for every sentence with a near word; words of each text; span of each sentence."""
         words = Words.of(texts)
         word, landmark, value = self.near(words)
         order = np.argsort(word, kind="stable")
@@ -216,20 +227,35 @@ class Landmarks:
         total = np.bincount(back, value[at], len(unique))
         text = np.zeros(len(unique), np.int64)
         text[back] = words.row[of]
-        return text, unique // max(1, len(self.words)), unique % max(1, len(self.words)), total, words.count
+        return text, unique // max(1, len(self.words)), unique % max(1, len(self.words)), total, words.count, words.span
+
+
+def worst_passage(text: np.ndarray, total: np.ndarray, span: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The largest sum of bad sentences in ``PASSAGE`` words of each text, or in one longer sentence, by its words."""
+    bad = np.flatnonzero(total > 0)
+    bad = bad[np.lexsort((span[bad, 0], text[bad]))]
+    text, total, span = text[bad], total[bad], span[bad].astype(np.int64)
+    apart = int(words.max(initial=0)) + PASSAGE + 1  # between the places of two texts
+    upto = np.searchsorted(text * apart + span[:, 1], text * apart + span[:, 0] + PASSAGE, side="right")
+    sums = np.concatenate([[0.0], np.cumsum(total)])
+    least = np.minimum(words[text], PASSAGE)
+    alone = total / (np.maximum(least, span[:, 1] - span[:, 0]) + 10)
+    share = np.maximum(alone, (sums[np.maximum(upto, np.arange(len(text)))] - sums[:-1]) / (least + 10))
+    out = np.zeros(len(words))
+    np.maximum.at(out, text, share)
+    return out
 
 
-def evidence(text: np.ndarray, total: np.ndarray, words: np.ndarray, bias: float) -> np.ndarray:
+def evidence(text: np.ndarray, total: np.ndarray, span: np.ndarray, words: np.ndarray, bias: float) -> np.ndarray:
     """What a document is judged by, from the values of its sentences with near words; the others have the bias."""
+    out = np.full((len(words), 3), bias)
+    out[:, 2] = np.log1p(100 * worst_passage(text, total, span, words))
     order = np.lexsort((-total, text))
     text, total = text[order], total[order]
     place = np.arange(len(text)) - np.searchsorted(text, text)
-    out = np.full((len(words), 3), bias)
     for k in (0, 1):
         here = place == k
         out[text[here], k] = np.maximum(total[here], bias)
-    bad = np.bincount(text, np.maximum(total, 0), len(words))
-    out[:, 2] = np.log1p(100 * bad / (words + 10))
     return out
 
 
@@ -243,10 +269,10 @@ class Machine:
     curve: np.ndarray
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        text, sentence, landmark, value, words = self.landmarks.sentences([t or "" for t in texts])
+        text, sentence, landmark, value, words, span = self.landmarks.sentences([t or "" for t in texts])
         first = np.flatnonzero(np.diff(sentence, prepend=-1))
         total = np.add.reduceat(self.weight[landmark] * value, first) + self.bias if len(first) else np.zeros(0)
-        found = evidence(text[first], total, words, self.bias)
+        found = evidence(text[first], total, span[sentence[first]], words, self.bias)
         return 1 / (1 + np.exp(-np.clip(found @ self.curve[:-1] + self.curve[-1], -50, 50)))
 
 
@@ -369,27 +395,28 @@ def fit(
         for batch in batches:
             for piece in pieces(batch, "text", PIECE_BYTES):
                 y, out = piece.column("y").to_pylist(), []
-                text_at, sentence, landmark, value, count = marks.sentences(piece.column("text").to_pylist())
+                text_at, sentence, landmark, value, count, span = marks.sentences(piece.column("text").to_pylist())
                 first = np.append(np.flatnonzero(np.diff(sentence, prepend=-1)), len(sentence))
                 by: dict[int, list] = {}
                 for lo, hi in zip(first[:-1], first[1:]):
-                    by.setdefault(int(text_at[lo]), []).append((float(value[lo:hi].sum()), landmark[lo:hi].tolist(), value[lo:hi].tolist()))
+                    by.setdefault(int(text_at[lo]), []).append((float(value[lo:hi].sum()), landmark[lo:hi].tolist(), value[lo:hi].tolist(), span[sentence[lo]].tolist()))
                 for k, label_here in enumerate(y):
                     best = sorted(by.get(k, []), reverse=True)[:SENTENCES]
-                    out.append({"y": label_here, "words": int(count[k]), "at": [s[1] for s in best], "value": [s[2] for s in best]})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("y", pa.int32()), ("words", pa.int64()), ("at", pa.list_(pa.list_(pa.int64()))), ("value", pa.list_(pa.list_(pa.float64())))]))
+                    out.append({"y": label_here, "words": int(count[k]), "at": [s[1] for s in best], "value": [s[2] for s in best], "span": [s[3] for s in best]})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("y", pa.int32()), ("words", pa.int64()), ("at", pa.list_(pa.list_(pa.int64()))), ("value", pa.list_(pa.list_(pa.float64()))), ("span", pa.list_(pa.list_(pa.int64())))]))
 
-    sample = rows.mapInArrow(run, "y int, words long, at array<array<long>>, value array<array<double>>").collect()
-    sample.sort(key=lambda r: (r.y, r.words, r.at, r.value))
+    sample = rows.mapInArrow(run, "y int, words long, at array<array<long>>, value array<array<double>>, span array<array<long>>").collect()
+    sample.sort(key=lambda r: (r.y, r.words, r.at, r.value, r.span))
     y = np.array([r.y for r in sample])
     if not (y == 1).any() or not (y == 0).any():
         return None
-    doc, x = [], np.zeros((sum(1 + len(r.at) for r in sample), len(marks.words)))
+    doc, span, x = [], [], np.zeros((sum(1 + len(r.at) for r in sample), len(marks.words)))
     for k, r in enumerate(sample):
-        for at, value in [([], []), *zip(r.at, r.value)]:  # the first stands for all sentences without a near word
+        for at, value, place in [([], [], [0, 0]), *zip(r.at, r.value, r.span)]:  # the first stands for all sentences without a near word
             x[len(doc), at] = value
             doc.append(k)
-    doc = np.array(doc)
+            span.append(place)
+    doc, span = np.array(doc), np.array(span)
     # The landmarks' own kernel: what a landmark says of a sentence follows from all of them.
     a = [codes(w)[None] for w in marks.words]
     gram = np.array([[kernel(p, q)[0] for q in a] for p in a]) / np.outer(marks.norm, marks.norm)
@@ -408,7 +435,7 @@ def fit(
         weight = root @ w
         worst = x @ weight + bias
     near = x.any(axis=1)
-    found = evidence(doc[near], worst[near], np.array([r.words for r in sample]), bias)
+    found = evidence(doc[near], worst[near], span[near], np.array([r.words for r in sample]), bias)
     return Machine(marks, weight, bias, logistic(found, y))
 
 

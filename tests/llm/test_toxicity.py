@@ -55,6 +55,21 @@ def test_words_and_sentences():
     assert got.count.tolist() == [4, 0, 6, 2, 1]
 
 
+def test_spelled_words_are_read_to_their_end():
+    """A run of single letters longer than a window is looked at as a whole, like a long word."""
+    letters = "abcdefghijklmnopqrstuvwxyz" * 4
+    got, whole = (X.Words.of([t]) for t in (" ".join(letters), letters))
+    assert sorted(got.strings()) == sorted(whole.strings()) and {w[-4:] for w in got.strings()} >= {"wxyz"}
+    assert got.span.tolist() == [[0, 104]] and X.Words.of(["A b. c d", "e"]).span.tolist() == [[0, 2], [2, 4], [0, 1]]
+
+
+def test_worst_passage():
+    text, total = np.array([0, 0, 0, 1, 1]), np.array([2.0, 1.0, -3.0, 4.0, 4.0])
+    span = np.array([[5_000, 5_010], [5_020, 5_030], [0, 9], [0, 10], [900, 900 + 4 * X.PASSAGE]])
+    got = X.worst_passage(text, total, span, np.array([6_000, 9_000, 7]))
+    assert got == pytest.approx([3 / (X.PASSAGE + 10), 4 / (X.PASSAGE + 10), 0])
+
+
 @pytest.fixture(scope="module")
 def machine(spark):
     rng = np.random.default_rng(0)
@@ -88,6 +103,14 @@ def test_gapped_and_inserted_letters(machine):
     assert fitted.scores([prose])[0] < 0.1
 
 
+def test_a_passage_counts_wherever_it_stands(machine):
+    _, _, fitted, plain = machine
+    prose = [". ".join(" ".join(plain[k : k + 10]) for k in range(0, len(plain), 10)) + ". "] * 400
+    insult = "You idiot and scumbag. Worthless idiot and scumbag again. "
+    alone, clean, *found = fitted.scores([insult + prose[0] * 7, "".join(prose), *("".join([*prose[:k], insult, *prose[k:]]) for k in (0, 200, 400))])
+    assert clean < 0.5 < alone and found == pytest.approx([alone] * 3, abs=0.05)
+
+
 def test_odd_rows(spark, machine):
     _, _, fitted, plain = machine
     long = " ".join(plain * 5000)
