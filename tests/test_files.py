@@ -3,6 +3,7 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyarrow.fs import FileSelector, LocalFileSystem
 from pyspark.sql import functions as F
 
 from shardflow.plans.png_files import png_bytes
@@ -56,6 +57,30 @@ def test_scan_by_extension_and_depth(spark, tree):
         files.scan(spark, tree + "/top.png")
 
 
+def test_a_folder_is_listed_in_pieces(spark, tmp_path, monkeypatch):
+    """What a listing holds at a time does not grow with the folder."""
+    for k in range(25):
+        (tmp_path / f".d{k}.png").write_bytes(b"x" * k)
+    (tmp_path / "below").mkdir()
+    os.symlink(tmp_path / "gone", tmp_path / "broken.png")
+    whole = {f.base_name: (f.type, f.size) for f in LocalFileSystem().get_file_info(FileSelector(str(tmp_path)))}
+    monkeypatch.setattr(files, "LISTED_ROWS", 10)
+    found = list(files.listed_pieces(str(tmp_path)))
+    assert len(found) == 3 and all(len(p) <= 10 for p in found) and sum(map(len, found)) == 26
+    assert {f.base_name: (f.type, f.size) for p in found for f in p} == whole
+    assert [len(p) for p in files.listed_pieces(str(tmp_path / "below"))] == [0]
+
+
+def test_contents_are_written_from_the_batch(spark, tmp_path, monkeypatch):
+    """No bytes object is made of a content, and none may be missing."""
+    rows = spark.createDataFrame([(f"{tmp_path}/a/{k}", bytes([k]) * k) for k in range(5)], "path string, content binary")
+    written = files.write_files(rows)
+    assert "MapInArrow" in written._jdf.queryExecution().toString() and all(r.ok and r.error is None for r in written.collect())
+    assert [(tmp_path / "a" / str(k)).read_bytes() for k in range(5)] == [bytes([k]) * k for k in range(5)]
+    with pytest.raises(Exception, match="no content"):
+        files.write_files(rows.withColumn("content", F.lit(None).cast("binary"))).collect()
+
+
 def test_images_of_other_extensions_are_not_read(spark, tmp_path):
     put(str(tmp_path), "in/a.PNG", png_bytes(np.zeros((2, 2, 3), np.uint8)))
     put(str(tmp_path), "in/b.txt", b"no image")
