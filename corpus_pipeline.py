@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shardflow.functions.columns import free_names
 from shardflow.llm import exact_dedup, language_id, mixing, ngram_join, queries, sentencepiece_codec
+from shardflow.llm.key_filter import lacking
 from shardflow.scratch import materialise
 
 #: Dimensions of the language profiles.
@@ -55,8 +56,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     _session(spark)
     groups = ngram_join.ngram_jaccard_groups(docs, n=5, num=4, den=5)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(groups.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
+    return lacking(docs, gone, "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

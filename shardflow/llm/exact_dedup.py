@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardflow.llm.key_filter import marked
 from shardflow.scratch import materialise
 
 #: White space that is not yet a single space.
@@ -118,14 +119,17 @@ def without_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
     Only rows that go, and ids with a text that occur more than once, are named in
-    tables; texts are joined with those, not with all that stay.
+    tables; texts are joined with those, not with all that stay, and only texts
+    whose id may be named there travel.
     """
     key = F.struct(F.col(id).cast("bigint").alias("id"), F.col("text_sha256").alias("sha")).alias("key")
     told = exact_groups(docs, id, text).groupBy(key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     told = materialise(told.where("not kept or n > 1"), "not-as-they-are")
-    sha = F.sha2(normalised(text), 256).alias("sha")
-    mine = docs.select(F.struct("*").alias("row"), F.struct(F.col(id).cast("bigint").alias("id"), sha).alias("key"))
-    stay = mine.join(told.select("key"), "key", "left_anti").select("row")
+    sha = F.sha2(normalised("text"), 256).alias("sha")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    split = marked(rows, told.select("key.id"), "id", "perhaps")
+    mine = split.where("perhaps").select("row", F.struct("id", sha).alias("key"))
+    stay = split.where("not perhaps").select("row").unionByName(mine.join(told.select("key"), "key", "left_anti").select("row"))
     repeated = materialise(told.where("kept").select("key"), "repeated-rows")
     if not repeated.isEmpty():  # rows with one id and text: one of them
         once = mine.join(repeated, "key", "left_semi").dropDuplicates(["key"]).select("row")

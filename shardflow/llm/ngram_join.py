@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardflow.llm.components import components
+from shardflow.llm.key_filter import having
 from shardflow.llm.words import U64, Words, mix, pieces
 from shardflow.scratch import discard, materialise
 
@@ -222,7 +223,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFrame:
-    """``(id, elements)`` of the texts named in ``ids``."""
+    """``(id, elements)`` of the texts named in the written table ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,12 +233,12 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFram
                 sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_ids(piece)), sets], ["id", "elements"])
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, elements array<long>")
+    return having(docs, ids, "id").mapInArrow(run, "id long, elements array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets reach ``num / den``, by their exact intersection; written down."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     sets = materialise(whole_sets(docs, ids, n, lower), "whole-sets")
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
@@ -248,6 +249,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
         .select("a", "b")
     )
     found = materialise(found, "links")
+    discard(ids)
     discard(sets)
     return found
 
@@ -370,8 +372,10 @@ def ngram_jaccard_groups(
     bucket = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(members.join(bucket, "sig"), "buckets")
 
-    sets = whole_sets(given, members.select("id").distinct(), n, lower)
+    met = materialise(members.select("id").distinct(), "bucket-ids")
+    sets = whole_sets(given, met, n, lower)
     cells = materialise(_histograms(sets).distinct(), "histograms")
+    discard(met)
 
     def labelled(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
         if joined is None:
@@ -379,23 +383,31 @@ def ngram_jaccard_groups(
         rows = rows.join(joined.withColumnRenamed("node", "id"), "id", "left")
         return rows.withColumn("label", F.coalesce("component", "id")).drop("component")
 
-    joined = None
+    joined, tried = None, []
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets were not compared in a turn before: they would fail again."""
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        return pairs
+
     for turn in range(LEADERS):
         # In every turn another text leads; what is in one component with it is not compared again.
-        # All pairs with leaders that are left after the first turn are compared in the second.
+        # All pairs with leaders that are left after the first turn are compared in the second,
+        # among them the only pair of every bucket of two.
         rank = F.xxhash64("id", F.lit(turn))
-        left = labelled(members.select("sig", "id"), joined)
+        left = labelled((members if turn < 2 else members.where("n > 2")).select("sig", "id"), joined)
         led = left.groupBy("sig").agg(F.min_by("id", rank).alias("leader"), F.min_by("label", rank).alias("led"))
         stars = left.join(led, "sig").where("label <> led")
         if not turn:  # one leader each: what that joins needs no other
             stars = stars.groupBy("id").agg(F.min_by("leader", F.xxhash64("leader", F.lit(turn))).alias("leader"))
         stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        stars = materialise(_may_link(stars, cells, num, den).distinct(), "star-pairs")
+        stars = materialise(untried(_may_link(stars, cells, num, den).distinct()), "star-pairs")
         if stars.isEmpty():
             discard(stars)
             continue
         found = verified(stars, given, n, lower, num, den)
-        discard(stars)
+        tried.append(stars)
         # What is joined already is told by stars; the links behind it are not needed again.
         known = found if joined is None else found.unionByName(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         after = materialise(components(known), "first-components")
@@ -417,14 +429,14 @@ def ngram_jaccard_groups(
     left = left.join(cells, "id").select(
         "sig", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "label", "at", "size", "cells"
     )
-    close = materialise(_close_pairs(left, num, den).distinct(), "close-pairs")
+    close = materialise(untried(_close_pairs(left, num, den).distinct()), "close-pairs")
     more = verified(close, given, n, lower, num, den)
     label = joined.select("node", "component")
     ends = more
     for end in ("a", "b"):
         ends = ends.join(label.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
     merged = materialise(components(ends.select("a", "b")), "second-components")
-    for table in (shared, members, cells, close, more):
+    for table in (shared, members, cells, close, more, *tried):
         discard(table)
 
     final = (

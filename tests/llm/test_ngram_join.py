@@ -95,3 +95,25 @@ def test_components(spark):
 def test_sets_of_short_texts():
     grams, row, size = ngram_join.sets_of(pa.array(["a b c d e", "a b", None, "  ", "A B"]), 4, True)
     assert size.tolist() == [2, 1, 0, 0, 1] and grams[row == 1] == grams[row == 4]
+
+
+def test_no_pair_is_compared_twice(spark, monkeypatch):
+    """Versions of a text that are near, but mostly not linked, meet in many buckets and turns."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        words = [f"b{j}" for j in range(200)]
+        for j in rng.choice(200, 3, replace=False):
+            words[j] = f"x{rng.integers(1 << 30)}"
+        rows.append((k, " ".join(words)))
+    seen, real = [], ngram_join.verified
+
+    def verified(pairs, *rest):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", verified)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in ngram_join.ngram_jaccard_groups(docs, n=5, num=4, den=5).collect()}
+    assert got == brute(rows, 5, 4, 5)
+    assert len(seen) > 100 and len(set(seen)) == len(seen)
