@@ -36,6 +36,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 BLOCK_BYTES = 6 << 20
+#: Documents that travel to Python at a time.
+BATCH_ROWS = 500
 #: Ranges of documents that are halved at a time.
 OPENED = 64
 #: Distinct terms of the items that one task searches for at a time.
@@ -100,7 +102,8 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     """One row for a block of documents (about ``BLOCK_BYTES`` of text, one document at least).
 
     Whole texts; rows with a null id or a repeated id are documents of their
-    own, a null text has no terms.  Write the result down before searching it.
+    own, a null text has no terms.  Write the result down (``write_index``)
+    before searching it.
     """
     schema = pa.schema(
         [
@@ -136,6 +139,11 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, INDEX)
 
 
+def write_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of ``build_index``, written down; texts travel ``BATCH_ROWS`` at a time."""
+    return materialise(build_index(docs, id, text), "lexical-index", batch_rows=BATCH_ROWS)
+
+
 class Treap:
     """A K2-treap over points in Z-order (row bit above column bit at every level).
 
@@ -244,7 +252,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id: str = "item_id",
     """The ``k`` best documents of a written index for every item: ``item_id, rank, doc_id, score``.
 
     Items go in blocks of about ``ITEM_TERMS`` terms; every block of items meets every block of
-    documents once.  A task keeps the best of the blocks it has seen, so later
+    documents once, one at a time.  A task keeps the best of the blocks it has seen, so later
     ones are opened less, and tells only those.  Documents with score 0 are left
     out, equal scores go by ascending id (null first).  Items without terms, and
     an empty index, give no rows.
@@ -278,7 +286,9 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id: str = "item_id",
                     listed = one.column("items").flatten()
                     names = listed.field("terms").flatten()
                     cut = np.concatenate([[0], np.cumsum(pc.list_value_length(listed.field("terms")).to_numpy())]).astype(np.int64)
-                    asked_for[number] = (listed.field("item").to_pylist(), names, listed.field("weights").flatten().to_numpy(), cut, [Best(k, []) for _ in range(len(listed))])
+                    # Copies: a slice would hold the whole batch, with its block, until the task ends.
+                    names = names.take(pa.array(np.arange(len(names))))
+                    asked_for[number] = (listed.field("item").to_pylist(), names, listed.field("weights").flatten().to_numpy().copy(), cut, [Best(k, []) for _ in range(len(listed))])
                 items_here, names, weights, cut, best = asked_for[number]
                 docs = one.column("docs")[0].as_py()
                 sizes = one.column("sizes").flatten().to_numpy()
@@ -299,7 +309,8 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id: str = "item_id",
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["item_id", "item_text", "score", "doc_id"])
 
-    found = rows.mapInArrow(run, "item_id long, item_text string, score long, doc_id long") if length else spark.createDataFrame([], "item_id long, item_text string, score long, doc_id long")
+    told = "item_id long, item_text string, score long, doc_id long"
+    found = materialise(rows.mapInArrow(run, told), "found", batch_rows=1) if length else spark.createDataFrame([], told)
     place = Window.partitionBy("item_id", "item_text").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_first())
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 

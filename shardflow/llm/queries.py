@@ -237,7 +237,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = materialise(lexical_search.build_index(table(spark, sf_dir, "documents")), "lexical-index")
+    index = lexical_search.write_index(table(spark, sf_dir, "documents"))
     return lexical_search.search(index, table(spark, sf_dir, "benchmark"), k=20)
 
 

@@ -123,3 +123,31 @@ def test_treap_paths():
             }
         plain = {int(c): int(v) for c, rr, v in zip(columns[at], rows[at], value) if rr == r}
         assert {s: int(treap.most[c[0]]) for s, c in cells.items() if c[0] != treap.none} == plain
+
+
+def test_one_block_travels_at_a_time(spark, corpus, monkeypatch):
+    """A task holds one block of the index, not all that its file has, and the session's setting comes back."""
+    rows, items = corpus
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame(wide(rows), "doc_id long, text string, score long, rank int, terms string, block int, item string")
+    index = materialise(L.build_index(docs.repartition(40)).coalesce(1), "index")
+    frame = type(index)
+    real, most = frame.mapInArrow, spark.sparkContext.accumulator(0)
+
+    def spied(self, func, schema, *rest):
+        def run(batches):
+            def told():
+                for batch in batches:
+                    if len(batch) > 1:
+                        most.add(1)
+                    yield batch
+
+            return func(told())
+
+        return real(self, run, schema, *rest)
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    before = spark.conf.get(key)
+    out = L.search(index, spark.createDataFrame(items, "item_id long, text string"), 20)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(rows, items, 20)
+    assert most.value == 0 and spark.conf.get(key) == before
