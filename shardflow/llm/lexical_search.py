@@ -35,7 +35,7 @@ TERM[0x30:0x3A] = TERM[0x41:0x5B] = TERM[0x61:0x7B] = TERM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 #: Documents that travel to Python at a time.
 BATCH_ROWS = 500
 #: Ranges of documents that are halved at a time.
