@@ -15,11 +15,13 @@ always share one of those.  No link is lost.
 Steps, each on tables that follow the input:
 
 1. sets with the same elements become one (smallest id) by a 128-bit digest;
-2. signatures, one row each, meet in a shuffle; those of one text alone go;
+2. signatures, one row each, meet in a shuffle; those of one text alone go, and
+   buckets with the same texts become one;
 3. in every bucket each text is held against one leader, equal pairs once, in
    a few turns with other leaders and without what is joined already: a
-   small histogram of elements bounds the difference from below, and pairs that
-   it leaves are verified on their whole sets; the links make first components;
+   small histogram of elements bounds the difference from below; of the pairs that
+   it leaves between two components one is verified on its whole sets; the links
+   make first components;
 4. what is left are pairs in one bucket and not in one component: they are
    compared in blocks by their histograms, and verified in the same way.
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardflow.llm.components import components
-from shardflow.llm.key_filter import having
+from shardflow.llm.key_filter import having, marked
 from shardflow.llm.words import U64, Words, mix, pieces
 from shardflow.scratch import discard, materialise
 
 CELLS = 256  # of a histogram: one byte each
 LEADERS = 5  # turns in which a bucket has one leader
+BATCH_ROWS = 1000  # texts or sets that travel to Python at a time
 
 
 @dataclass(frozen=True)
@@ -196,28 +200,57 @@ def signature_rows(docs: DataFrame, n: int, lower: bool, bands: Bands, memory: i
     return docs.mapInArrow(run, "sig long, id long")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows whose ``sig`` occurs again; rows come sorted, one is carried over."""
+def _shared(rows: DataFrame, hold: int = 1 << 16, memory: int = 200_000) -> DataFrame:
+    """``(sig, id)`` of the signatures that occur again, under a name made of the bucket's ids.
+
+    Buckets with the same ids thereby become one: a task gives them once while it
+    remembers them, and the rest are equal rows.  Should two buckets get one
+    name by chance, more is compared, never less.  A bucket of more than ``hold`` rows
+    is not held, and keeps its signature as its name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (sig, id, already given)
-        for batch in batches:
-            sig = batch.column("sig").to_numpy()
-            ids = batch.column("id").to_numpy()
-            if not len(sig):
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting, long = 0, None  # rows held; the signature of a bucket that is not
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append((batch.column("sig").to_numpy(), batch.column("id").to_numpy()))
+                waiting += batch.num_rows
+                if waiting <= hold:
+                    continue
+            if not waiting:
+                continue
+            sig, ids = (np.concatenate([h[k] for h in held]) for k in range(2))
+            if long is not None:
+                more = int((sig == long).sum())
+                if more:
+                    yield _longs({"sig": sig[:more], "id": ids[:more]})
+                sig, ids = sig[more:], ids[more:]
+            long = None if len(sig) else long
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+            upto = len(sig) if batch is None or not len(sig) else int(start[-1])  # the last bucket may go on
+            if len(sig) - upto > hold:
+                long = sig[-1]
+                yield _longs({"sig": sig[upto:], "id": ids[upto:]})
+                held, waiting = [], 0
+            else:
+                held, waiting = [(sig[upto:], ids[upto:])], len(sig) - upto
+            start = start[start < upto]
+            if not len(start):
                 continue
-            if last is not None:
-                sig, ids = np.concatenate([[last[0]], sig]), np.concatenate([[last[1]], ids])
-            same = sig[1:] == sig[:-1]
-            keep = np.zeros(len(sig), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            given = keep.copy()
-            if last is not None and last[2]:
-                keep[0] = False
-            last = (sig[-1], ids[-1], bool(given[-1]) or (len(sig) == 1 and last is not None and last[2]))
-            if keep.any():
-                yield _longs({"sig": sig[keep], "id": ids[keep]})
+            count = np.diff(np.append(start, upto))
+            name = mix(np.add.reduceat(mix(ids[:upto].view(U64), 41), start) ^ mix(count.astype(U64), 42), 43)
+            fresh = count > 1
+            if len(seen) > memory:
+                seen.clear()
+            for k in np.flatnonzero(fresh).tolist():
+                if (key := int(name[k])) in seen:
+                    fresh[k] = False
+                seen.add(key)
+            if fresh.any():
+                keep = np.repeat(fresh, count)
+                yield _longs({"sig": np.repeat(name, count)[keep], "id": ids[:upto][keep]})
 
     return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, id long")
 
@@ -239,7 +272,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFram
 def verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sets reach ``num / den``, by their exact intersection; written down."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    sets = materialise(whole_sets(docs, ids, n, lower), "whole-sets")
+    sets = materialise(whole_sets(docs, ids, n, lower), "whole-sets", BATCH_ROWS)
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -255,7 +288,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
 
 
 def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` that their histograms don't rule out."""
+    """The rows of ``pairs``, with ``(a, b)`` and other numbers, that the histograms don't rule out."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,38 +298,43 @@ def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFra
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x", "y"))
             total = batch.column("n").to_numpy()
             keep = np.abs(x - y).sum(axis=1) * (den + num) <= (den - num) * total
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in names], names)
 
     left = cells.select(F.col("id").alias("a"), F.col("size").alias("p"), F.col("cells").alias("x"))
     right = cells.select(F.col("id").alias("b"), F.col("size").alias("q"), F.col("cells").alias("y"))
     near = F.least("p", "q") * den >= F.greatest("p", "q") * num
     both = pairs.join(left, "a").join(right, "b").where(near)
-    return both.select("a", "b", (F.col("p") + F.col("q")).alias("n"), "x", "y").mapInArrow(run, "a long, b long")
+    return both.select(*names, (F.col("p") + F.col("q")).alias("n"), "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _histograms(sets: DataFrame) -> DataFrame:
-    """``(id, size, cells)``: how many elements fall in each of ``CELLS`` classes, at most 255 each."""
+def _histograms(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFrame:
+    """``(id, size, cells)``: how many elements fall in each of ``CELLS`` classes, at most 255 each.
+
+    Of the texts named in the written table ``ids``, and of some others: no text
+    travels to tell them apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("elements")
-            size = np.diff(np.asarray(lists.offsets)).astype(np.int64)
-            flat = lists.flatten().to_numpy().view(U64)
-            slot = np.repeat(np.arange(len(size)), size) * CELLS + (mix(flat, 31) >> U64(56)).astype(np.int64)
-            cells = np.minimum(np.bincount(slot, minlength=len(size) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(size), pa.array([r.tobytes() for r in cells], pa.binary())],
-                ["id", "size", "cells"],
-            )
+            for piece in pieces(batch, "text"):
+                grams, row, size = sets_of(piece.column("text"), n, lower)
+                slot = row * CELLS + (mix(grams, 31) >> U64(56)).astype(np.int64)
+                cells = np.minimum(np.bincount(slot, minlength=len(size) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_ids(piece)), pa.array(size.astype(np.int64)), pa.array([r.tobytes() for r in cells], pa.binary())],
+                    ["id", "size", "cells"],
+                )
 
-    return sets.mapInArrow(run, "id long, size long, cells binary")
+    perhaps = marked(docs, ids, "id", "perhaps").where("perhaps").drop("perhaps")
+    return perhaps.mapInArrow(run, "id long, size long, cells binary")
 
 
-def _close_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
+def _close_pairs(blocks: DataFrame, num: int, den: int, memory: int = 200_000) -> DataFrame:
     """Pairs of one block and two components whose histograms don't rule a link out.
 
     Blocks are read one at a time; the sum of differences of two histograms is
-    at most the number of elements in which the sets differ.
+    at most the number of elements in which the sets differ.  A task gives a pair
+    once while it remembers it.
     """
 
     def pairs(ids, label, side, size, cells, mixed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -313,15 +352,25 @@ def _close_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
+        seen: set[tuple[int, int]] = set()
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
             ids, label, side, size = (np.array([h[k] for h in held]) for k in range(4))
             cells = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(-1, CELLS)
-            found = list(pairs(ids, label, side, size, cells, key[1] != key[2]))
+            found: list[tuple[int, int]] = []
+            for a, b in pairs(ids, label, side, size, cells, key[1] != key[2]):
+                if len(seen) > memory:
+                    seen.clear()
+                new = [x for x in zip(a.tolist(), b.tolist()) if x not in seen]
+                seen.update(new)
+                found += new
+                if len(found) > 1 << 16:
+                    yield _longs(dict(zip("ab", np.array(found).T)))
+                    found.clear()
             if found:
-                yield _longs({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+                yield _longs(dict(zip("ab", np.array(found).T)))
 
         for batch in batches:
             for sig, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(8))):
@@ -361,20 +410,23 @@ def ngram_jaccard_groups(
     whole = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     given = whole.where("id is not null")
 
-    keys = materialise(set_keys(given, n, lower), "set-keys")
+    keys = materialise(set_keys(given, n, lower), "set-keys", BATCH_ROWS)
     some = keys.where("size > 0")
     first = some.groupBy("size", "k1", "k2").agg(F.min("id").alias("rep"))
     named = materialise(some.join(first, ["size", "k1", "k2"]).select("id", "size", "rep"), "set-reps")
     rep_of = named.select("id", "rep").distinct()
 
-    shared = materialise(_shared(signature_rows(given, n, lower, bands)), "shared-signatures")
-    members = shared.join(rep_of, "id").select("sig", F.col("rep").alias("id")).distinct()
+    shared = materialise(_shared(signature_rows(given, n, lower, bands)), "shared-signatures", BATCH_ROWS)
+    # Most ids stand for themselves alone; only the others are looked up.
+    moved = materialise(rep_of.join(rep_of.where("id <> rep").select("id").distinct(), "id", "left_semi"), "other-reps")
+    members = shared.join(moved, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
+    members = materialise(members, "members")
     bucket = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(members.join(bucket, "sig"), "buckets")
+    single, members = members, materialise(members.join(bucket, "sig"), "buckets")
+    discard(single)
 
     met = materialise(members.select("id").distinct(), "bucket-ids")
-    sets = whole_sets(given, met, n, lower)
-    cells = materialise(_histograms(sets).distinct(), "histograms")
+    cells = materialise(_histograms(given, met, n, lower).distinct(), "histograms", BATCH_ROWS)
     discard(met)
 
     def labelled(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -383,7 +435,7 @@ def ngram_jaccard_groups(
         rows = rows.join(joined.withColumnRenamed("node", "id"), "id", "left")
         return rows.withColumn("label", F.coalesce("component", "id")).drop("component")
 
-    joined, tried = None, []
+    joined, tried, spare = None, [], None
 
     def untried(pairs: DataFrame) -> DataFrame:
         """Pairs whose sets were not compared in a turn before: they would fail again."""
@@ -393,21 +445,32 @@ def ngram_jaccard_groups(
 
     for turn in range(LEADERS):
         # In every turn another text leads; what is in one component with it is not compared again.
-        # All pairs with leaders that are left after the first turn are compared in the second,
-        # among them the only pair of every bucket of two.
+        # All pairs with leaders that are left after the first turn meet by histogram in the second,
+        # among them the only pair of every bucket of two; those not verified there wait for the end.
         rank = F.xxhash64("id", F.lit(turn))
         left = labelled((members if turn < 2 else members.where("n > 2")).select("sig", "id"), joined)
         led = left.groupBy("sig").agg(F.min_by("id", rank).alias("leader"), F.min_by("label", rank).alias("led"))
         stars = left.join(led, "sig").where("label <> led")
         if not turn:  # one leader each: what that joins needs no other
-            stars = stars.groupBy("id").agg(F.min_by("leader", F.xxhash64("leader", F.lit(turn))).alias("leader"))
-        stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        stars = materialise(untried(_may_link(stars, cells, num, den).distinct()), "star-pairs")
+            first = F.min_by(F.struct("leader", "led"), F.xxhash64("leader", F.lit(turn))).alias("first")
+            stars = stars.groupBy("id", "label").agg(first).select("id", "label", "first.*")
+        stars = stars.select(
+            F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"),
+            F.least("label", "led").alias("lo"), F.greatest("label", "led").alias("hi"),
+        ).distinct()
+        stars = materialise(untried(_may_link(stars, cells, num, den)), "star-pairs", BATCH_ROWS)
         if stars.isEmpty():
             discard(stars)
             continue
-        found = verified(stars, given, n, lower, num, den)
-        tried.append(stars)
+        # One link makes two components one, so one pair of them is verified.
+        one = stars.groupBy("lo", "hi").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("pair")).select("pair.*")
+        one = materialise(one, "tested-pairs")
+        found = verified(one, given, n, lower, num, den)
+        tried.append(one)
+        if turn == 1:
+            spare = stars
+        else:
+            discard(stars)
         # What is joined already is told by stars; the links behind it are not needed again.
         known = found if joined is None else found.unionByName(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         after = materialise(components(known), "first-components")
@@ -419,7 +482,7 @@ def ngram_jaccard_groups(
         joined = spark.createDataFrame([], "node long, component long")
 
     # Pairs in one bucket that are not in one component yet.
-    # In a bucket of two, the leader's pair is the only one.
+    # In a bucket of two, the leader's pair is the only one; it is among the spare ones.
     left = labelled(members.where("n > 2").select("sig", "id", "n"), joined)
     mixed = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
     left = left.join(mixed, "sig")
@@ -429,14 +492,22 @@ def ngram_jaccard_groups(
     left = left.join(cells, "id").select(
         "sig", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "label", "at", "size", "cells"
     )
-    close = materialise(untried(_close_pairs(left, num, den).distinct()), "close-pairs")
-    more = verified(close, given, n, lower, num, den)
+    near = materialise(_close_pairs(left, num, den).distinct(), "near-pairs", BATCH_ROWS)
     label = joined.select("node", "component")
+    close = near
+    if spare is not None:
+        apart = spare.select("a", "b")
+        for end in ("a", "b"):
+            at = label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+            apart = apart.join(at, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+        close = near.unionByName(apart.where("a_in <> b_in").select("a", "b")).distinct()
+    close = materialise(untried(close), "close-pairs")
+    more = verified(close, given, n, lower, num, den)
     ends = more
     for end in ("a", "b"):
         ends = ends.join(label.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
     merged = materialise(components(ends.select("a", "b")), "second-components")
-    for table in (shared, members, cells, close, more, *tried):
+    for table in (shared, moved, members, cells, near, close, more, *tried, *([] if spare is None else [spare])):
         discard(table)
 
     final = (

@@ -117,3 +117,54 @@ def test_no_pair_is_compared_twice(spark, monkeypatch):
     got = {tuple(r) for r in ngram_join.ngram_jaccard_groups(docs, n=5, num=4, den=5).collect()}
     assert got == brute(rows, 5, 4, 5)
     assert len(seen) > 100 and len(set(seen)) == len(seen)
+
+
+def test_buckets_with_the_same_texts_become_one(spark):
+    """A family of near copies shares one signature or hundreds: it is one bucket."""
+    buckets = {k: [1, 2, 3] for k in range(300)} | {1000 + k: [4, 5] for k in range(40)} | {2000 + k: [100 + k] for k in range(50)} | {3000: [1, 2], 3001: list(range(200, 400))}
+    rows = spark.createDataFrame([(s, i) for s, ids in buckets.items() for i in ids], "sig long, id long").repartition(5)
+    want = sorted([[1, 2, 3], [4, 5], [1, 2], list(range(200, 400))])
+    for hold, batch in ((1 << 16, 10_000), (16, 7), (0, 1)):
+        told = {}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            for r in ngram_join._shared(rows, hold=hold).distinct().collect():
+                told.setdefault(r.sig, []).append(r.id)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        groups = sorted(sorted(ids) for ids in told.values() if len(ids) > 1)
+        assert [g for k, g in enumerate(groups) if g not in groups[:k]] == want
+        if hold > 1000:
+            assert groups == want  # one task or many: one name
+
+
+def test_texts_travel_to_python_in_small_batches(spark, monkeypatch):
+    """Texts and sets are long: a session's batches of 10,000 rows are not for them."""
+    rows = [(k, f"a family of {k % 7} words that stand in a few texts and are told by {k % 3} or {k % 2}") for k in range(60)]
+    given, real = {}, ngram_join.materialise
+
+    def materialise(df, label, batch_rows=None):
+        given.setdefault(label, set()).add(batch_rows)
+        return real(df, label, batch_rows)
+
+    monkeypatch.setattr(ngram_join, "materialise", materialise)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answers(ngram_join.ngram_jaccard_groups(docs, n=4, num=1, den=2)) == brute(rows, 4, 1, 2)
+    for label in ("set-keys", "shared-signatures", "histograms", "star-pairs", "whole-sets", "near-pairs"):
+        assert given[label] == {ngram_join.BATCH_ROWS}, label
+
+
+def test_one_pair_joins_two_components(spark, monkeypatch):
+    """Texts that are all linked are joined by about as many pairs as texts, and not by all pairs."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(80):
+        words = base(400, 1)
+        words[rng.randrange(400)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    tested, near, real, wrote = [], [], ngram_join.verified, ngram_join._close_pairs
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: (tested.append(pairs.count()), real(pairs, *rest))[1])
+    monkeypatch.setattr(ngram_join, "_close_pairs", lambda *a: (near.append(wrote(*a).count()), wrote(*a))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answers(ngram_join.ngram_jaccard_groups(docs, n=5, num=4, den=5)) == brute(rows, 5, 4, 5)
+    assert sum(tested) <= 3 * len(rows) and near == [0]
