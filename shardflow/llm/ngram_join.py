@@ -20,7 +20,7 @@ Steps, each on tables that follow the input:
 3. in every bucket each text is held against one leader, equal pairs once, in
    a few turns with other leaders and without what is joined already: a
    small histogram of elements bounds the difference from below; of the pairs that
-   it leaves between two components one is verified on its whole sets; the links
+   it leaves, one of each component is verified on its whole sets in a turn; the links
    make first components;
 4. what is left are pairs in one bucket and not in one component: they are
    compared in blocks by their histograms, and verified in the same way.
@@ -288,8 +288,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, d
 
 
 def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows of ``pairs``, with ``(a, b)`` and other numbers, that the histograms don't rule out."""
-    names = pairs.columns
+    """The pairs ``(a, b)`` that their histograms don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,13 +297,13 @@ def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFra
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x", "y"))
             total = batch.column("n").to_numpy()
             keep = np.abs(x - y).sum(axis=1) * (den + num) <= (den - num) * total
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in names], names)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     left = cells.select(F.col("id").alias("a"), F.col("size").alias("p"), F.col("cells").alias("x"))
     right = cells.select(F.col("id").alias("b"), F.col("size").alias("q"), F.col("cells").alias("y"))
     near = F.least("p", "q") * den >= F.greatest("p", "q") * num
     both = pairs.join(left, "a").join(right, "b").where(near)
-    return both.select(*names, (F.col("p") + F.col("q")).alias("n"), "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return both.select("a", "b", (F.col("p") + F.col("q")).alias("n"), "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _histograms(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFrame:
@@ -435,7 +434,17 @@ def ngram_jaccard_groups(
         rows = rows.join(joined.withColumnRenamed("node", "id"), "id", "left")
         return rows.withColumn("label", F.coalesce("component", "id")).drop("component")
 
-    joined, tried, spare = None, [], None
+    joined, tried, pool = None, [], []
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs in two components, as ``(a, b, lo, hi)``: the components' labels in order."""
+        if joined is None:
+            return pairs.select("a", "b", F.col("a").alias("lo"), F.col("b").alias("hi"))
+        for end in ("a", "b"):
+            at = joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+            pairs = pairs.join(at, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+        labels = F.least("a_in", "b_in").alias("lo"), F.greatest("a_in", "b_in").alias("hi")
+        return pairs.select("a", "b", *labels).where("lo < hi")
 
     def untried(pairs: DataFrame) -> DataFrame:
         """Pairs whose sets were not compared in a turn before: they would fail again."""
@@ -446,31 +455,30 @@ def ngram_jaccard_groups(
     for turn in range(LEADERS):
         # In every turn another text leads; what is in one component with it is not compared again.
         # All pairs with leaders that are left after the first turn meet by histogram in the second,
-        # among them the only pair of every bucket of two; those not verified there wait for the end.
+        # among them the only pair of every bucket of two; those not verified wait for later turns.
         rank = F.xxhash64("id", F.lit(turn))
         left = labelled((members if turn < 2 else members.where("n > 2")).select("sig", "id"), joined)
         led = left.groupBy("sig").agg(F.min_by("id", rank).alias("leader"), F.min_by("label", rank).alias("led"))
         stars = left.join(led, "sig").where("label <> led")
         if not turn:  # one leader each: what that joins needs no other
-            first = F.min_by(F.struct("leader", "led"), F.xxhash64("leader", F.lit(turn))).alias("first")
-            stars = stars.groupBy("id", "label").agg(first).select("id", "label", "first.*")
-        stars = stars.select(
-            F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"),
-            F.least("label", "led").alias("lo"), F.greatest("label", "led").alias("hi"),
-        ).distinct()
+            stars = stars.groupBy("id").agg(F.min_by("leader", F.xxhash64("leader", F.lit(turn))).alias("leader"))
+        stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         stars = materialise(untried(_may_link(stars, cells, num, den)), "star-pairs", BATCH_ROWS)
-        if stars.isEmpty():
-            discard(stars)
+        pool.append(stars)
+        waiting = apart(stars)
+        if turn:
+            # One link makes two components one: of each component one pair is verified.
+            every = pool[0]
+            for more in pool[1:]:
+                every = every.unionByName(more)
+            waiting = apart(untried(every.distinct()))
+            waiting = waiting.groupBy("hi").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("pair")).select("pair.*")
+        one = materialise(waiting.select("a", "b"), "tested-pairs")
+        if one.isEmpty():
+            discard(one)
             continue
-        # One link makes two components one, so one pair of them is verified.
-        one = stars.groupBy("lo", "hi").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("pair")).select("pair.*")
-        one = materialise(one, "tested-pairs")
         found = verified(one, given, n, lower, num, den)
         tried.append(one)
-        if turn == 1:
-            spare = stars
-        else:
-            discard(stars)
         # What is joined already is told by stars; the links behind it are not needed again.
         known = found if joined is None else found.unionByName(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         after = materialise(components(known), "first-components")
@@ -482,7 +490,7 @@ def ngram_jaccard_groups(
         joined = spark.createDataFrame([], "node long, component long")
 
     # Pairs in one bucket that are not in one component yet.
-    # In a bucket of two, the leader's pair is the only one; it is among the spare ones.
+    # In a bucket of two, the leader's pair is the only one; it is in the pool.
     left = labelled(members.where("n > 2").select("sig", "id", "n"), joined)
     mixed = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
     left = left.join(mixed, "sig")
@@ -493,21 +501,17 @@ def ngram_jaccard_groups(
         "sig", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "label", "at", "size", "cells"
     )
     near = materialise(_close_pairs(left, num, den).distinct(), "near-pairs", BATCH_ROWS)
-    label = joined.select("node", "component")
     close = near
-    if spare is not None:
-        apart = spare.select("a", "b")
-        for end in ("a", "b"):
-            at = label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-            apart = apart.join(at, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
-        close = near.unionByName(apart.where("a_in <> b_in").select("a", "b")).distinct()
-    close = materialise(untried(close), "close-pairs")
+    for stars in pool:
+        close = close.unionByName(stars)
+    close = materialise(apart(untried(close.distinct())).select("a", "b"), "close-pairs")
     more = verified(close, given, n, lower, num, den)
+    label = joined.select("node", "component")
     ends = more
     for end in ("a", "b"):
         ends = ends.join(label.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
     merged = materialise(components(ends.select("a", "b")), "second-components")
-    for table in (shared, moved, members, cells, near, close, more, *tried, *([] if spare is None else [spare])):
+    for table in (shared, moved, members, cells, near, close, more, *tried, *pool):
         discard(table)
 
     final = (
