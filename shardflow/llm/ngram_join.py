@@ -20,10 +20,11 @@ Steps, each on tables that follow the input:
 3. in every bucket each text is held against one leader, equal pairs once, in
    a few turns with other leaders and without what is joined already: a
    small histogram of elements bounds the difference from below; of the pairs that
-   it leaves, one of each component is verified on its whole sets in a turn; the links
-   make first components;
+   it leaves, the nearest of each component is verified on its whole sets in a turn;
+   the links make first components;
 4. what is left are pairs in one bucket and not in one component: they are
-   compared in blocks by their histograms, and verified in the same way.
+   compared by their histograms, where buckets with the same smallest id stand
+   together, and those that hang together are verified in one place.
 
 A large group of near copies is joined in step 3 by a number of pairs in
 proportion to its size.
@@ -41,12 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardflow.llm.components import components
-from shardflow.llm.key_filter import having, marked
+from shardflow.llm.key_filter import marked
 from shardflow.llm.words import U64, Words, mix, pieces
 from shardflow.scratch import discard, materialise
 
 CELLS = 256  # of a histogram: one byte each
-LEADERS = 5  # turns in which a bucket has one leader
+LEADERS = 3  # turns in which a bucket has one leader
+HELD = 1 << 21  # elements that a task holds to compare sets
 BATCH_ROWS = 1000  # texts or sets that travel to Python at a time
 
 
@@ -255,40 +257,103 @@ def _shared(rows: DataFrame, hold: int = 1 << 16, memory: int = 200_000) -> Data
     return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, id long")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFrame:
-    """``(id, elements)`` of the texts named in the written table ``ids``."""
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The sorted rows, one table for every run with equal keys."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        starts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *starts.tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            key = tuple(c[lo] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _root(above: dict[int, int], x: int) -> int:
+    while (up := above.get(x, x)) != x:
+        above[x] = above.get(up, up)
+        x = up
+    return x
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
-                grams, _, size = sets_of(piece.column("text"), n, lower)
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(_ids(piece)), sets], ["id", "elements"])
 
-    return having(docs, ids, "id").mapInArrow(run, "id long, elements array<long>")
+def verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)`` whose sets reach ``num / den``, enough of them to join all that do; written down.
 
+    ``pairs`` is a written table ``(a, b, place)``.  A text travels once to every
+    place that has pairs of it, however many, and its set is made there.  Pairs that
+    links of the same place join already are not compared.
+    """
+    reach = lambda x, y: len(x) and len(y) and (den + num) * _common(x, y) >= num * (len(x) + len(y))
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, lower: bool, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets reach ``num / den``, by their exact intersection; written down."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    sets = materialise(whole_sets(docs, ids, n, lower), "whole-sets", BATCH_ROWS)
-    left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    found = (
-        pairs.join(left, "a").join(right, "b")
-        .where(den * both >= num * (F.size("x") + F.size("y") - both))
-        .select("a", "b")
-    )
-    found = materialise(found, "links")
-    discard(ids)
-    discard(sets)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "place"):
+            sets: dict[int, list[np.ndarray]] = {}
+            mates: dict[int, list[int]] = {}
+            for batch in rows.to_batches():
+                for piece in pieces(batch, "text"):
+                    grams, _, size = sets_of(piece.column("text"), n, lower)
+                    own = np.split(grams, np.cumsum(size)[:-1])
+                    for id, of, x in zip(_ids(piece).tolist(), piece.column("mates").to_pylist(), own):
+                        mates[id] = of
+                        known = sets.setdefault(id, [])
+                        if not any(np.array_equal(x, y) for y in known):  # rows may share an id
+                            known.append(x)
+            above: dict[int, int] = {}
+            found = []
+            for a, of in mates.items():
+                for b in of:
+                    u, v = _root(above, a), _root(above, b)
+                    if u != v and any(reach(x, y) for x in sets[a] for y in sets[b]):
+                        above[max(u, v)] = min(u, v)
+                        found.append((a, b))
+            if found:
+                yield _longs(dict(zip("ab", np.array(found).T)))
+
+    ends = F.array(F.struct("place", F.col("a").alias("id"), F.col("b").alias("mate")), F.struct("place", F.col("b").alias("id"), F.lit(None).cast("bigint").alias("mate")))
+    needed = pairs.select(F.inline(ends)).groupBy("place", "id").agg(F.collect_list("mate").alias("mates"))
+    needed = materialise(needed, "pair-ids")
+    rows = marked(docs, needed.select("id"), "id", "perhaps").where("perhaps").drop("perhaps").join(needed, "id")
+    rows = rows.select("place", "id", "mates", "text").repartition("place").sortWithinPartitions("place")
+    found = materialise(rows.mapInArrow(run, "a long, b long"), "whole-sets", BATCH_ROWS)
+    discard(needed)
     return found
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return int((x[at] == y).sum())
+
+
+def _at_hubs(pairs: DataFrame, hub: str) -> DataFrame:
+    """Pairs ``(a, b, n)`` with a ``place``: those of a hub together, in parts of about ``HELD`` elements."""
+    parts = pairs.groupBy(hub).agg(F.ceil(F.sum("n") / HELD).cast("bigint").alias("parts"))
+    part = F.pmod(F.xxhash64("a", "b"), F.col("parts"))
+    return pairs.join(parts, hub).select("a", "b", F.xxhash64(hub, part).alias("place"))
+
+
+def _at_families(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` with a ``place``: all that hang together, in blocks of about ``HELD`` elements.
+
+    ``sizes`` has ``(id, size)``, an id once.
+    """
+    family = materialise(components(pairs).withColumnRenamed("node", "a").withColumnRenamed("component", "family"), "families")
+    parts = family.join(sizes.withColumnRenamed("id", "a"), "a").groupBy("family").agg(F.ceil(F.sum("size") / HELD).cast("bigint").alias("parts"))
+    i, j = (F.pmod(F.xxhash64(end), F.col("parts")) for end in ("a", "b"))
+    place = F.xxhash64("family", F.least(i, j), F.greatest(i, j)).alias("place")
+    return pairs.join(family.join(parts, "family"), "a").select("a", "b", place)
+
+
 def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` that their histograms don't rule out."""
+    """The pairs ``(a, b)`` that their histograms don't rule out, with the sum of both sizes and the histograms' difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,14 +361,17 @@ def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFra
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("x", "y"))
             total = batch.column("n").to_numpy()
-            keep = np.abs(x - y).sum(axis=1) * (den + num) <= (den - num) * total
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            differ = np.abs(x - y).sum(axis=1).astype(np.int64)
+            keep = pa.array(differ * (den + num) <= (den - num) * total)
+            kept = [batch.column(c).filter(keep) for c in ("a", "b", "n")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(differ).filter(keep)], ["a", "b", "n", "differ"])
 
     left = cells.select(F.col("id").alias("a"), F.col("size").alias("p"), F.col("cells").alias("x"))
     right = cells.select(F.col("id").alias("b"), F.col("size").alias("q"), F.col("cells").alias("y"))
     near = F.least("p", "q") * den >= F.greatest("p", "q") * num
     both = pairs.join(left, "a").join(right, "b").where(near)
-    return both.select("a", "b", (F.col("p") + F.col("q")).alias("n"), "x", "y").mapInArrow(run, "a long, b long")
+    both = both.select("a", "b", (F.col("p") + F.col("q")).alias("n"), "x", "y")
+    return both.mapInArrow(run, "a long, b long, n long, differ long")
 
 
 def _histograms(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFrame:
@@ -328,59 +396,65 @@ def _histograms(docs: DataFrame, ids: DataFrame, n: int, lower: bool) -> DataFra
     return perhaps.mapInArrow(run, "id long, size long, cells binary")
 
 
-def _close_pairs(blocks: DataFrame, num: int, den: int, memory: int = 200_000) -> DataFrame:
-    """Pairs of one block and two components whose histograms don't rule a link out.
+def _close_pairs(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one bucket and two components whose histograms don't rule a link out.
 
-    Blocks are read one at a time; the sum of differences of two histograms is
-    at most the number of elements in which the sets differ.  A task gives a pair
-    once while it remembers it.
+    The sum of differences of two histograms is at most the number of elements in
+    which the sets differ.  A row is a text with all its buckets (``sigs``) in the
+    blocks ``i`` and ``j`` of one lead.  However many buckets two texts share there,
+    they are compared once.
     """
 
-    def pairs(ids, label, side, size, cells, mixed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            may = (label[rest] != label[i]) & (np.minimum(size[rest], size[i]) * den >= np.maximum(size[rest], size[i]) * num)
-            if mixed:  # two blocks of a bucket: pairs inside one are met where it stands alone
-                may &= side[rest] != side[i]
-            at = i + 1 + np.flatnonzero(may)
-            if len(at):
-                apart = np.abs(cells[at].astype(np.int16) - cells[i]).sum(axis=1)
-                at = at[apart * (den + num) <= (den - num) * (size[at] + size[i])]
-                yield np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])
+    def close(ids, label, side, size, cells, buckets, mixed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        done = np.zeros((len(ids), len(ids)), bool)
+        for rows in buckets:
+            for k, one in enumerate(rows[:-1]):
+                rest = rows[k + 1 :]
+                rest = rest[~done[one, rest]]
+                done[one, rest] = True
+                may = (label[rest] != label[one]) & (np.minimum(size[rest], size[one]) * den >= np.maximum(size[rest], size[one]) * num)
+                if mixed:  # two blocks of a lead: pairs inside one are met where it stands alone
+                    may &= side[rest] != side[one]
+                at = rest[may]
+                if len(at):
+                    apart = np.abs(cells[at].astype(np.int16) - cells[one]).sum(axis=1)
+                    at = at[apart * (den + num) <= (den - num) * (size[at] + size[one])]
+                    yield np.minimum(ids[at], ids[one]), np.maximum(ids[at], ids[one])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
-        seen: set[tuple[int, int]] = set()
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
-            ids, label, side, size = (np.array([h[k] for h in held]) for k in range(4))
-            cells = np.frombuffer(b"".join(h[4] for h in held), np.uint8).reshape(-1, CELLS)
-            found: list[tuple[int, int]] = []
-            for a, b in pairs(ids, label, side, size, cells, key[1] != key[2]):
-                if len(seen) > memory:
-                    seen.clear()
-                new = [x for x in zip(a.tolist(), b.tolist()) if x not in seen]
-                seen.update(new)
-                found += new
-                if len(found) > 1 << 16:
-                    yield _longs(dict(zip("ab", np.array(found).T)))
-                    found.clear()
+        for table in _runs(batches, "lead", "i", "j"):
+            if table.num_rows < 2:
+                continue
+            i, j = table["i"][0].as_py(), table["j"][0].as_py()
+            ids, label, side, size = (table[c].to_numpy() for c in ("id", "label", "at", "size"))
+            cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(-1, CELLS)
+            sigs = table["sigs"].combine_chunks()
+            row = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(sigs).to_numpy(zero_copy_only=False))
+            sig = sigs.flatten().to_numpy()
+            order = np.argsort(sig, kind="stable")  # rows of a bucket stay in order
+            buckets = np.split(row[order], np.flatnonzero(np.diff(sig[order])) + 1)
+            found = list(close(ids, label, side, size, cells, buckets, i != j))
             if found:
-                yield _longs(dict(zip("ab", np.array(found).T)))
+                a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
+                for at in range(0, len(a), 1 << 16):
+                    yield _longs({"a": a[at : at + (1 << 16)], "b": b[at : at + (1 << 16)]})
 
-        for batch in batches:
-            for sig, i, j, *row in zip(*(batch.column(k).to_pylist() for k in range(8))):
-                if (sig, i, j) != key:
-                    yield from done()
-                    held.clear()
-                    key = (sig, i, j)
-                held.append(tuple(row))
-        yield from done()
+    return blocks.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _lead_blocks(left: DataFrame, block: int) -> DataFrame:
+    """``(lead, i, j, id, label, at, sigs)`` of the bucket rows ``(sig, id, label)``.
 
-    return blocks.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
+    Buckets with the same smallest id, their lead, stand together, in blocks of
+    about ``block`` texts: near copies share many buckets, but few leads.
+    """
+    lead = left.groupBy("sig").agg(F.min("id").alias("lead"))
+    rows = left.join(lead, "sig").groupBy("lead", "id", "label").agg(F.collect_set("sig").alias("sigs"))
+    rows = materialise(rows, "led-texts")
+    blocks = rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "lead").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("lead", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "label", "at", "sigs")
 
 
 def ngram_jaccard_groups(
@@ -434,23 +508,28 @@ def ngram_jaccard_groups(
         rows = rows.join(joined.withColumnRenamed("node", "id"), "id", "left")
         return rows.withColumn("label", F.coalesce("component", "id")).drop("component")
 
-    joined, tried, pool = None, [], []
+    joined, tried, live = None, [], None
+    sizes = cells.groupBy("id").agg(F.sum("size").alias("size"))
 
     def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs in two components, as ``(a, b, lo, hi)``: the components' labels in order."""
+        """Pairs in two components, with ``lo`` and ``hi``: the components' labels in order."""
         if joined is None:
-            return pairs.select("a", "b", F.col("a").alias("lo"), F.col("b").alias("hi"))
+            return pairs.select("*", F.col("a").alias("lo"), F.col("b").alias("hi"))
+        given = pairs.columns
         for end in ("a", "b"):
             at = joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
             pairs = pairs.join(at, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
         labels = F.least("a_in", "b_in").alias("lo"), F.greatest("a_in", "b_in").alias("hi")
-        return pairs.select("a", "b", *labels).where("lo < hi")
+        return pairs.select(*given, *labels).where("lo < hi")
 
     def untried(pairs: DataFrame) -> DataFrame:
         """Pairs whose sets were not compared in a turn before: they would fail again."""
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        return pairs
+        if not tried:
+            return pairs
+        before = tried[0].select("a", "b")
+        for more in tried[1:]:
+            before = before.unionByName(more.select("a", "b"))
+        return pairs.join(before, ["a", "b"], "left_anti")
 
     for turn in range(LEADERS):
         # In every turn another text leads; what is in one component with it is not compared again.
@@ -463,22 +542,30 @@ def ngram_jaccard_groups(
         if not turn:  # one leader each: what that joins needs no other
             stars = stars.groupBy("id").agg(F.min_by("leader", F.xxhash64("leader", F.lit(turn))).alias("leader"))
         stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        stars = materialise(untried(_may_link(stars, cells, num, den)), "star-pairs", BATCH_ROWS)
-        pool.append(stars)
-        waiting = apart(stars)
+        near = untried(_may_link(stars, cells, num, den))
+        if live is not None:  # these wait already
+            near = near.join(live.select("a", "b"), ["a", "b"], "left_anti")
+        stars = materialise(near, "star-pairs", BATCH_ROWS)
         if turn:
-            # One link makes two components one: of each component one pair is verified.
-            every = pool[0]
-            for more in pool[1:]:
-                every = every.unionByName(more)
-            waiting = apart(untried(every.distinct()))
-            waiting = waiting.groupBy("hi").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("pair")).select("pair.*")
-        one = materialise(waiting.select("a", "b"), "tested-pairs")
+            # One link makes two components one: of each component the nearest pair is verified.
+            every = stars if live is None else stars.unionByName(live)
+            every = materialise(apart(every).dropDuplicates(["a", "b"]), "live-pairs")
+            nearest = F.struct(F.col("differ") / F.col("n"), F.xxhash64("a", "b"))
+            picked = every.groupBy("hi").agg(F.min_by(F.struct("a", "b", "n"), nearest).alias("pair")).select("pair.*")
+            discard(stars)
+        else:
+            every, picked = None, stars.dropDuplicates(["a", "b"])
+        one = materialise(_at_hubs(picked, "a"), "tested-pairs")
+        tried.append(one)
+        if every is not None:
+            rest = materialise(every.join(one.select("a", "b"), ["a", "b"], "left_anti").drop("lo", "hi"), "waiting-pairs")
+            if live is not None:
+                discard(live)
+            discard(every)
+            live = rest
         if one.isEmpty():
-            discard(one)
             continue
         found = verified(one, given, n, lower, num, den)
-        tried.append(one)
         # What is joined already is told by stars; the links behind it are not needed again.
         known = found if joined is None else found.unionByName(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
         after = materialise(components(known), "first-components")
@@ -490,28 +577,21 @@ def ngram_jaccard_groups(
         joined = spark.createDataFrame([], "node long, component long")
 
     # Pairs in one bucket that are not in one component yet.
-    # In a bucket of two, the leader's pair is the only one; it is in the pool.
-    left = labelled(members.where("n > 2").select("sig", "id", "n"), joined)
+    # In a bucket of two, the leader's pair is the only one; it was tested or waits.
+    left = labelled(members.where("n > 2").select("sig", "id"), joined)
     mixed = left.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    left = left.join(mixed, "sig")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(cells, "id").select(
-        "sig", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "id", "label", "at", "size", "cells"
-    )
+    left = _lead_blocks(materialise(left.join(mixed, "sig"), "mixed-buckets"), block).join(cells, "id")
     near = materialise(_close_pairs(left, num, den).distinct(), "near-pairs", BATCH_ROWS)
-    close = near
-    for stars in pool:
-        close = close.unionByName(stars)
+    close = near if live is None else near.unionByName(live.select("a", "b"))
     close = materialise(apart(untried(close.distinct())).select("a", "b"), "close-pairs")
-    more = verified(close, given, n, lower, num, den)
+    placed = materialise(_at_families(close, sizes), "placed-pairs")
+    more = verified(placed, given, n, lower, num, den)
     label = joined.select("node", "component")
     ends = more
     for end in ("a", "b"):
         ends = ends.join(label.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
     merged = materialise(components(ends.select("a", "b")), "second-components")
-    for table in (shared, moved, members, cells, near, close, more, *tried, *pool):
+    for table in (shared, moved, members, cells, near, close, placed, more, *tried, *([] if live is None else [live])):
         discard(table)
 
     final = (

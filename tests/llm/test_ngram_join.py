@@ -168,3 +168,29 @@ def test_one_pair_joins_two_components(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert answers(ngram_join.ngram_jaccard_groups(docs, n=5, num=4, den=5)) == brute(rows, 5, 4, 5)
     assert sum(tested) <= 3 * len(rows) and near == [0]
+
+
+def test_a_pair_is_found_once_however_many_buckets_it_shares(spark):
+    """Buckets of one family, in many partitions: 31 texts that share 300 buckets are 465 pairs, not 465 for each task."""
+    members = [(1000 * b, k, k) for b in range(300) for k in range(31)]
+    left = spark.createDataFrame(members, "sig long, id long, label long").repartition(40)
+    cells = spark.createDataFrame([(k, 100, bytearray(ngram_join.CELLS)) for k in range(31)], "id long, size long, cells binary")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for block, most in ((2048, 465), (8, 465)):
+            rows = ngram_join._lead_blocks(left, block).join(cells, "id")
+            got = [(r.a, r.b) for r in ngram_join._close_pairs(rows, 4, 5).collect()]
+            assert len(got) <= most and set(got) == {(a, b) for b in range(31) for a in range(b)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_verified_pairs_join_all_that_link_and_no_more_rows_than_texts(spark):
+    """Of 780 linked pairs at one place 39 rows come back; texts without a word link with nothing."""
+    rows = [(k, " ".join([*base(300, 1), f"x{k}"])) for k in range(40)] + [(50, ""), (51, None), (52, "other words altogether here now")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    ids = [r[0] for r in rows]
+    pairs = spark.createDataFrame([(a, b, 7) for a in ids for b in ids if a < b], "a long, b long, place long")
+    got = [(r.a, r.b) for r in ngram_join.verified(pairs, docs, 5, True, 4, 5).collect()]
+    assert len(got) == 39 and {x for p in got for x in p} == set(range(40))
+    assert {tuple(r) for r in components(spark.createDataFrame(got, "a long, b long")).collect()} == {(k, 0) for k in range(40)}
